@@ -136,13 +136,14 @@ def subscription_ends_by_period(sub_fact: DataFrame, grain: str = "quarter") ->
         F.sum("sh.e0").cast("long").alias("ends_in"), F.sum("sh.e1").cast("long").alias("ends_next"))
 
 
-def asof_subscription(sub_fact: DataFrame, bounds: DataFrame, grain: str = "quarter") -> DataFrame:
+def asof_subscription(sub_fact: DataFrame, bounds: DataFrame, grain: str = "quarter",
+                      extra: tuple[str, ...] = ()) -> DataFrame:
     """The subscription in force at each period end -- ``start <= end`` and
     (no inferred end or inferred end after the period end); newest start wins,
     then the higher sequence number.  A subscription is in force at the end of
     periods [p(start), p(end_inferred) - 1] (open: up to the last period)."""
     s = sub_fact.where(F.col("start_date").isNotNull() & F.col("account_id").isNotNull())
-    fields = [c for c in COMMERCIAL_COLS if c in s.columns]
+    fields = [c for c in list(COMMERCIAL_COLS) + list(extra) if c in s.columns]
     payload = F.struct(F.col("start_date").alias("start_date"), F.col("subscription_seq").alias("seq"),
                        *[F.col(c).alias(c) for c in fields])
     lo = F.greatest(period_index("start_date", grain), F.col("min_idx"))
@@ -158,7 +159,7 @@ def asof_subscription(sub_fact: DataFrame, bounds: DataFrame, grain: str = "quar
 
 def build_panel(accounts: DataFrame, sub_fact: DataFrame, usage: DataFrame, tickets: DataFrame,
                 churn: DataFrame, grain: str = "quarter", last_day_full: bool = False,
-                observed_until_idx: int | None = None) -> DataFrame:
+                observed_until_idx: int | None = None, carry_end_date: bool = False) -> DataFrame:
     """The account x month / account x quarter panel.
 
     ``usage`` may be the usage fact or raw usage (then pre-aggregated before
@@ -174,7 +175,7 @@ def build_panel(accounts: DataFrame, sub_fact: DataFrame, usage: DataFrame, tick
              usage_by_period(usage, sub_fact, grain),
              tickets_by_period(tickets, grain, last_day_full),
              churn_by_period(churn, grain),
-             asof_subscription(sub_fact, bounds, grain)]
+             asof_subscription(sub_fact, bounds, grain, ("end_date",) if carry_end_date else ())]
     ends = subscription_ends_by_period(sub_fact, grain)
     if ends is not None:
         parts.append(ends)
@@ -220,6 +221,8 @@ def _finish_panel(p: DataFrame, n: dict, grain: str, observed_until_idx) -> Data
             sel.append(F.when(active, v).otherwise(F.coalesce(v, F.lit(0.0))).alias(c))
     if "end_date_inferred" in asof_fields:
         sel.append(sub("end_date_inferred").alias("end_date_inferred"))
+    if "end_date" in asof_fields:
+        sel.append(sub("end_date").alias("subscription_end_date_asof_" + n["sub_id"].split("_asof_")[1]))
 
     def cnt(c):
         return F.coalesce(F.col(c), F.lit(0)).cast("long") if c in cols else F.lit(0).cast("long")

@@ -188,3 +188,122 @@ def q_label_availability(spark, sf_dir):
         F.sum("churn_label_q1_rolling").cast("long").alias("sum_label_q1"),
         F.count("churn_label_q2_rolling").alias("n_label_q2"),
         F.sum("churn_label_q2_rolling").cast("long").alias("sum_label_q2"))
+
+
+# ------------------------------------------------------------- QoQ, flags, features (E, F, G)
+
+from churnlens.operators import features as ft  # noqa: E402
+from churnlens.operators import flags as fl  # noqa: E402
+from churnlens.operators import quality as qa  # noqa: E402
+from churnlens.operators import qoq as qq  # noqa: E402
+from churnlens.plans.jobs import processed_panel_for  # noqa: E402
+
+QOQ_BASE = ["usage_count", "usage_hours", "active_days", "errors", "features_used",
+            "tickets_opened", "escalations", "seats", "mrr_amount", "arr_amount"]
+QOQ_COLS = [c + "_qoq_delta" for c in QOQ_BASE]
+
+
+@register("qoq_processed")
+def q_qoq_processed(spark, sf_dir):
+    """Clipped, z and drop flag per QoQ delta"""
+    p = processed_panel_for(spark, sf_dir)
+    cols = []
+    for c in QOQ_COLS:
+        cols += [c, f"{c}_clipped", f"{c}_z", f"{c}_drop_flag"]
+    return p.select("account_id", "quarter", *cols)
+
+
+@register("qoq_summary")
+def q_qoq_summary(spark, sf_dir):
+    """E6"""
+    from churnlens.plans.inputs import panel as build
+    p = build(spark, sf_dir, "quarter")
+    cols = qq.qoq_columns(p)
+    return qq.qoq_summary(qq.qoq_statistics(p, cols), cols)
+
+
+@register("missing_flags")
+def q_missing_flags(spark, sf_dir):
+    """F1/F2"""
+    p = processed_panel_for(spark, sf_dir)
+    return p.select("account_id", "quarter", "satisfaction_missing_flag", "contract_missing_flag")
+
+
+@register("contract_flags")
+def q_contract_flags(spark, sf_dir):
+    """F5-F7"""
+    p = processed_panel_for(spark, sf_dir)
+    return p.select("account_id", "quarter", "subscription_id_asof_qend", "effective_end_date",
+                    "contract_end_observed_flag", "contract_end_inferred_flag")
+
+
+FLAG_COLS = ["satisfaction_missing_flag", "contract_missing_flag",
+             "contract_end_observed_flag", "contract_end_inferred_flag"]
+
+
+@register("flag_distribution")
+def q_flag_distribution(spark, sf_dir):
+    """F3"""
+    return fl.flag_distribution(processed_panel_for(spark, sf_dir), FLAG_COLS)
+
+
+@register("contract_sanity")
+def q_contract_sanity(spark, sf_dir):
+    """F8"""
+    return fl.contract_sanity(processed_panel_for(spark, sf_dir))
+
+
+@register("label_backfill")
+def q_label_backfill(spark, sf_dir):
+    """Labels rebuilt from the masked event flags, then cleaned"""
+    p = processed_panel_for(spark, sf_dir).drop("churn_label_q1_rolling", "churn_label_q2_rolling")
+    p = fl.clean_label_binary(fl.ensure_label(fl.backfill_labels(p)), "churn_label_q1_rolling")
+    return p.select("account_id", "quarter", F.col("churn_label_q1_rolling").cast("int").alias("churn_label_q1_rolling"),
+                    "churn_label_q2_rolling")
+
+
+KEYS = ["account_id", "quarter", "quarter_end", "churn_label_q1_rolling"]
+
+
+def feature_frame(spark, sf_dir):
+    p = processed_panel_for(spark, sf_dir)
+    p = fl.clean_label_binary(fl.ensure_label(p), "churn_label_q1_rolling")
+    return ft.build_feature_set(ft.add_tenure(p), keep=KEYS)
+
+
+@register("feature_set")
+def q_feature_set(spark, sf_dir):
+    """G1-G9"""
+    return feature_frame(spark, sf_dir)
+
+
+# ------------------------------------------------------------- panel quality (M)
+
+@register("panel_shape")
+def q_panel_shape(spark, sf_dir):
+    """M1"""
+    return qa.panel_shape(panel(spark, sf_dir, "quarter"))
+
+
+@register("label_rate")
+def q_label_rate(spark, sf_dir):
+    """M2"""
+    return qa.label_rate(panel(spark, sf_dir, "quarter"))
+
+
+@register("label_rate_by_quarter")
+def q_label_rate_by_quarter(spark, sf_dir):
+    """M3"""
+    return qa.label_rate_by_quarter(panel(spark, sf_dir, "quarter"))
+
+
+@register("missing_rates")
+def q_missing_rates(spark, sf_dir):
+    """M4"""
+    return qa.missing_rates(panel(spark, sf_dir, "quarter"))
+
+
+@register("duplicate_keys")
+def q_duplicate_keys(spark, sf_dir):
+    """M5"""
+    return qa.duplicate_keys(panel(spark, sf_dir, "quarter"))

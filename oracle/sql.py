@@ -329,3 +329,148 @@ select quarter, count(*) n_rows, bool_and(label_available_q1) label_available_q1
 from panel_quarter group by quarter""", []),
     }
     return out
+
+
+# ------------------------------------------------------------------ QoQ / flags / features
+
+QOQ = [c + "_qoq_delta" for c in BASE_DELTA]
+
+
+def processed_ctes() -> list[tuple[str, str]]:
+    p1 = ", ".join(f"quantile_cont(cast({c} as double), 0.01) {c}__p1, "
+                   f"quantile_cont(cast({c} as double), 0.99) {c}__p99" for c in QOQ)
+    clip = ", ".join(f"case when {c} is null then null else least(greatest(cast({c} as double), {c}__p1), {c}__p99) end "
+                     f"{c}_clipped" for c in QOQ)
+    mom = ", ".join(f"avg({c}_clipped) {c}__mean, stddev_pop({c}_clipped) {c}__std" for c in QOQ)
+    z = ", ".join(f"case when {c}__std is null or isnan({c}__std) or {c}__std = 0 then 0.0 "
+                  f"else ({c}_clipped - {c}__mean) / {c}__std end {c}_z, "
+                  f"cast(coalesce({c} < 0, false) as int) {c}_drop_flag" for c in QOQ)
+    stat_cols = ", ".join(f"{c}__p1, {c}__p99, {c}__mean, {c}__std" for c in QOQ)
+    return panel_ctes("quarter") + [
+        ("qstats", f"select {p1} from panel_quarter"),
+        ("clipped", f"select p.*, qstats.*, {clip} from panel_quarter p cross join qstats"),
+        ("mstats", f"select {mom} from clipped"),
+        ("qoq", f"select * exclude ({stat_cols}), {z} from clipped cross join mstats"),
+        ("processed", """
+select q.*, cast(q.days_to_contract_end_asof_qend is null as int) contract_missing_flag,
+       cast(coalesce(sf.end_date, q.end_date_inferred, sf.end_date_inferred) as date) effective_end_date,
+       cast(sf.end_date is not null as int) contract_end_observed_flag,
+       cast(coalesce(sf.end_date, q.end_date_inferred, sf.end_date_inferred) is not null
+            and sf.end_date is null as int) contract_end_inferred_flag
+from qoq q left join sub_fact sf on sf.subscription_id = q.subscription_id_asof_qend"""),
+    ]
+
+
+def _proc(body: str, doubles=()) -> str:
+    return rounded(ctes(*processed_ctes()) + "\n" + body, list(doubles))
+
+
+FEATURE_SQL = """
+features as (
+  select *, tenure_z * cast(usage_drop_flag as double) tenure_x_usage_drop_flag,
+         tenure_z * tickets_opened_qoq_delta_z tenure_x_tickets_opened_qoq_delta_z
+  from (
+    select b.*, case when s.sd is null or s.sd <= 1e-12 then 0.0 else (b.tenure - s.mu) / s.sd end tenure_z
+    from (
+      select account_id, quarter, quarter_end, churn_label_q1_rolling,
+             coalesce(usage_count_qoq_delta_z, 0.0) usage_count_qoq_delta_z,
+             coalesce(tickets_opened_qoq_delta_z, 0.0) tickets_opened_qoq_delta_z,
+             least(coalesce(cast(days_to_contract_end_asof_qend as double), 365.0), 365.0) days_to_contract_end_capped,
+             coalesce(arr_amount_qoq_delta_z, 0.0) arr_amount_qoq_delta_z,
+             coalesce(seats_qoq_delta_z, 0.0) seats_qoq_delta_z,
+             coalesce(seats, 0.0) seats,
+             cast((year(quarter_end) * 4 + quarter(quarter_end)) - (year(signup_date) * 4 + quarter(signup_date)) + 1
+                  as double) tenure,
+             avg_satisfaction, satisfaction_missing_flag, contract_missing_flag,
+             usage_drop_flag,
+             cast(coalesce(cast(days_to_contract_end_asof_qend as double), 365.0) <= 90 as int) contract_ending_soon_flag,
+             coalesce(plan_tier, 'unknown') plan_tier
+      from processed) b
+    cross join (select avg(tenure) mu, stddev_samp(tenure) sd from (
+      select cast((year(quarter_end) * 4 + quarter(quarter_end)) - (year(signup_date) * 4 + quarter(signup_date)) + 1
+                  as double) tenure from processed)) s))"""
+
+FEATURE_COLS = ["usage_count_qoq_delta_z", "tickets_opened_qoq_delta_z", "days_to_contract_end_capped",
+                "arr_amount_qoq_delta_z", "seats_qoq_delta_z", "seats", "tenure", "tenure_z",
+                "tenure_x_usage_drop_flag", "tenure_x_tickets_opened_qoq_delta_z", "avg_satisfaction",
+                "satisfaction_missing_flag", "contract_missing_flag", "usage_drop_flag",
+                "contract_ending_soon_flag", "plan_tier"]
+FEATURE_DOUBLES = [c for c in FEATURE_COLS if c not in (
+    "satisfaction_missing_flag", "contract_missing_flag", "usage_drop_flag", "contract_ending_soon_flag", "plan_tier")]
+
+
+def _feat(body: str, doubles=()) -> str:
+    return rounded(ctes(*processed_ctes()) + ",\n" + FEATURE_SQL + "\n" + body, list(doubles))
+
+
+def oracle_queries_efgm() -> dict[str, str]:
+    qcols = []
+    dbl = []
+    for c in QOQ:
+        qcols += [c, f"{c}_clipped", f"{c}_z", f"{c}_drop_flag"]
+        dbl += [f"{c}_clipped", f"{c}_z"] + ([c] if c.replace("_qoq_delta", "") in DOUBLE_BASE else [])
+    summary_rows = " union all ".join(
+        f"select '{c}' feature, {c}__p1 p1, {c}__p99 p99, {c}__mean mean_clipped, {c}__std std_clipped, "
+        f"(select avg(cast(coalesce({c} < 0, false) as double)) from panel_quarter) pct_negative "
+        f"from qstats cross join mstats" for c in QOQ)
+    flags = ["satisfaction_missing_flag", "contract_missing_flag", "contract_end_observed_flag",
+             "contract_end_inferred_flag"]
+    flag_long = " union all ".join(f"select '{f}' flag, cast({f} as int) value from processed" for f in flags)
+    return {
+        "qoq_processed": _proc(f"select account_id, quarter, {', '.join(qcols)} from processed", dbl),
+        "qoq_summary": _proc(summary_rows, ["p1", "p99", "mean_clipped", "std_clipped", "pct_negative"]),
+        "missing_flags": _proc("select account_id, quarter, satisfaction_missing_flag, contract_missing_flag from processed"),
+        "contract_flags": _proc("select account_id, quarter, subscription_id_asof_qend, effective_end_date, "
+                                "contract_end_observed_flag, contract_end_inferred_flag from processed"),
+        "flag_distribution": _proc(f"""
+select l.flag, l.value, count(*) n, t.rows, count(*) / t.rows share
+from ({flag_long}) l join (select '{flags[0]}' flag, count(*) rows from processed
+  union all select '{flags[1]}', count(*) from processed union all select '{flags[2]}', count(*) from processed
+  union all select '{flags[3]}', count(*) from processed) t using (flag)
+group by l.flag, l.value, t.rows""", ["share"]),
+        "contract_sanity": _proc("""
+select count(*) rows,
+       count(*) filter (where contract_end_inferred_flag = 1 and contract_end_observed_flag = 1) both_flags,
+       count(*) filter (where effective_end_date is null) null_effective_end from processed"""),
+        "label_backfill": _proc("""
+select account_id, quarter, cast(account_churn_event_in_next_quarter as int) churn_label_q1_rolling,
+       cast(account_churn_event_in_next_quarter or account_churn_event_in_second_next_quarter as int)
+         churn_label_q2_rolling
+from processed"""),
+        "feature_set": _feat("select account_id, quarter, quarter_end, churn_label_q1_rolling, "
+                             + ", ".join(FEATURE_COLS) + " from features", FEATURE_DOUBLES),
+        "panel_shape": _panel_query("quarter", """
+select count(*) n_rows, (select count(*) from (describe panel_quarter)) n_cols,
+       count(distinct account_id) n_accounts, count(distinct cast(quarter_end as varchar)) n_quarters
+from panel_quarter""", []),
+        "label_rate": _panel_query("quarter", """
+select 'account_churn_event_in_next_quarter' label, avg(cast(account_churn_event_in_next_quarter as double)) rate,
+       count(account_churn_event_in_next_quarter) n from panel_quarter
+union all
+select 'churn_label_q2_rolling', avg(cast(churn_label_q2_rolling as double)), count(churn_label_q2_rolling)
+from panel_quarter""", ["rate"]),
+        "label_rate_by_quarter": _panel_query("quarter", """
+select 'account_churn_event_in_next_quarter' label, quarter_end quarter_key,
+       avg(cast(account_churn_event_in_next_quarter as double)) rate, count(*) n
+from panel_quarter where account_churn_event_in_next_quarter is not null group by quarter_end
+union all
+select 'churn_label_q2_rolling', quarter_end, avg(cast(churn_label_q2_rolling as double)), count(*)
+from panel_quarter where churn_label_q2_rolling is not null group by quarter_end""", ["rate"]),
+        "missing_rates": _panel_query("quarter", """
+select 'usage_count' "column", avg(cast(usage_count is null as double)) missing_rate from panel_quarter
+union all select 'tickets_opened', avg(cast(tickets_opened is null as double)) from panel_quarter
+union all select 'arr_amount', avg(cast(arr_amount is null as double)) from panel_quarter
+union all select 'seats', avg(cast(seats is null as double)) from panel_quarter""", ["missing_rate"]),
+        "duplicate_keys": _panel_query("quarter", """
+select cast(coalesce(sum(n - 1), 0) as bigint) duplicate_rows
+from (select account_id, quarter_end, count(*) n from panel_quarter group by all)""", []),
+    }
+
+
+_base_oracle = oracle_queries
+
+
+def oracle_queries() -> dict[str, str]:  # noqa: F811
+    out = _base_oracle()
+    out.update(oracle_queries_efgm())
+    return out
