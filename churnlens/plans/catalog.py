@@ -307,3 +307,88 @@ def q_missing_rates(spark, sf_dir):
 def q_duplicate_keys(spark, sf_dir):
     """M5"""
     return qa.duplicate_keys(panel(spark, sf_dir, "quarter"))
+
+
+# ------------------------------------------------------------- evaluation and risk output (H, I, A9)
+
+from churnlens.operators import metrics as mt  # noqa: E402
+from churnlens.operators import model as md  # noqa: E402
+from churnlens.operators import risk as rk  # noqa: E402
+
+LABEL = "churn_label_q1_rolling"
+
+
+def validation_scored(spark, sf_dir, spec=None):
+    """Validation rows (last two labelled quarters) scored by ``spec``."""
+    spec = spec or md.fixed_scorer()
+    s = mt.time_split(feature_frame(spark, sf_dir), LABEL)
+    v = s.where(F.col("split") == "valid")
+    return v.select("account_id", "quarter", F.col(LABEL).cast("int").alias("label"), spec.probability().alias("p"))
+
+
+@register("time_split")
+def q_time_split(spark, sf_dir):
+    """H1/H2"""
+    s = mt.time_split(feature_frame(spark, sf_dir), LABEL)
+    return s.groupBy("quarter", "split").agg(F.count(F.lit(1)).alias("n_rows"),
+                                             F.sum(F.col(LABEL).cast("long")).alias("n_pos"))
+
+
+@register("roc_auc")
+def q_roc_auc(spark, sf_dir):
+    """H12 (fixed scorer)"""
+    return mt.roc_auc(validation_scored(spark, sf_dir))
+
+
+@register("threshold_metrics")
+def q_threshold_metrics(spark, sf_dir):
+    """H13 (fixed scorer)"""
+    return mt.threshold_metrics(validation_scored(spark, sf_dir))
+
+
+@register("rank_metrics")
+def q_rank_metrics(spark, sf_dir):
+    """H14/H15 (fixed scorer; ties broken on account_id, quarter)"""
+    return mt.rank_metrics(validation_scored(spark, sf_dir), tie_cols=["account_id", "quarter"])
+
+
+@register("class_weights")
+def q_class_weights(spark, sf_dir):
+    """H9: given weights and 'balanced' on the training rows"""
+    tr = mt.time_split(feature_frame(spark, sf_dir), LABEL).where(F.col("split") == "train")
+    given = md.class_weight_table(tr, LABEL, md.parse_class_weight(md.DEFAULT_PARAMS["class_weight"]))
+    bal = md.class_weight_table(tr, LABEL, "balanced")
+    return given.withColumn("scheme", F.lit("given")).unionByName(bal.withColumn("scheme", F.lit("balanced")))
+
+
+@register("validation_report")
+def q_validation_report(spark, sf_dir):
+    """H20"""
+    return mt.validation_report(mt.time_split(feature_frame(spark, sf_dir), LABEL), LABEL)
+
+
+@register("latest_risk")
+def q_latest_risk(spark, sf_dir):
+    """I1-I11 (fixed scorer)"""
+    return rk.latest_risk_output(feature_frame(spark, sf_dir), md.fixed_scorer())
+
+
+@register("demo_output")
+def q_demo_output(spark, sf_dir):
+    """I12"""
+    return rk.demo_output(rk.latest_risk_output(feature_frame(spark, sf_dir), md.fixed_scorer()))
+
+
+EXAMPLE_FEATURES = ["usage_count_qoq_delta_z", "tickets_opened_qoq_delta_z", "usage_drop_flag",
+                    "days_to_contract_end_capped", "arr_amount_qoq_delta_z", "seats_qoq_delta_z", "seats", "tenure",
+                    "avg_satisfaction", "satisfaction_missing_flag", "contract_missing_flag",
+                    "tenure_x_usage_drop_flag", "plan_tier"]
+EXAMPLE_EXTRA = ["plan_tier", "company_size", "seats", "mrr_amount", "industry"]
+
+
+@register("example_upload")
+def q_example_upload(spark, sf_dir):
+    """Latest rows per account, available feature + context columns (deduplicated)"""
+    from churnlens.functions.columns import keep_present
+    latest = rk.latest_rows(processed_panel_for(spark, sf_dir))
+    return keep_present(latest, ["account_id"] + EXAMPLE_FEATURES + EXAMPLE_EXTRA)

@@ -474,3 +474,168 @@ def oracle_queries() -> dict[str, str]:  # noqa: F811
     out = _base_oracle()
     out.update(oracle_queries_efgm())
     return out
+
+
+# ------------------------------------------------------------------ evaluation / risk (fixed scorer)
+
+def _scorer_terms():
+    """The fixed scorer's literal parameters (inputs of the check, not logic)."""
+    from churnlens.operators.model import fixed_scorer
+    return fixed_scorer()
+
+
+def _term_sql(t) -> str:
+    if t.kind == "num":
+        return f"((coalesce(cast({t.base} as double), {float(t.impute)!r}) - {t.mean!r}) / {t.scale!r}) * {t.coef!r}"
+    if t.kind == "bin":
+        return f"coalesce(cast({t.base} as double), {float(t.impute)!r}) * {t.coef!r}"
+    return (f"(case when coalesce({t.base}, '{t.impute}') = '{t.level}' then 1.0 else 0.0 end) * {t.coef!r}")
+
+
+def _prob_sql() -> str:
+    s = _scorer_terms()
+    margin = " + ".join([repr(float(s.intercept))] + [_term_sql(t) for t in s.terms])
+    return f"1.0 / (1.0 + exp(-({margin})))"
+
+
+def _contrib_sql(base: str) -> str:
+    s = _scorer_terms()
+    parts = [_term_sql(t) for t in s.terms if t.base == base]
+    return " + ".join(parts) if parts else "0.0"
+
+
+SPLIT_SQL = """
+labelled as (select *, year(quarter_end) * 4 + quarter(quarter_end) - 1 qi from features
+             where churn_label_q1_rolling is not null),
+validq as (select distinct qi from labelled order by qi desc limit 2),
+split as (select l.*, case when l.qi in (select qi from validq) then 'valid' else 'train' end split from labelled l)"""
+
+
+def _eval(body: str, doubles=()) -> str:
+    sql = (ctes(*processed_ctes()) + ",\n" + FEATURE_SQL + ",\n" + SPLIT_SQL + f""",
+vscored as (select account_id, quarter, cast(churn_label_q1_rolling as int) label, {_prob_sql()} p
+            from split where split = 'valid')
+""" + body)
+    return rounded(sql, list(doubles))
+
+
+def _risk_body() -> str:
+    a = _contrib_sql("usage_count_qoq_delta_z")
+    b = _contrib_sql("tickets_opened_qoq_delta_z")
+    c = _contrib_sql("arr_amount_qoq_delta_z")
+    return f"""
+, latest as (select *, {_prob_sql()} p0, {a} ca, {b} cb, {c} cc from features
+             qualify quarter_end = max(quarter_end) over (partition by account_id)),
+ranked as (select *,
+  1 + cast(cb > ca as int) + cast(cc > ca as int) ra,
+  1 + cast(ca >= cb as int) + cast(cc > cb as int) rb,
+  1 + cast(ca >= cc as int) + cast(cb >= cc as int) rc from latest),
+named as (select *,
+  case 1 when ra then 'Usage decline' when rb then 'Support pressure' else 'Commercial contraction' end d1,
+  case 2 when ra then 'Usage decline' when rb then 'Support pressure' else 'Commercial contraction' end d2,
+  case 3 when ra then 'Usage decline' when rb then 'Support pressure' else 'Commercial contraction' end d3
+  from ranked),
+risk as (select account_id, p0 churn_probability_q1, p0 churn_prob_q1,
+  1 - pow(1 - p0, 2) churn_prob_q2, 1 - pow(1 - p0, 3) churn_prob_q3, 1 - pow(1 - p0, 4) churn_prob_q4,
+  case when p0 >= 0.35 then '0-90 days' when 1 - pow(1 - p0, 2) >= 0.35 then '3-6 months'
+       when 1 - pow(1 - p0, 3) >= 0.35 then '6-12 months' when 1 - pow(1 - p0, 4) >= 0.35 then '> 365 days'
+       else 'N/A' end churn_date_window,
+  1 - pow(1 - p0, 2) churn_prob_within_2q, 1 - pow(1 - p0, 4) churn_prob_within_4q,
+  cast(round_even(p0 * 100, 0) as int) risk_score,
+  case when p0 >= 0.5 then 'High' when p0 >= 0.35 then 'Medium' else 'Low' end risk_tier,
+  case when abs(ca) >= abs(cb) and abs(ca) >= abs(cc) then 'Usage Risk'
+       when abs(cb) >= abs(cc) then 'Support Risk' else 'Commercial Risk' end risk_type,
+  cast((year(quarter_end) * 4 + quarter(quarter_end)) // 4 as varchar) || 'Q' ||
+    cast((year(quarter_end) * 4 + quarter(quarter_end)) % 4 + 1 as varchar) predicted_churn_quarter,
+  d1 || ', ' || d2 || ', ' || d3 top_drivers,
+  (case d1 when 'Usage decline' then 'Usage re-engagement / training'
+           when 'Support pressure' then 'Proactive support / escalation review'
+           else 'Commercial check-in' end) || ' / ' ||
+  (case d2 when 'Usage decline' then 'Usage re-engagement / training'
+           when 'Support pressure' then 'Proactive support / escalation review'
+           else 'Commercial check-in' end) recommended_action
+  from named)
+"""
+
+
+RISK_DOUBLES = ["churn_probability_q1", "churn_prob_q1", "churn_prob_q2", "churn_prob_q3", "churn_prob_q4",
+                "churn_prob_within_2q", "churn_prob_within_4q"]
+
+
+def oracle_queries_hi() -> dict[str, str]:
+    return {
+        "time_split": _eval("""
+select cast(qi // 4 as varchar) || 'Q' || cast(qi % 4 + 1 as varchar) as quarter, split, count(*) n_rows,
+       cast(sum(churn_label_q1_rolling) as bigint) n_pos from split group by all"""),
+        "roc_auc": _eval("""
+select case when sum(pos) > 0 and sum(neg) > 0 then sum(pos * (cum_neg - neg + 0.5 * neg)) / (sum(pos) * sum(neg)) end
+       validation_auc
+from (select p, sum(label) pos, sum(1 - label) neg,
+             sum(sum(1 - label)) over (order by p rows between unbounded preceding and current row) cum_neg
+      from vscored group by p)""", ["validation_auc"]),
+        "threshold_metrics": _eval("""
+select case when count(*) filter (where p >= 0.5) > 0
+            then (count(*) filter (where p >= 0.5 and label = 1)) / (count(*) filter (where p >= 0.5)) else 0.0 end
+       validation_precision_at_0_5,
+       case when count(*) filter (where label = 1) > 0
+            then (count(*) filter (where p >= 0.5 and label = 1)) / (count(*) filter (where label = 1)) else 0.0 end
+       validation_recall_at_0_5
+from vscored""", ["validation_precision_at_0_5", "validation_recall_at_0_5"]),
+        "rank_metrics": _eval("""
+, ordered as (select row_number() over (order by p desc, account_id, quarter) k,
+                     sum(label) over (order by p desc, account_id, quarter rows between unbounded preceding and current row) tp
+              from vscored),
+tot as (select count(*) n, sum(label) pp, ceil(count(*) * 0.05) k5, ceil(count(*) * 0.10) k10,
+               ceil(count(*) * 0.20) k20 from vscored),
+m as (select o.k, o.tp / o.k prec, case when t.pp > 0 then o.tp / t.pp else 0.0 end rec, t.* from ordered o, tot t)
+select max(prec) filter (where k = k5) precision_top5, max(rec) filter (where k = k5) recall_top5,
+       max(prec) filter (where k = k10) precision_top10, max(rec) filter (where k = k20) recall_top20,
+       case when max(pp) / max(n) > 0 then max(prec) filter (where k = k10) / (max(pp) / max(n)) end lift_top10,
+       max(prec) best_precision_at_k, arg_min(k, -prec * 1e12 + k) best_precision_k_unused,
+       max(rec) best_recall_at_k
+from m""".replace(", arg_min(k, -prec * 1e12 + k) best_precision_k_unused", "")
+                              .replace("select max(prec) filter (where k = k5)",
+                                       "select *, (select min(k) from m where prec = (select max(prec) from m)) best_precision_k, "
+                                       "(select min(k) from m where rec = (select max(rec) from m)) best_recall_k from (select max(prec) filter (where k = k5)")
+                              + ") z",
+                              ["precision_top5", "recall_top5", "precision_top10", "recall_top20", "lift_top10",
+                               "best_precision_at_k", "best_recall_at_k"]),
+        "class_weights": _eval("""
+select label, n, case label when 0 then 1.0 when 1 then 2.0 else 1.0 end weight, 'given' scheme
+from (select cast(churn_label_q1_rolling as int) label, count(*) n from split where split = 'train' group by 1)
+union all
+select label, n, (sum(n) over ()) / ((count(*) over ()) * n) weight, 'balanced'
+from (select cast(churn_label_q1_rolling as int) label, count(*) n from split where split = 'train' group by 1)""",
+                               ["weight"]),
+        "validation_report": _eval("""
+select count(*) filter (where split = 'valid') validation_sample_count,
+       avg(cast(churn_label_q1_rolling as double)) filter (where split = 'valid') validation_positive_rate,
+       avg(1 - cast(churn_label_q1_rolling as double)) filter (where split = 'valid') validation_negative_rate,
+       (select string_agg(q, ',' order by q) from (select distinct cast(qi // 4 as varchar) || 'Q' ||
+               cast(qi % 4 + 1 as varchar) q from split where split = 'train')) train_quarters,
+       (select string_agg(q, ',' order by q) from (select distinct cast(qi // 4 as varchar) || 'Q' ||
+               cast(qi % 4 + 1 as varchar) q from split where split = 'valid')) valid_quarters,
+       count(*) filter (where split = 'train') n_train, count(*) filter (where split = 'valid') n_valid
+from split""", ["validation_positive_rate", "validation_negative_rate"]),
+        "latest_risk": _eval(_risk_body() + "select * from risk", RISK_DOUBLES),
+        "demo_output": _eval(_risk_body() + """
+select account_id, churn_probability_q1, churn_prob_q1, churn_prob_q2, churn_prob_q3, churn_prob_q4,
+       churn_date_window, risk_tier, risk_type, predicted_churn_quarter, top_drivers key_risks,
+       recommended_action recommended_actions from risk""", RISK_DOUBLES[:5]),
+        "example_upload": _proc("""
+select account_id, usage_count_qoq_delta_z, tickets_opened_qoq_delta_z, usage_drop_flag, arr_amount_qoq_delta_z,
+       seats_qoq_delta_z, seats, avg_satisfaction, satisfaction_missing_flag, contract_missing_flag, plan_tier,
+       mrr_amount
+from processed qualify quarter_end = max(quarter_end) over (partition by account_id)""",
+                                ["usage_count_qoq_delta_z", "tickets_opened_qoq_delta_z", "arr_amount_qoq_delta_z",
+                                 "seats_qoq_delta_z", "seats", "avg_satisfaction", "mrr_amount"]),
+    }
+
+
+_efgm_oracle = oracle_queries
+
+
+def oracle_queries() -> dict[str, str]:  # noqa: F811
+    out = _efgm_oracle()
+    out.update(oracle_queries_hi())
+    return out
