@@ -392,3 +392,199 @@ def q_example_upload(spark, sf_dir):
     from churnlens.functions.columns import keep_present
     latest = rk.latest_rows(processed_panel_for(spark, sf_dir))
     return keep_present(latest, ["account_id"] + EXAMPLE_FEATURES + EXAMPLE_EXTRA)
+
+
+# ------------------------------------------------------------- uploads, explanations, report (A3, B, J, K, L)
+
+import datetime as _dt  # noqa: E402
+
+from pyspark.sql import Window as _W  # noqa: E402
+
+from churnlens.operators import explain as ex  # noqa: E402
+from churnlens.operators import report as rp  # noqa: E402
+from churnlens.operators import upload as up  # noqa: E402
+from churnlens.sources.aliases import apply_aliases  # noqa: E402
+from churnlens.sources.adapter import raw_tables  # noqa: E402
+from churnlens.session import cut_lineage  # noqa: E402
+
+TODAY = _dt.date(2001, 6, 30)  # fixed "today" for the multi-table upload
+
+
+def observed_until(q):
+    """Last quarter with any usage (future contract ends stretch the panel
+    past the last observed activity)."""
+    return q.where(F.col("u") > 0).agg(F.max("as_of_quarter").alias("_mx"))
+
+
+def quarterly_fixture(spark, sf_dir):
+    """Quarterly upload shape from the panel; last observed quarter = new."""
+    p = panel(spark, sf_dir, "quarter", materialise=True)
+    q = p.select("account_id", F.col("quarter_start").alias("as_of_quarter"),
+                 F.col("usage_count").alias("usage_count_total"), F.col("tickets_opened").alias("ticket_count"),
+                 F.col("avg_satisfaction").alias("avg_csat"), F.col("escalations").alias("escalation_count"),
+                 F.col("days_to_contract_end_asof_qend").alias("days_to_contract_end"),
+                 "plan_tier", "seats", "arr_amount", "mrr_amount", "signup_date")
+    last = observed_until(q.select("as_of_quarter", F.col("usage_count_total").alias("u")))
+    j = q.crossJoin(F.broadcast(last))
+    return (j.where(F.col("as_of_quarter") < F.col("_mx")).drop("_mx"),
+            j.where(F.col("as_of_quarter") == F.col("_mx")).drop("_mx"))
+
+
+def single_fixture(spark, sf_dir):
+    """Single wide shape: each account's latest quarter and the one before."""
+    p = panel(spark, sf_dir, "quarter", materialise=True)
+    w = _W.partitionBy("account_id").orderBy("quarter_end")
+    prev = {c: F.lag(c).over(w) for c in ("usage_count", "tickets_opened", "seats", "arr_amount")}
+    x = p.select("account_id", "plan_tier", "signup_date", F.col("quarter_end").alias("as_of_date"), "quarter_end",
+                 F.col("usage_count").alias("usage_count_current"), prev["usage_count"].alias("usage_count_prev"),
+                 F.col("tickets_opened").alias("tickets_opened_current"),
+                 prev["tickets_opened"].alias("tickets_opened_prev"),
+                 F.col("days_to_contract_end_asof_qend").alias("days_to_contract_end_current"),
+                 F.col("seats").alias("seats_current"), prev["seats"].alias("seats_prev"),
+                 F.col("arr_amount").alias("arr_current"), prev["arr_amount"].alias("arr_prev"),
+                 F.col("avg_satisfaction").alias("avg_satisfaction_current"))
+    last = observed_until(p.select(F.col("quarter_start").alias("as_of_quarter"), F.col("usage_count").alias("u")))
+    x = x.crossJoin(F.broadcast(last)).where(F.trunc("quarter_end", "quarter") <= F.col("_mx")).drop("_mx")
+    return rk.latest_rows(x).drop("quarter_end")
+
+
+@register("standardised_ingest")
+def q_standardised_ingest(spark, sf_dir):
+    """Odd upload headers resolved back to canonical names"""
+    s = raw_tables(spark, sf_dir).subscriptions.select(
+        F.col("subscription_id").alias("sub_id"), F.col("account_id").alias(" Customer_ID "),
+        "start_date", F.col("end_date").alias("Contract_End"), F.col("plan_tier").alias("Plan"),
+        F.col("seats").alias("Licensed_Seats"), F.col("arr_amount").alias("ARR"))
+    c = apply_aliases(s)
+    return c.select("subscription_id", "account_id", "start_date", "end_date", "plan_tier", "seats", "arr_amount")
+
+
+@register("upload_single")
+def q_upload_single(spark, sf_dir):
+    """J1-J6"""
+    return up.build_from_single(single_fixture(spark, sf_dir), TODAY)
+
+
+@register("upload_multi")
+def q_upload_multi(spark, sf_dir):
+    """J7-J13 (today fixed)"""
+    r = raw_tables(spark, sf_dir)
+    return up.build_from_multi(r.accounts, r.subscriptions, r.feature_usage, r.support_tickets, TODAY)
+
+
+@register("history_upsert")
+def q_history_upsert(spark, sf_dir):
+    """Append the new quarter, then a revised copy of it (last wins)"""
+    hist, new = quarterly_fixture(spark, sf_dir)
+    revised = new.withColumn("ticket_count", F.col("ticket_count") + 1)
+    h = up.renew_history(up.renew_history(hist, new), revised)
+    return h.select("account_id", "as_of_quarter", "usage_count_total", "ticket_count")
+
+
+@register("history_medians")
+def q_history_medians(spark, sf_dir):
+    """J17"""
+    hist, _ = quarterly_fixture(spark, sf_dir)
+    return up.history_medians(up.dedup_history(hist))
+
+
+def quarterly_features(spark, sf_dir, with_history=True):
+    hist, new = quarterly_fixture(spark, sf_dir)
+    # the upload is read by several statistics passes: compute it once
+    return cut_lineage(up.build_from_quarterly(hist if with_history else None, new, TODAY))
+
+
+@register("upload_quarterly")
+def q_upload_quarterly(spark, sf_dir):
+    """J14-J19"""
+    return quarterly_features(spark, sf_dir).drop("_row_order")
+
+
+@register("pct_rank")
+def q_pct_rank(spark, sf_dir):
+    """K2: average percent rank of the upload's usage z-score"""
+    f = quarterly_features(spark, sf_dir)
+    return mt.pct_rank(f.select("account_id", F.coalesce("usage_count_qoq_delta_z", F.lit(0.0)).alias("v")),
+                       "v", "pct_rank")
+
+
+EXPLAIN_OUT = ["account_id", "_usage_flag", "_usage_txt", "_support_flag", "_support_txt", "_sat_flag", "_sat_txt",
+               "_comm_flag", "_comm_txt"]
+
+
+def _explained(df):
+    return df.select(*[F.col(c).alias(c.lstrip("_")) for c in EXPLAIN_OUT])
+
+
+@register("explain_self")
+def q_explain_self(spark, sf_dir):
+    """K3-K7 against the account's own history"""
+    return _explained(ex.explain_commercial(ex.explain_self(quarterly_features(spark, sf_dir))))
+
+
+@register("explain_peers")
+def q_explain_peers(spark, sf_dir):
+    """K7-K10 against the other rows of the upload"""
+    return _explained(ex.explain_commercial(ex.explain_peers(up.build_from_single(single_fixture(spark, sf_dir),
+                                                                                 TODAY))))
+
+
+def scored_quarterly(spark, sf_dir):
+    return ex.score(quarterly_features(spark, sf_dir), md.fixed_scorer())
+
+
+@register("scored")
+def q_scored(spark, sf_dir):
+    """K1, K11-K15 (fixed scorer, quarterly upload with history)"""
+    return scored_quarterly(spark, sf_dir)
+
+
+@register("coverage")
+def q_coverage(spark, sf_dir):
+    """L1"""
+    r = raw_tables(spark, sf_dir)
+    return rp.coverage(r.accounts, r.subscriptions, r.feature_usage, r.support_tickets)
+
+
+@register("score_health")
+def q_score_health(spark, sf_dir):
+    """L2"""
+    f = quarterly_features(spark, sf_dir)
+    return rp.score_health(ex.score(f, md.fixed_scorer()), f)
+
+
+@register("kpis")
+def q_kpis(spark, sf_dir):
+    """L3"""
+    return rp.kpis(scored_quarterly(spark, sf_dir))
+
+
+@register("tier_counts")
+def q_tier_counts(spark, sf_dir):
+    """L4"""
+    return rp.tier_counts(scored_quarterly(spark, sf_dir))
+
+
+@register("prob_histogram")
+def q_prob_histogram(spark, sf_dir):
+    """18 and 24 bins"""
+    s = scored_quarterly(spark, sf_dir)
+    return rp.prob_histogram(s, 18).unionByName(rp.prob_histogram(s, 24))
+
+
+@register("top_risk")
+def q_top_risk(spark, sf_dir):
+    """L6 (top-k is the feature)"""
+    return rp.top_risk(scored_quarterly(spark, sf_dir), 20)
+
+
+@register("driver_counts")
+def q_driver_counts(spark, sf_dir):
+    """L8 (top-k is the feature)"""
+    return rp.driver_counts(scored_quarterly(spark, sf_dir), 12)
+
+
+@register("risk_view")
+def q_risk_view(spark, sf_dir):
+    """B13, L7, L9"""
+    return rp.risk_view(scored_quarterly(spark, sf_dir))

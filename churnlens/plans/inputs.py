@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from churnlens.operators import facts
 from churnlens.operators.panel import build_panel
 from churnlens.sources.adapter import raw_tables
+from churnlens.session import cut_lineage
 
 
 @dataclass
@@ -33,7 +34,12 @@ def load_facts(spark: SparkSession, sf_dir: str) -> Facts:
                  churn_fact=facts.churn_fact(raw.churn_events))
 
 
-def panel(spark: SparkSession, sf_dir: str, grain: str = "quarter", f: Facts | None = None) -> DataFrame:
+def panel(spark: SparkSession, sf_dir: str, grain: str = "quarter", f: Facts | None = None,
+          materialise: bool = False) -> DataFrame:
+    """The account x period panel.  ``materialise`` cuts lineage with a
+    reliable checkpoint for consumers that read it several times (statistics
+    passes, fixtures) -- the panel job's written table, in effect."""
     f = f or load_facts(spark, sf_dir)
     # raw usage: the panel pre-aggregates it before the subscription map join
-    return build_panel(f.accounts, f.sub_fact, f.usage, f.tickets_fact, f.churn_fact, grain=grain)
+    p = build_panel(f.accounts, f.sub_fact, f.usage, f.tickets_fact, f.churn_fact, grain=grain)
+    return cut_lineage(p) if materialise else p
