@@ -639,3 +639,315 @@ def oracle_queries() -> dict[str, str]:  # noqa: F811
     out = _efgm_oracle()
     out.update(oracle_queries_hi())
     return out
+
+
+# ------------------------------------------------------------------ uploads / explanations / report
+
+TODAY = "date '2001-06-30'"
+
+
+def _qe(d: str) -> str:
+    return f"cast(last_day(cast(date_trunc('quarter', {d}) as date) + interval 2 month) as date)"
+
+
+FIXTURE_CTES = """
+qfix as (select account_id, quarter_start as_of_quarter, usage_count usage_count_total, tickets_opened ticket_count,
+                avg_satisfaction avg_csat, escalations escalation_count,
+                days_to_contract_end_asof_qend days_to_contract_end, plan_tier, seats, arr_amount, mrr_amount,
+                signup_date from panel_quarter),
+obs as (select max(as_of_quarter) mx from qfix where usage_count_total > 0),
+hist as (select * from qfix where as_of_quarter < (select mx from obs)),
+newq as (select * from qfix where as_of_quarter = (select mx from obs)),
+sfix0 as (select account_id, plan_tier, signup_date, quarter_end as_of_date, quarter_start,
+                 usage_count usage_count_current, lag(usage_count) over w usage_count_prev,
+                 tickets_opened tickets_opened_current, lag(tickets_opened) over w tickets_opened_prev,
+                 days_to_contract_end_asof_qend days_to_contract_end_current,
+                 seats seats_current, lag(seats) over w seats_prev,
+                 arr_amount arr_current, lag(arr_amount) over w arr_prev,
+                 avg_satisfaction avg_satisfaction_current
+          from panel_quarter window w as (partition by account_id order by quarter_end)),
+sfix as (select * exclude (quarter_start) from sfix0 where quarter_start <= (select mx from obs)
+         qualify as_of_date = max(as_of_date) over (partition by account_id))"""
+
+
+def single_builder(src: str, prefix: str) -> str:
+    """CTEs turning a single-wide input ``src`` into meta + the 16 features."""
+    p = prefix
+    return f"""
+{p}a as (select cast(account_id as varchar) account_id, signup_date, as_of_date, {_qe('as_of_date')} quarter_end,
+               0 signup_date_inferred_flag, 0 as_of_date_inferred_flag,
+               coalesce(cast(usage_count_current as double), 0) - coalesce(cast(usage_count_prev as double), 0) du,
+               coalesce(cast(tickets_opened_current as double), 0) - coalesce(cast(tickets_opened_prev as double), 0) dt,
+               coalesce(cast(seats_current as double), 0) - coalesce(cast(seats_prev as double), 0) ds,
+               coalesce(cast(arr_current as double), 0) - coalesce(cast(arr_prev as double), 0) da,
+               coalesce(cast(seats_current as double), 0) seats,
+               cast(days_to_contract_end_current as double) d,
+               cast(avg_satisfaction_current as double) sat, cast(plan_tier as varchar) plan_tier
+        from {src}),
+{p}s as (select avg(du) mu, stddev_pop(du) su, avg(dt) mt, stddev_pop(dt) st, avg(ds) ms, stddev_pop(ds) ss,
+                avg(da) ma, stddev_pop(da) sa from {p}a),
+{p}b as (select a.*,
+    case when su is null or isnan(su) or su <= 1e-12 then 0.0 else (du - mu) / su end usage_count_qoq_delta_z,
+    case when st is null or isnan(st) or st <= 1e-12 then 0.0 else (dt - mt) / st end tickets_opened_qoq_delta_z,
+    case when sa is null or isnan(sa) or sa <= 1e-12 then 0.0 else (da - ma) / sa end arr_amount_qoq_delta_z,
+    case when ss is null or isnan(ss) or ss <= 1e-12 then 0.0 else (ds - ms) / ss end seats_qoq_delta_z,
+    cast((year(quarter_end) * 4 + quarter(quarter_end)) - (year(signup_date) * 4 + quarter(signup_date)) + 1
+         as double) tenure
+  from {p}a a cross join {p}s),
+{p}c as (select b.*, case when t.sd is null or t.sd <= 1e-12 then 0.0 else (b.tenure - t.mt2) / t.sd end tenure_z
+         from {p}b b cross join (select avg(tenure) mt2, stddev_samp(tenure) sd from {p}b) t),
+{p}f as (select account_id, signup_date, as_of_date, quarter_end, signup_date_inferred_flag, as_of_date_inferred_flag,
+    usage_count_qoq_delta_z, tickets_opened_qoq_delta_z, least(coalesce(d, 365.0), 365.0) days_to_contract_end_capped,
+    arr_amount_qoq_delta_z, seats_qoq_delta_z, seats, tenure, tenure_z,
+    tenure_z * cast(cast(du < 0 as int) as double) tenure_x_usage_drop_flag,
+    tenure_z * tickets_opened_qoq_delta_z tenure_x_tickets_opened_qoq_delta_z,
+    sat avg_satisfaction, cast(sat is null as int) satisfaction_missing_flag, cast(d is null as int) contract_missing_flag,
+    cast(du < 0 as int) usage_drop_flag, cast(coalesce(d, 365.0) <= 90 as int) contract_ending_soon_flag,
+    coalesce(plan_tier, 'unknown') plan_tier
+  from {p}c)"""
+
+
+META_COLS = ["account_id", "signup_date", "as_of_date", "quarter_end", "signup_date_inferred_flag",
+             "as_of_date_inferred_flag"]
+UPLOAD_DOUBLES = [c for c in FEATURE_DOUBLES]
+
+
+def _upload(extra_ctes: str, body: str, doubles=()) -> str:
+    sql = ctes(*panel_ctes("quarter")) + ",\n" + FIXTURE_CTES + ",\n" + extra_ctes + "\n" + body
+    return rounded(sql, list(doubles))
+
+
+MULTI_CTES = f"""
+anchor as (select {_qe('a')} as_of_date, year({_qe('a')}) * 4 + quarter({_qe('a')}) - 1 qc from (
+  select coalesce(max(d), {TODAY}) a from (
+    select max(start_date) d from subscriptions
+    union all select case when max(end_date) is not null then least(max(end_date), {TODAY}) end from subscriptions
+    union all select max(usage_date) from feature_usage
+    union all select max(cast(submitted_at as date)) from support_tickets))),
+lsub as (select account_id, subscription_id, end_date, plan_tier, seats, arr_amount from subscriptions
+         qualify row_number() over (partition by account_id order by end_date desc nulls first, subscription_id desc) = 1),
+mu as (select subscription_id,
+              sum(usage_count) filter (where year(usage_date) * 4 + quarter(usage_date) - 1 = (select qc from anchor)) uc,
+              sum(usage_count) filter (where year(usage_date) * 4 + quarter(usage_date) - 1 = (select qc from anchor) - 1) up
+       from feature_usage group by subscription_id),
+mt as (select account_id,
+              count(*) filter (where year(submitted_at) * 4 + quarter(submitted_at) - 1 = (select qc from anchor)) tc,
+              count(*) filter (where year(submitted_at) * 4 + quarter(submitted_at) - 1 = (select qc from anchor) - 1) tp,
+              avg(satisfaction_score) filter (where year(submitted_at) * 4 + quarter(submitted_at) - 1
+                                               = (select qc from anchor)) sc
+       from support_tickets group by account_id),
+multi_in as (select l.account_id, a.signup_date, (select as_of_date from anchor) as_of_date, l.plan_tier,
+                    coalesce(mu.uc, 0) usage_count_current, coalesce(mu.up, 0) usage_count_prev,
+                    coalesce(mt.tc, 0) tickets_opened_current, coalesce(mt.tp, 0) tickets_opened_prev,
+                    date_diff('day', (select as_of_date from anchor), l.end_date) days_to_contract_end_current,
+                    l.seats seats_current, l.seats seats_prev, l.arr_amount arr_current, l.arr_amount arr_prev,
+                    mt.sc avg_satisfaction_current
+             from lsub l left join accounts a using (account_id) left join mu using (subscription_id)
+             left join mt using (account_id)),""" + single_builder("multi_in", "m_")
+
+QUARTERLY_CTES = f"""
+prevq as (select account_id, usage_count_total usage_count_total_prevq, ticket_count ticket_count_prevq,
+                 avg_csat avg_csat_prevq, seats seats_prevq, arr_amount arr_amount_prevq from hist
+          qualify as_of_quarter = max(as_of_quarter) over (partition by account_id)),
+q_in as (select n.account_id, n.plan_tier, coalesce(n.usage_count_total, 0) usage_count_current,
+                coalesce(p.usage_count_total_prevq, 0) usage_count_prev, coalesce(n.ticket_count, 0) tickets_opened_current,
+                coalesce(p.ticket_count_prevq, 0) tickets_opened_prev, n.days_to_contract_end days_to_contract_end_current,
+                coalesce(n.seats, 0) seats_current, coalesce(p.seats_prevq, 0) seats_prev,
+                coalesce(n.arr_amount, 0) arr_current, coalesce(p.arr_amount_prevq, 0) arr_prev,
+                n.avg_csat avg_satisfaction_current, {_qe('n.as_of_quarter')} as_of_date, n.signup_date
+         from newq n left join prevq p using (account_id)),""" + single_builder("q_in", "q_") + """,
+meds as (select account_id, median(usage_count_total) hist_usage_median, median(ticket_count) hist_tickets_median,
+                median(avg_csat) hist_csat_median, cast(null as double) hist_resolution_median,
+                cast(null as double) hist_first_response_median from hist group by account_id),
+feats2 as (select f.*, n.as_of_quarter, n.usage_count_total, n.ticket_count, n.avg_csat,
+                  cast(null as double) avg_resolution_hours, cast(null as double) avg_first_response_minutes,
+                  n.escalation_count, cast(null as double) auto_renew_flag, n.days_to_contract_end,
+                  m.hist_usage_median, m.hist_tickets_median, m.hist_csat_median, m.hist_resolution_median,
+                  m.hist_first_response_median, n.plan_tier plan_tier_enrich, n.seats seats_enrich, n.arr_amount,
+                  n.mrr_amount
+           from q_f f left join newq n using (account_id) left join meds m using (account_id))"""
+
+
+def _fmt(x: str, d: int) -> str:
+    return f"printf('%.{d}f', round_even(cast({x} as double), {d}))"
+
+
+EXPLAIN_SELF = """
+self_x as (select *,
+  coalesce(usage_count_total <= 0.8 * hist_usage_median, false) or coalesce(usage_drop_flag, 0) = 1 usage_flag,
+  nullif(concat_ws(' ', case when coalesce(usage_drop_flag, 0) = 1 then 'Usage declined vs previous quarter.' end,
+    case when coalesce(usage_count_total <= 0.8 * hist_usage_median, false) then
+      'Usage is below its historical baseline (current ' || """ + _fmt("usage_count_total", 0) + """ ||
+      ' vs baseline ~' || """ + _fmt("hist_usage_median", 0) + """ || ').' end), '') usage_txt,
+  coalesce(ticket_count >= 1.3 * hist_tickets_median, false) or coalesce(escalation_count, 0) > 0
+    or coalesce(tickets_opened_qoq_delta_z, 0) > 0.6 support_flag,
+  nullif(concat_ws(' ', case when coalesce(escalation_count, 0) > 0 then 'Escalations detected in the quarter.' end,
+    case when coalesce(ticket_count >= 1.3 * hist_tickets_median, false) then
+      'Ticket volume is above its historical baseline (current ' || """ + _fmt("ticket_count", 0) + """ ||
+      ' vs baseline ~' || """ + _fmt("hist_tickets_median", 0) + """ || ').'
+      when coalesce(tickets_opened_qoq_delta_z, 0) > 0.6 then 'Support ticket activity increased vs previous quarter.'
+    end), '') support_txt,
+  coalesce(avg_csat <= 2.5, false) or coalesce(hist_csat_median - avg_csat >= 0.5, false) sat_flag,
+  case when avg_csat is not null then nullif(concat_ws(' ',
+    case when avg_csat <= 2.5 then 'Satisfaction is low (avg CSAT ~' || """ + _fmt("avg_csat", 1) + """ || ').' end,
+    case when hist_csat_median - avg_csat >= 0.5 then
+      'Satisfaction dropped vs its baseline (baseline ~' || """ + _fmt("hist_csat_median", 1) + """ || ').' end),
+    '') end sat_txt,
+  coalesce(days_to_contract_end_capped, 365.0) <= 90 comm_flag,
+  case when coalesce(days_to_contract_end_capped, 365.0) <= 90 then
+    'Contract renewal is within 90 days (ending in ~' || cast(trunc(coalesce(days_to_contract_end_capped, 365.0)) as bigint)
+    || ' days).' || case when coalesce(auto_renew_flag = 0, false) then ' Auto-renew is OFF.' else '' end end comm_txt
+from feats2)"""
+
+
+def _peer_sql(src: str) -> str:
+    pr = lambda v: (f"((rank() over (order by {v}) - 1) + (count(*) over (partition by {v}) + 1) / 2.0)"
+                    f" / count(*) over ()")
+    return f"""
+peer0 as (select *, coalesce(usage_count_qoq_delta_z, 0.0) uz, coalesce(tickets_opened_qoq_delta_z, 0.0) tz,
+                 coalesce(avg_satisfaction, (select coalesce(median(avg_satisfaction), 3.0) from {src})) satf
+          from {src}),
+peer1 as (select *, {pr('uz')} uz_pct, {pr('tz')} tz_pct, {pr('satf')} sat_pct from peer0),
+peer_x as (select *,
+  coalesce(usage_drop_flag, 0) = 1 or uz_pct <= 0.2 usage_flag,
+  nullif(concat_ws(' ', case when coalesce(usage_drop_flag, 0) = 1 then 'Usage trend is declining vs previous quarter.' end,
+    case when uz_pct <= 0.2 then 'Usage is in the bottom range compared to peers in this upload.' end), '') usage_txt,
+  tz_pct >= 0.8 or tz > 0.6 support_flag,
+  nullif(concat_ws(' ', case when tz > 0.6 then 'Support ticket activity is increasing vs previous quarter.' end,
+    case when tz_pct >= 0.8 then 'Ticket increase is in the top range compared to peers in this upload.' end), '')
+    support_txt,
+  coalesce(avg_satisfaction <= 2.5, false) or (sat_pct <= 0.2 and avg_satisfaction is not null) sat_flag,
+  case when avg_satisfaction is not null then nullif(concat_ws(' ',
+    case when avg_satisfaction <= 2.5 then 'Satisfaction is low (avg CSAT ~' || {_fmt('avg_satisfaction', 1)} || ').' end,
+    case when sat_pct <= 0.2 then 'Satisfaction is in the bottom range compared to peers in this upload.' end), '')
+    end sat_txt,
+  coalesce(days_to_contract_end_capped, 365.0) <= 90 comm_flag,
+  case when coalesce(days_to_contract_end_capped, 365.0) <= 90 then
+    'Contract renewal is within 90 days (ending in ~' || cast(trunc(coalesce(days_to_contract_end_capped, 365.0)) as bigint)
+    || ' days).' end comm_txt
+from peer1)"""
+
+
+def _scored_sql() -> str:
+    reco = ("case risk_type when 'Commercial' then 'Focus: Commercial | Confirm renewal timeline, decision makers, and "
+            "success criteria. Align early on the renewal plan.' when 'Usage' then 'Focus: Usage | Identify which "
+            "workflows/features dropped (by role/team). Run enablement and adoption recovery.' when 'Support' then "
+            "'Focus: Support | Review recurring themes and known issues. Validate SLA/response quality and close-loop "
+            "with the customer.' when 'Satisfaction' then 'Focus: Success | Confirm stakeholder sentiment and run a "
+            "recovery plan. Identify top pain points.' else 'Focus: General | Validate health signals and request "
+            "missing data fields if needed.' end")
+    return f"""
+sc0 as (select *, {_prob_sql()} risk_probability,
+  case when comm_flag then 'Commercial' when usage_flag then 'Usage' when support_flag then 'Support'
+       when sat_flag then 'Satisfaction' else 'General' end risk_type,
+  list_filter([case when comm_flag then comm_txt end, case when usage_flag then usage_txt end,
+               case when support_flag then support_txt end, case when sat_flag then sat_txt end],
+              lambda x: x is not null and trim(x) <> '') texts
+  from self_x),
+scored as (select account_id, cast(round_even(risk_probability * 100, 0) as int) risk_score, risk_probability,
+  case when risk_probability >= 0.5 then 'High' when risk_probability >= 0.35 then 'Medium' else 'Low' end risk_tier,
+  risk_type,
+  case when risk_type = 'General' then 'No dominant rule-based driver detected from available fields.'
+       when len(texts) > 0 then array_to_string(list_slice(texts, 1, 3), ' | ')
+       else 'Signals detected, but insufficient detail for explanation.' end drivers,
+  {reco} recommendation,
+  seats, as_of_date, signup_date, quarter_end, signup_date_inferred_flag, as_of_date_inferred_flag, as_of_quarter,
+  usage_count_total, ticket_count, avg_csat, days_to_contract_end, auto_renew_flag, escalation_count,
+  hist_usage_median, hist_tickets_median, hist_csat_median, plan_tier
+  from sc0),
+disp as (select *, printf('%.1f%%', round_even(risk_probability * 100, 1)) risk_probability_pct,
+  coalesce(trim(list_filter(string_split(coalesce(drivers, ''), '|'), lambda x: trim(x) <> '')[1]), '') primary_driver,
+  recommendation primary_reco,
+  case risk_tier when 'High' then 0 when 'Medium' then 1 when 'Low' then 2 else 9 end _tier_order,
+  case risk_tier when 'High' then '🔴 High' when 'Medium' then '🟠 Medium' else '🟢 Low' end risk_badge
+  from scored)"""
+
+
+def oracle_queries_jkl() -> dict[str, str]:
+    feat_dbl = FEATURE_DOUBLES
+    q_all = QUARTERLY_CTES + ",\n" + EXPLAIN_SELF + ",\n" + _scored_sql()
+    expl = "select account_id, usage_flag, usage_txt, support_flag, support_txt, sat_flag, sat_txt, comm_flag, comm_txt"
+    hist_dbl = ["hist_usage_median", "hist_tickets_median", "hist_csat_median"]
+    ctx_dbl = ["seats", "avg_csat", "hist_usage_median", "hist_tickets_median", "hist_csat_median",
+               "days_to_contract_end", "auto_renew_flag"]
+    health = " union all ".join(
+        f"select '{c}' \"column\", count(distinct {c}) unique_values, stddev_samp(cast({c} as double)) std_dev from feats2"
+        for c in ["usage_count_qoq_delta_z", "tickets_opened_qoq_delta_z", "usage_drop_flag",
+                  "days_to_contract_end_capped", "arr_amount_qoq_delta_z", "seats_qoq_delta_z", "seats", "tenure",
+                  "avg_satisfaction"])
+    hist_sql = " union all ".join(f"""
+select {b} bins, cast(i as int) bin, i / {float(b)} lo, (i + 1) / {float(b)} hi,
+       (select count(*) from scored where risk_probability between 0 and 1
+          and least(floor(risk_probability * {b}), {b - 1}) = i) n
+from range({b}) t(i)""" for b in (18, 24))
+    return {
+        "standardised_ingest": _q("select subscription_id, account_id, start_date, end_date, plan_tier, seats, "
+                                  "arr_amount from subscriptions", ["arr_amount"]),
+        "upload_single": _upload(single_builder("sfix", "s_"), "select * from s_f", feat_dbl),
+        "upload_multi": _upload(MULTI_CTES, "select * from m_f", feat_dbl),
+        "history_upsert": _upload("""
+rev as (select * replace (ticket_count + 1 as ticket_count) from newq)""", """
+select account_id, as_of_quarter, usage_count_total, ticket_count from hist
+union all select account_id, as_of_quarter, usage_count_total, ticket_count from rev"""),
+        "history_medians": _upload("""
+meds0 as (select account_id, median(usage_count_total) hist_usage_median, median(ticket_count) hist_tickets_median,
+                 median(avg_csat) hist_csat_median, cast(null as double) hist_resolution_median,
+                 cast(null as double) hist_first_response_median from hist group by account_id)""",
+                                   "select * from meds0", hist_dbl),
+        "upload_quarterly": _upload(QUARTERLY_CTES, "select * from feats2",
+                                    feat_dbl + ["avg_csat", "hist_usage_median", "hist_tickets_median",
+                                                "hist_csat_median", "seats_enrich", "arr_amount", "mrr_amount",
+                                                "avg_resolution_hours", "avg_first_response_minutes",
+                                                "auto_renew_flag", "hist_resolution_median",
+                                                "hist_first_response_median"]),
+        "pct_rank": _upload(QUARTERLY_CTES, """
+select account_id, v, ((rank() over (order by v) - 1) + (count(*) over (partition by v) + 1) / 2.0)
+                      / count(*) over () pct_rank
+from (select account_id, coalesce(usage_count_qoq_delta_z, 0.0) v from feats2)""", ["v", "pct_rank"]),
+        "explain_self": _upload(QUARTERLY_CTES + ",\n" + EXPLAIN_SELF, expl + " from self_x"),
+        "explain_peers": _upload(single_builder("sfix", "s_") + ",\n" + _peer_sql("s_f"), expl + " from peer_x"),
+        "scored": _upload(q_all, "select * from scored", ["risk_probability"] + ctx_dbl),
+        "coverage": _q("""
+select (select count(*) from accounts) accounts, (select count(*) from subscriptions) subscriptions,
+       (select count(distinct subscription_id) from feature_usage)
+         / greatest(1, (select count(distinct subscription_id) from subscriptions)) usage_coverage_subs,
+       (select count(distinct account_id) from support_tickets)
+         / greatest(1, (select count(distinct account_id) from accounts)) ticket_coverage_accounts,
+       '' missing_optional""", ["usage_coverage_subs", "ticket_coverage_accounts"]),
+        "score_health": _upload(q_all, f"""
+select h.*, (select count(distinct risk_probability) <= 3 or coalesce(stddev_samp(risk_probability), 0.0) < 1e-4
+             from scored) degenerate
+from (select 'risk_probability' "column", count(distinct risk_probability) unique_values,
+             stddev_samp(risk_probability) std_dev from scored
+      union all {health}) h""", ["std_dev"]),
+        "kpis": _upload(q_all, """
+select count(*) rows_scored, avg(risk_probability) avg_probability,
+       count(*) filter (where risk_tier = 'High') high_risk, count(*) filter (where risk_tier = 'Medium') medium_risk
+from scored""", ["avg_probability"]),
+        "tier_counts": _upload(q_all, """
+select t.risk_tier, t.tier_order, coalesce(c.n, 0) n
+from (select 'High' risk_tier, 0 tier_order union all select 'Medium', 1 union all select 'Low', 2) t
+left join (select risk_tier, count(*) n from scored group by 1) c using (risk_tier)"""),
+        "prob_histogram": _upload(q_all, hist_sql, ["lo", "hi"]),
+        "top_risk": _upload(q_all, """
+select account_id, risk_badge, risk_probability_pct, risk_type, primary_driver, primary_reco
+from disp order by _tier_order, risk_probability desc, account_id limit 20"""),
+        "driver_counts": _upload(q_all, """
+select driver, count(*) n from (
+  select trim(unnest(string_split(drivers, '|'))) driver from scored
+  where risk_tier in ('High', 'Medium') and drivers is not null) where driver <> ''
+group by driver order by n desc, driver limit 12"""),
+        "risk_view": _upload(q_all, """
+select account_id, risk_score, risk_probability_pct, risk_badge, risk_type, primary_driver, primary_reco,
+       _tier_order, risk_probability
+from disp where risk_tier in ('High', 'Medium') and risk_probability >= 0.0""", ["risk_probability"]),
+    }
+
+
+_hi_oracle = oracle_queries
+
+
+def oracle_queries() -> dict[str, str]:  # noqa: F811
+    out = _hi_oracle()
+    out.update(oracle_queries_jkl())
+    return out
