@@ -218,3 +218,36 @@ def load_spec(spark, path: str) -> LinearSpec:
 
 __all__ = ["FEATURES", "LinearSpec", "Term", "fixed_scorer", "fit_logistic", "fit_preprocessor",
            "class_weight_table", "parse_class_weight", "pick_params", "save_spec", "load_spec"]
+
+
+def timeseries_cv(split_df: DataFrame, label_col: str = "churn_label_q1_rolling", folds: int = 5,
+                  params: dict | None = None) -> DataFrame:
+    """For each of the last ``folds`` labelled quarters, train on all
+    earlier quarters and validate on that quarter; a fold is skipped when the
+    training part is empty or the validation part holds one class.  The fold
+    loop is a handful of driver iterations, each a distributed fit."""
+    from churnlens.operators.metrics import roc_auc
+
+    spark = split_df.sparkSession
+    quarters = [r["_q_idx"] for r in split_df.select("_q_idx").distinct().orderBy("_q_idx").collect()]
+    aucs, skipped = [], 0
+    for q in quarters[-folds:]:
+        tr = split_df.where(F.col("_q_idx") < q)
+        va = split_df.where(F.col("_q_idx") == q)
+        classes = va.select(F.col(label_col).cast("int").alias("y")).distinct().count()
+        if tr.limit(1).count() == 0 or classes < 2:
+            skipped += 1
+            continue
+        spec = fit_logistic(tr, label_col, params)
+        v = va.select(F.col(label_col).cast("int").alias("label"), spec.probability().alias("p"))
+        aucs.append(roc_auc(v).first()["validation_auc"])
+    p = dict(DEFAULT_PARAMS, **(params or {}))
+    schema = ("ts_cv_folds int, ts_cv_skipped_folds int, auc double, best_c double, class_weight string, "
+              "penalty string, l1_ratio double")
+    rows = [(len(aucs), skipped, float(a), float(p["C"]), str(p["class_weight"]), str(p["penalty"]),
+             float(p["l1_ratio"]) if p.get("l1_ratio") is not None else None) for a in aucs] or \
+        [(0, skipped, None, float(p["C"]), str(p["class_weight"]), str(p["penalty"]), None)]
+    df = spark.createDataFrame(rows, schema)
+    return df.groupBy("ts_cv_folds", "ts_cv_skipped_folds", "best_c", "class_weight", "penalty", "l1_ratio").agg(
+        F.avg("auc").alias("ts_cv_auc_mean"), F.min("auc").alias("ts_cv_auc_min"),
+        F.max("auc").alias("ts_cv_auc_max"), F.stddev_pop("auc").alias("ts_cv_auc_std"))

@@ -588,3 +588,53 @@ def q_driver_counts(spark, sf_dir):
 def q_risk_view(spark, sf_dir):
     """B13, L7, L9"""
     return rp.risk_view(scored_quarterly(spark, sf_dir))
+
+
+# ------------------------------------------------------------- fitted model (rows-only checks)
+
+def train_split(spark, sf_dir):
+    s = mt.time_split(feature_frame(spark, sf_dir), LABEL)
+    return cut_lineage(s)
+
+
+@register("trained_scores")
+def q_trained_scores(spark, sf_dir):
+    """Fit the elastic-net model on the training quarters, score
+    the validation quarters (rows-only check; optimality is unit-tested)"""
+    s = train_split(spark, sf_dir)
+    spec = md.fit_logistic(s.where(F.col("split") == "train"), LABEL)
+    v = s.where(F.col("split") == "valid")
+    return v.select("account_id", "quarter", F.col(LABEL).cast("int").alias("label"), spec.probability().alias("p"))
+
+
+@register("trained_metrics")
+def q_trained_metrics(spark, sf_dir):
+    """The model metrics row for the fitted model"""
+    s = train_split(spark, sf_dir)
+    spec = md.fit_logistic(s.where(F.col("split") == "train"), LABEL)
+    v = s.where(F.col("split") == "valid").select(
+        "account_id", "quarter", F.col(LABEL).cast("int").alias("label"), spec.probability().alias("p"))
+    v = cut_lineage(v)
+    p = md.DEFAULT_PARAMS
+    settings = spark.range(1).select(F.lit(float(p["C"])).alias("best_c"), F.lit(p["class_weight"]).alias("class_weight"),
+                                     F.lit(p["penalty"]).alias("penalty"), F.lit(float(p["l1_ratio"])).alias("l1_ratio"))
+    return mt.roc_auc(v).crossJoin(mt.threshold_metrics(v)).crossJoin(settings) \
+        .crossJoin(mt.rank_metrics(v, tie_cols=["account_id", "quarter"]))
+
+
+@register("coefficient_table")
+def q_coefficient_table(spark, sf_dir):
+    """Coefficients, odds ratios, direction and base feature"""
+    s = train_split(spark, sf_dir)
+    spec = md.fit_logistic(s.where(F.col("split") == "train"), LABEL)
+    t = spec.coefficient_table(spark)
+    return t.select("*", F.exp("coefficient").alias("odds_ratio"),
+                    F.when(F.col("coefficient") >= 0, "Increase churn risk").otherwise("Decrease churn risk")
+                    .alias("interpretation"))
+
+
+@register("cv_summary")
+def q_cv_summary(spark, sf_dir):
+    """Expanding-window time-series CV over the last labelled quarters"""
+    s = train_split(spark, sf_dir)
+    return md.timeseries_cv(s, LABEL, folds=5)
