@@ -23,17 +23,11 @@ def time_split(df: DataFrame, label_col: str = "churn_label_q1_rolling", n_valid
     """H1/H2: labelled rows only; the last ``n_valid`` labelled quarters are
     validation.  Adds ``split`` = train | valid (needs >= 2 quarters)."""
     lab = with_quarter_idx(df.where(F.col(label_col).isNotNull()))
-    qs = lab.select("_q_idx").distinct()
-    last = qs.orderBy(F.col("_q_idx").desc()).limit(n_valid).withColumn("_valid", F.lit(True))
-    out = lab.join(F.broadcast(last), "_q_idx", "left") \
-        .withColumn("split", F.when(F.col("_valid"), "valid").otherwise("train")).drop("_valid")
-    return out
-
-
-def assert_enough_quarters(split_df: DataFrame, need: int = 2) -> None:
-    n = split_df.select("_q_idx").distinct().count()
-    if n < need:
+    # at most n_valid quarter numbers: fetched once, used as literals
+    last = [r[0] for r in lab.select("_q_idx").distinct().orderBy(F.col("_q_idx").desc()).limit(n_valid).collect()]
+    if len(last) < n_valid:
         raise ValueError("Need at least 2 quarters for time-based split.")
+    return lab.withColumn("split", F.when(F.col("_q_idx").isin(*last), "valid").otherwise("train"))
 
 
 def roc_auc(scored: DataFrame, label_col: str = "label", score_col: str = "p") -> DataFrame:
@@ -70,10 +64,11 @@ def rank_metrics(scored: DataFrame, label_col: str = "label", score_col: str = "
     order = [F.col(score_col).desc()] + [F.col(c).asc() for c in (tie_cols or [])]
     seq = sequence_within(scored.select(score_col, label_col, *(tie_cols or [])), key_cols=[],
                           order_cols=order, seq_col="k", running_sums={label_col: "tp"})
-    tot = scored.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label_col).cast("double")).alias("npos"))
-    tot = tot.select("n", "npos", *[F.ceil(F.col("n") * f).cast("long").alias(nm)
-                                 for f, nm in ((0.05, "k5"), (0.10, "k10"), (0.20, "k20"))])
-    j = seq.crossJoin(F.broadcast(tot))
+    t = scored.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label_col).cast("double")).alias("npos")).first()
+    n, npos = int(t["n"]), float(t["npos"] or 0.0)
+    j = seq.select("*", F.lit(n).alias("n"), F.lit(npos).alias("npos"),
+                   *[F.ceil(F.lit(n) * F.lit(f)).cast("long").alias(nm)
+                     for f, nm in ((0.05, "k5"), (0.10, "k10"), (0.20, "k20"))])
     prec = F.col("tp") / F.col("k")
     rec = F.when(F.col("npos") > 0, F.col("tp") / F.col("npos")).otherwise(F.lit(0.0))
     j = j.select("*", prec.alias("prec"), rec.alias("rec"))

@@ -3,8 +3,8 @@
 For every numeric ``*_qoq_delta`` / ``*_qoq_change`` column: winsorise to the
 exact [p1, p99] (linear interpolation, nulls skipped), z-score the clipped
 value with the *population* std (std 0 or undefined -> 0.0 for every row),
-and a sign flag.  Two 1-row statistics passes, each joined back as a
-broadcast of one row.
+and a sign flag.  Two 1-row statistics passes; the final row is fetched once
+and inlined as literals.
 """
 
 from __future__ import annotations
@@ -39,10 +39,12 @@ def qoq_statistics(df: DataFrame, cols: list[str] | None = None, method: str = "
     return q.crossJoin(mom).crossJoin(neg)
 
 
-def _clip(c: str):
+def _clip(c: str, lo=None, hi=None):
     v = F.col(c).cast("double")
+    lo = F.col(f"{c}__p1") if lo is None else lo
+    hi = F.col(f"{c}__p99") if hi is None else hi
     # plain least/greatest skip nulls and would invent values: guard the null
-    return F.when(v.isNotNull(), F.least(F.greatest(v, F.col(f"{c}__p1")), F.col(f"{c}__p99")))
+    return F.when(v.isNotNull(), F.least(F.greatest(v, lo), hi))
 
 
 def qoq_transform(df: DataFrame, cols: list[str] | None = None, method: str = "exact",
@@ -52,15 +54,21 @@ def qoq_transform(df: DataFrame, cols: list[str] | None = None, method: str = "e
     if not cols:
         return df
     stats = stats if stats is not None else qoq_statistics(df, cols, method)
-    j = df.crossJoin(F.broadcast(stats))
+    # the statistics are one row: fetch it once and inline it as literals, so
+    # downstream plans neither recompute nor join it
+    row = stats.first().asDict()
     add = []
     for c in cols:
-        clipped = _clip(c)
-        mean, std = F.col(f"{c}__mean"), F.col(f"{c}__std")
-        z = F.when(std.isNull() | F.isnan(std) | (std == 0), F.lit(0.0)).otherwise((clipped - mean) / std)
+        lit = lambda k: F.lit(row[f"{c}__{k}"]).cast("double")
+        clipped = _clip(c, lit("p1"), lit("p99"))
+        std = row[f"{c}__std"]
+        if std is None or std != std or std == 0:
+            z = F.lit(0.0)
+        else:
+            z = (clipped - lit("mean")) / F.lit(float(std))
         add += [clipped.alias(f"{c}_clipped"), z.alias(f"{c}_z"),
                 F.coalesce(F.col(c) < 0, F.lit(False)).cast("int").alias(f"{c}_drop_flag")]
-    return j.select(*[F.col(c) for c in df.columns], *add)
+    return df.select(*[F.col(c) for c in df.columns], *add)
 
 
 def qoq_summary(stats: DataFrame, cols: list[str]) -> DataFrame:
