@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from churnlens.functions.columns import flag
 from churnlens.functions.periods import period_end, period_index, period_label, period_start, within_period_cut
-from churnlens.operators.calendar import account_spine, date_range, period_bounds
+from churnlens.operators.calendar import account_spine, bounds_literals, date_range, period_bounds
 
 DURATION_CANDIDATES = ["usage_duration_secs", "usage_duration_seconds", "usage_duration_sec"]
 BASE_DELTA_COLS = ["usage_count", "usage_hours", "active_days", "errors", "features_used",
@@ -168,7 +168,7 @@ def build_panel(accounts: DataFrame, sub_fact: DataFrame, usage: DataFrame, tick
     """
     n = names(grain)
     rng = date_range(accounts, sub_fact, usage, tickets, churn)
-    bounds = period_bounds(rng, grain)
+    bounds = bounds_literals(period_bounds(rng, grain))
 
     spine = account_spine(accounts, bounds, grain).withColumn("_spine", F.lit(1))
     parts = [spine,

@@ -37,7 +37,6 @@ def coverage(accounts: DataFrame, subs: DataFrame, usage: DataFrame | None, tick
 def score_health(scored: DataFrame, feats: DataFrame | None = None) -> DataFrame:
     """L2: distinct count and sample std per input (and the probability);
     ``degenerate`` when the probability has <= 3 values or std < 1e-4."""
-    cols = [("risk_probability", scored)]
     rows = scored.agg(F.countDistinct("risk_probability").alias("u"),
                       F.stddev_samp("risk_probability").alias("s")).select(
         F.lit("risk_probability").alias("column"), F.col("u").alias("unique_values"), F.col("s").alias("std_dev"))
@@ -50,7 +49,6 @@ def score_health(scored: DataFrame, feats: DataFrame | None = None) -> DataFrame
         rows = rows.unionByName(agg.select(F.explode(arr).alias("x")).select("x.*"))
     p = rows.where(F.col("column") == "risk_probability").select(
         ((F.col("unique_values") <= 3) | (F.coalesce(F.col("std_dev"), F.lit(0.0)) < 1e-4)).alias("degenerate"))
-    del cols
     return rows.crossJoin(p)
 
 
@@ -127,3 +125,12 @@ def driver_counts(scored: DataFrame, k: int = 12) -> DataFrame:
 def lookup(scored: DataFrame, account_id: str) -> DataFrame:
     """One account's rows."""
     return scored.where(F.col("account_id") == F.lit(str(account_id)))
+
+
+DISPLAY_COLS = ["risk_probability_pct", "primary_driver", "primary_reco", "_tier_order", "risk_badge"]
+
+
+def export_scored(scored: DataFrame, path: str) -> None:
+    """A10: the scored table without display-only columns, as CSV with a header."""
+    scored.drop(*[c for c in DISPLAY_COLS if c in scored.columns]) \
+        .write.mode("overwrite").option("header", True).csv(path)

@@ -638,3 +638,12 @@ def q_cv_summary(spark, sf_dir):
     """Expanding-window time-series CV over the last labelled quarters"""
     s = train_split(spark, sf_dir)
     return md.timeseries_cv(s, LABEL, folds=5)
+
+
+@register("driver_strength")
+def q_driver_strength(spark, sf_dir):
+    """Global driver strength -- absolute coefficients summed per base feature"""
+    s = train_split(spark, sf_dir)
+    spec = md.fit_logistic(s.where(F.col("split") == "train"), LABEL)
+    t = spec.coefficient_table(spark)
+    return t.groupBy("base_feature").agg(F.sum("abs_coefficient").alias("abs_coefficient"))
