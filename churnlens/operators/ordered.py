@@ -13,7 +13,8 @@ may hold a large share of the rows (or there is no key at all) we instead:
 3. pass B (``mapInArrow``): local row numbers / leads / running sums per
    partition, seeded with the carry-over of earlier partitions.
 
-Small groups take the plain window path (one shuffle, codegen'd).
+Keyed calls whose largest group passes a size check take the plain window
+path (one shuffle, codegen'd); keyless calls always take the range path.
 """
 
 from __future__ import annotations
@@ -51,8 +52,12 @@ def sequence_within(df: DataFrame, key_cols: Sequence[str], order_cols: Sequence
     spark = df.sparkSession
     method = method or spark.conf.get(METHOD_CONF, "auto")
     if method == "auto":
-        limit = int(spark.conf.get(MAX_GROUP_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
-        method = "window" if _largest_group(df, key_cols) <= limit else "range"
+        if not key_cols:
+            # a global order is never funnelled through one task
+            method = "range"
+        else:
+            limit = int(spark.conf.get(MAX_GROUP_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
+            method = "window" if _largest_group(df, key_cols) <= limit else "range"
     if method == "window":
         return _by_window(df, key_cols, order_cols, seq_col, lead_cols, running_sums)
     if method == "range":

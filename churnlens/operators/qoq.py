@@ -24,19 +24,29 @@ def qoq_columns(df: DataFrame) -> list[str]:
             if ("_qoq_delta" in f.name or "_qoq_change" in f.name) and isinstance(f.dataType, NUMERIC)]
 
 
-def qoq_statistics(df: DataFrame, cols: list[str] | None = None, method: str = "exact") -> DataFrame:
-    """One row: ``{c}__p1``, ``{c}__p99``, ``{c}__mean``, ``{c}__std`` per column."""
+def qoq_statistics(df: DataFrame, cols: list[str] | None = None, method: str = "exact") -> dict:
+    """Per column p1, p99, mean / population std of the clipped value and
+    the share of negative raw values.  Two aggregate passes whose one-row
+    results are fetched and kept as plain numbers (inlined later as
+    literals, so no plan recomputes them)."""
     cols = cols if cols is not None else qoq_columns(df)
-    q = quantile_row(df, cols, [0.01, 0.99], method)
-    q = q.select(*[F.col(f"{c}__q0").alias(f"{c}__p1") for c in cols],
-                 *[F.col(f"{c}__q1").alias(f"{c}__p99") for c in cols])
-    clipped = df.select(*cols).crossJoin(F.broadcast(q)).select(
-        *[_clip(c).alias(c) for c in cols])
-    mom = clipped.agg(*[F.avg(c).alias(f"{c}__mean") for c in cols],
-                      *[F.stddev_pop(c).alias(f"{c}__std") for c in cols])
-    neg = df.agg(*[F.avg(F.coalesce(F.col(c) < 0, F.lit(False)).cast("double")).alias(f"{c}__pct_negative")
-                   for c in cols])
-    return q.crossJoin(mom).crossJoin(neg)
+    if not cols:
+        return {}
+    q = quantile_row(df, cols, [0.01, 0.99], method).first().asDict()
+    stats = {}
+    for c in cols:
+        stats[f"{c}__p1"], stats[f"{c}__p99"] = q[f"{c}__q0"], q[f"{c}__q1"]
+    clipped = [_clip(c, _lit(stats[f"{c}__p1"]), _lit(stats[f"{c}__p99"])).alias(c) for c in cols]
+    m = df.select(*clipped, *[F.col(c).alias(f"_raw_{c}") for c in cols]).agg(
+        *[F.avg(c).alias(f"{c}__mean") for c in cols], *[F.stddev_pop(c).alias(f"{c}__std") for c in cols],
+        *[F.avg(F.coalesce(F.col(f"_raw_{c}") < 0, F.lit(False)).cast("double")).alias(f"{c}__pct_negative")
+          for c in cols]).first().asDict()
+    stats.update(m)
+    return stats
+
+
+def _lit(v):
+    return F.lit(v).cast("double")
 
 
 def _clip(c: str, lo=None, hi=None):
@@ -48,15 +58,12 @@ def _clip(c: str, lo=None, hi=None):
 
 
 def qoq_transform(df: DataFrame, cols: list[str] | None = None, method: str = "exact",
-                  stats: DataFrame | None = None) -> DataFrame:
+                  stats: dict | None = None) -> DataFrame:
     """Add ``_clipped``, ``_z`` and ``_drop_flag`` per QoQ column."""
     cols = cols if cols is not None else qoq_columns(df)
     if not cols:
         return df
-    stats = stats if stats is not None else qoq_statistics(df, cols, method)
-    # the statistics are one row: fetch it once and inline it as literals, so
-    # downstream plans neither recompute nor join it
-    row = stats.first().asDict()
+    row = stats if stats is not None else qoq_statistics(df, cols, method)
     add = []
     for c in cols:
         lit = lambda k: F.lit(row[f"{c}__{k}"]).cast("double")
@@ -71,10 +78,10 @@ def qoq_transform(df: DataFrame, cols: list[str] | None = None, method: str = "e
     return df.select(*[F.col(c) for c in df.columns], *add)
 
 
-def qoq_summary(stats: DataFrame, cols: list[str]) -> DataFrame:
+def qoq_summary(spark, stats: dict, cols: list[str]) -> DataFrame:
     """Per feature p1, p99, mean and population std of the clipped value,
-    share of negative raw deltas (over all rows)."""
-    rows = [F.struct(F.lit(c).alias("feature"), F.col(f"{c}__p1").alias("p1"), F.col(f"{c}__p99").alias("p99"),
-                     F.col(f"{c}__mean").alias("mean_clipped"), F.col(f"{c}__std").alias("std_clipped"),
-                     F.col(f"{c}__pct_negative").alias("pct_negative")) for c in cols]
-    return stats.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    share of negative raw deltas (over all rows) -- one row per feature."""
+    rows = [(c, stats[f"{c}__p1"], stats[f"{c}__p99"], stats[f"{c}__mean"], stats[f"{c}__std"],
+             stats[f"{c}__pct_negative"]) for c in cols]
+    return spark.createDataFrame(rows, "feature string, p1 double, p99 double, mean_clipped double, "
+                                       "std_clipped double, pct_negative double")

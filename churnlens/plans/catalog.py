@@ -217,9 +217,9 @@ def q_qoq_processed(spark, sf_dir):
 def q_qoq_summary(spark, sf_dir):
     """E6"""
     from churnlens.plans.inputs import panel as build
-    p = build(spark, sf_dir, "quarter")
+    p = build(spark, sf_dir, "quarter", materialise=True)
     cols = qq.qoq_columns(p)
-    return qq.qoq_summary(qq.qoq_statistics(p, cols), cols)
+    return qq.qoq_summary(spark, qq.qoq_statistics(p, cols), cols)
 
 
 @register("missing_flags")
