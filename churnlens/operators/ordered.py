@@ -32,7 +32,7 @@ from churnlens.session import cut_lineage
 
 METHOD_CONF = "churnlens.sequence.method"            # auto | window | range
 MAX_GROUP_CONF = "churnlens.sequence.maxGroupRows"   # auto threshold
-DEFAULT_MAX_GROUP_ROWS = 1_000_000
+DEFAULT_MAX_GROUP_ROWS = 250_000
 
 
 def _as_col(c) -> Column:

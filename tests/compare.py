@@ -9,6 +9,8 @@ import sys
 import duckdb
 import pandas as pd
 
+STRICT = os.environ.get("COMPARE_STRICT") == "1"
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -33,7 +35,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 5)
+        return v if STRICT else round(v, 5)
     if hasattr(v, "isoformat"):
         return str(pd.Timestamp(v))
     if hasattr(v, "item"):

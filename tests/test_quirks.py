@@ -104,3 +104,12 @@ def test_auc_matches_pair_count(spark):
     neg = [p for p, y in rows if y == 0]
     want = sum(1.0 if a > b else 0.5 if a == b else 0.0 for a, b in itertools.product(pos, neg)) / (len(pos) * len(neg))
     assert abs(got - want) < 1e-12
+
+
+def test_lookup_and_odds_ratio(spark):
+    from churnlens.operators import model, report
+    df = spark.createDataFrame([("a", 0.7), ("b", 0.2)], "account_id string, risk_probability double")
+    assert [r.account_id for r in report.lookup(df, "b").collect()] == ["b"]
+    t = model.fixed_scorer().coefficient_table(spark)
+    row = t.where(F.col("feature") == "cat__plan_tier_none").first()
+    assert row.base_feature == "plan_tier_none" and row.abs_coefficient == 0.6
