@@ -113,3 +113,27 @@ def test_lookup_and_odds_ratio(spark):
     t = model.fixed_scorer().coefficient_table(spark)
     row = t.where(F.col("feature") == "cat__plan_tier_none").first()
     assert row.base_feature == "plan_tier_none" and row.abs_coefficient == 0.6
+
+
+def test_row_level_baseline_falls_back_to_peers(spark):
+    from churnlens.operators import explain, model
+    from churnlens.plans.catalog import quarterly_features
+    f = quarterly_features(spark, "/root/testdata/sf0.001")
+    # drop the history medians of half the rows: those rows must use peer texts
+    f2 = f.withColumn("hist_usage_median", F.when(F.abs(F.hash("account_id")) % 2 == 0, F.col("hist_usage_median"))) \
+        .withColumn("hist_tickets_median", F.when(F.abs(F.hash("account_id")) % 2 == 0, F.col("hist_tickets_median"))) \
+        .withColumn("hist_csat_median", F.when(F.abs(F.hash("account_id")) % 2 == 0, F.col("hist_csat_median"))) \
+        .withColumn("usage_count_total", F.col("usage_count_total"))
+    out = explain.score(f2, model.fixed_scorer(), row_level=True)
+    no_hist = out.where(F.col("hist_usage_median").isNull() & F.col("hist_tickets_median").isNull()
+                        & F.col("hist_csat_median").isNull())
+    assert no_hist.where(F.col("drivers").contains("historical baseline")).count() == 0
+    assert out.count() == f.count()
+
+
+def test_approx_quantiles_close_to_exact(spark):
+    from churnlens.operators import stats
+    df = spark.range(0, 20000).select(((F.col("id") * 7919) % 10007).cast("double").alias("x"))
+    e = stats.exact_quantiles(df, ["x"], [0.01, 0.5, 0.99]).first()
+    a = stats.approx_quantiles(df, ["x"], [0.01, 0.5, 0.99]).first()
+    assert all(abs(e[f"q{i}"] - a[f"q{i}"]) <= 10007 * 0.002 for i in range(3))
