@@ -22,7 +22,7 @@ def quarter_column(df: DataFrame) -> str:
 def panel_shape(df: DataFrame) -> DataFrame:
     """M1: rows, columns, distinct accounts, distinct quarters."""
     q = quarter_column(df)
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).alias("n_cols"),
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).cast("long").alias("n_cols"),
                   F.countDistinct("account_id").alias("n_accounts"),
                   F.countDistinct(F.col(q).cast("string")).alias("n_quarters"))
 

@@ -268,6 +268,7 @@ KEYS = ["account_id", "quarter", "quarter_end", "churn_label_q1_rolling"]
 def feature_frame(spark, sf_dir):
     p = processed_panel_for(spark, sf_dir)
     p = fl.clean_label_binary(fl.ensure_label(p), "churn_label_q1_rolling")
+    p = p.withColumn("churn_label_q1_rolling", F.col("churn_label_q1_rolling").cast("int"))
     return ft.build_feature_set(ft.add_tenure(p), keep=KEYS)
 
 
