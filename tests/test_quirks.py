@@ -137,3 +137,33 @@ def test_approx_quantiles_close_to_exact(spark):
     e = stats.exact_quantiles(df, ["x"], [0.01, 0.5, 0.99]).first()
     a = stats.approx_quantiles(df, ["x"], [0.01, 0.5, 0.99]).first()
     assert all(abs(e[f"q{i}"] - a[f"q{i}"]) <= 10007 * 0.002 for i in range(3))
+
+
+def test_observed_until_moves_the_censoring_horizon(spark):
+    from churnlens.plans.inputs import load_facts
+    f = load_facts(spark, "/root/testdata/sf0.001")
+    p = panel.build_panel(f.accounts, f.sub_fact, f.usage, f.tickets_fact, f.churn_fact, "quarter",
+                          observed_until_idx=2000 * 4)
+    # quarters from 2000Q1 on cannot see a full next quarter: q1 labels masked there
+    late = p.where(F.col("quarter_end") >= F.lit("2000-01-01").cast("date"))
+    assert late.where(F.col("churn_label_q1_rolling").isNotNull()).count() == 0
+    early = p.where(F.col("quarter_end") < F.lit("1999-10-01").cast("date"))
+    assert early.where(F.col("churn_label_q1_rolling").isNull()).count() == 0
+
+
+def test_month_panel_names_and_no_labels(spark):
+    from churnlens.plans.inputs import panel as build
+    p = build(spark, "/root/testdata/sf0.001", "month")
+    cols = set(p.columns)
+    assert {"period", "period_start", "period_end", "usage_count_mom_delta", "usage_count_roll3_mean",
+            "usage_count_roll3_change", "active_sub_at_period_end"} <= cols
+    assert not any("label" in c or "qoq" in c for c in cols)
+
+
+def test_find_column_exact_then_substring():
+    from churnlens.sources.aliases import find_column
+    cols = ["Customer ID", "Contract-End", "csat score"]
+    assert find_column(cols, ["customer_id"]) == "Customer ID"
+    assert find_column(cols, ["contractend"]) == "Contract-End"
+    assert find_column(cols, ["csat"]) is None
+    assert find_column(cols, ["csat"], substring=True) == "csat score"
