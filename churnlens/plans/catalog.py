@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.functions.columns import round_doubles
-from churnlens.functions.periods import period_index, period_label
+from churnlens.functions.periods import period_label
 from churnlens.operators import calendar as cal
 from churnlens.operators import facts as fx
 from churnlens.operators import panel as pn

@@ -4,7 +4,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from churnlens.operators import facts, metrics, panel, qoq, risk, upload
-from churnlens.operators.calendar import period_bounds
+
 
 D = dt.date
 
