@@ -1,10 +1,9 @@
-"""Shared lazy inputs for the registered queries: raw tables from the test
-adapter, facts, and the processed quarter panel.  Nothing here collects."""
+"""Shared inputs for the registered queries: raw tables from the test
+adapter, facts, and the panel.  Nothing here collects rows; the only eager
+work is the sequencer's size check and an optional reliable checkpoint."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 
 from churnlens.operators import facts
@@ -13,25 +12,36 @@ from churnlens.sources.adapter import raw_tables
 from churnlens.session import cut_lineage
 
 
-@dataclass
 class Facts:
-    accounts: DataFrame
-    subscriptions: DataFrame
-    usage: DataFrame
-    tickets: DataFrame
-    churn: DataFrame
-    sub_fact: DataFrame
-    tickets_fact: DataFrame
-    churn_fact: DataFrame
+    """Raw tables and facts of one input folder.  The sequenced facts are
+    built on first use (building them runs a size check), so queries that do
+    not need them skip that job."""
+
+    def __init__(self, raw):
+        self.accounts: DataFrame = raw.accounts
+        self.subscriptions: DataFrame = raw.subscriptions
+        self.usage: DataFrame = raw.feature_usage
+        self.tickets: DataFrame = raw.support_tickets
+        self.churn: DataFrame = raw.churn_events
+        self.tickets_fact: DataFrame = facts.tickets_fact(raw.support_tickets)
+        self._sub_fact = None
+        self._churn_fact = None
+
+    @property
+    def sub_fact(self) -> DataFrame:
+        if self._sub_fact is None:
+            self._sub_fact = facts.subscription_fact(self.subscriptions)
+        return self._sub_fact
+
+    @property
+    def churn_fact(self) -> DataFrame:
+        if self._churn_fact is None:
+            self._churn_fact = facts.churn_fact(self.churn)
+        return self._churn_fact
 
 
 def load_facts(spark: SparkSession, sf_dir: str) -> Facts:
-    raw = raw_tables(spark, sf_dir)
-    sub_fact = facts.subscription_fact(raw.subscriptions)
-    return Facts(accounts=raw.accounts, subscriptions=raw.subscriptions, usage=raw.feature_usage,
-                 tickets=raw.support_tickets, churn=raw.churn_events, sub_fact=sub_fact,
-                 tickets_fact=facts.tickets_fact(raw.support_tickets),
-                 churn_fact=facts.churn_fact(raw.churn_events))
+    return Facts(raw_tables(spark, sf_dir))
 
 
 def panel(spark: SparkSession, sf_dir: str, grain: str = "quarter", f: Facts | None = None,
