@@ -14,6 +14,9 @@ from churnlens.functions.periods import period_index, period_label
 from churnlens.operators.ordered import sequence_within
 
 
+SALTS = 32
+
+
 def with_quarter_idx(df: DataFrame) -> DataFrame:
     """Quarter order from ``quarter_end`` (text label when absent)."""
     return df.withColumn("_q_idx", period_index(F.to_date("quarter_end")))
@@ -72,34 +75,44 @@ def rank_metrics(scored: DataFrame, label_col: str = "label", score_col: str = "
     prec = F.col("tp") / F.col("k")
     rec = F.when(F.col("npos") > 0, F.col("tp") / F.col("npos")).otherwise(F.lit(0.0))
     j = j.select("*", prec.alias("prec"), rec.alias("rec"))
+    first_best = {c: F.max_by("k", F.struct(F.col(c), -F.col("k"))) for c in ("prec", "rec")}
     at = j.agg(
         F.max(F.when(F.col("k") == F.col("k5"), F.col("prec"))).alias("precision_top5"),
         F.max(F.when(F.col("k") == F.col("k5"), F.col("rec"))).alias("recall_top5"),
         F.max(F.when(F.col("k") == F.col("k10"), F.col("prec"))).alias("precision_top10"),
         F.max(F.when(F.col("k") == F.col("k20"), F.col("rec"))).alias("recall_top20"),
         F.max("prec").alias("best_precision_at_k"), F.max("rec").alias("best_recall_at_k"),
-        F.first("n").alias("n"), F.first("npos").alias("npos"))
-    best = j.crossJoin(F.broadcast(at.select("best_precision_at_k", "best_recall_at_k"))).agg(
-        F.min(F.when(F.col("prec") == F.col("best_precision_at_k"), F.col("k"))).alias("best_precision_k"),
-        F.min(F.when(F.col("rec") == F.col("best_recall_at_k"), F.col("k"))).alias("best_recall_k"))
-    base = F.col("npos") / F.col("n")
-    return at.crossJoin(best).select(
-        "precision_top5", "recall_top5", "precision_top10", "recall_top20",
-        F.when(base > 0, F.col("precision_top10") / base).alias("lift_top10"),
+        first_best["prec"].alias("best_precision_k"), first_best["rec"].alias("best_recall_k"))
+    base = npos / n if n else 0.0
+    lift = F.col("precision_top10") / F.lit(base) if base > 0 else F.lit(None).cast("double")
+    return at.select(
+        "precision_top5", "recall_top5", "precision_top10", "recall_top20", lift.alias("lift_top10"),
         "best_precision_at_k", "best_precision_k", "best_recall_at_k", "best_recall_k")
 
 
-def pct_rank(df: DataFrame, value_col: str, out_col: str) -> DataFrame:
-    """K2: average rank / non-null count (pandas ``rank(pct=True)``); null
-    stays null.  Counts per distinct value, running sum in value order,
-    joined back on the value."""
-    v = df.where(F.col(value_col).isNotNull()).groupBy(F.col(value_col).alias("_v")) \
-        .agg(F.count(F.lit(1)).alias("_c"))
-    seq = sequence_within(v, key_cols=[], order_cols=[F.col("_v").asc()], running_sums={"_c": "_cum"})
-    n = v.agg(F.sum("_c").alias("_n"))
-    ranks = seq.crossJoin(F.broadcast(n)).select(
-        "_v", ((F.col("_cum") - F.col("_c") + (F.col("_c") + 1) / 2.0) / F.col("_n")).alias(out_col))
-    return df.join(ranks, df[value_col] == ranks["_v"], "left").drop("_v")
+def pct_ranks(df: DataFrame, value_cols: dict[str, str], id_col: str) -> DataFrame:
+    """K2 for several columns at once, {value: output}: average rank / non-null
+    count (pandas ``rank(pct=True)``); null stays null.  ``id_col`` is unique.
+
+    The values are unpivoted to (column, value, id) and numbered together; the
+    rank of a value is the mean of its first and last number, which a window
+    over the *numbered distinct values* gives, and the ranks come back by id,
+    so no join has a value for its key."""
+    names = list(value_cols)
+    long = df.select(F.col(id_col), F.explode(F.array(*[
+        F.struct(F.lit(i).alias("c"), F.col(v).cast("double").alias("v")) for i, v in enumerate(names)])).alias("x")
+    ).select(id_col, "x.c", "x.v").where(F.col("v").isNotNull())
+    # rows of equal value are told apart by id: a dominant value is spread over range partitions
+    seq = sequence_within(long, key_cols=["c"], order_cols=[F.col("v").asc(), F.col(id_col).asc()], seq_col="k")
+    per_value = seq.groupBy("c", "v").agg(((F.min("k") + F.max("k")) / 2.0).alias("r"))
+    n = {r["c"]: r["n"] for r in long.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per column
+    size = F.coalesce(*[F.when(F.col("c") == i, F.lit(m)) for i, m in n.items()], F.lit(1))
+    # a dominant value is a hot join key: deal its rows over salts, its one rank to each salt
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    ranked = (seq.withColumn("salt", F.pmod("k", F.lit(SALTS)).cast("int"))
+              .join(per_value.withColumn("salt", salts), ["c", "v", "salt"]).groupBy(id_col).agg(*[
+                  F.max(F.when(F.col("c") == i, F.col("r") / size)).alias(out) for i, out in enumerate(value_cols.values())]))
+    return df.join(ranked, id_col, "left")
 
 
 def validation_report(split_df: DataFrame, label_col: str = "churn_label_q1_rolling") -> DataFrame:

@@ -2,37 +2,33 @@
 
 ``Window.partitionBy(key).orderBy(...)`` sends a whole key to one task, and a
 window without ``partitionBy`` sends the whole table to one task.  When a key
-may hold a large share of the rows (or there is no key at all) we instead:
-
-1. range-partition on (key, order) and sort inside partitions, so a hot key
-   is spread over several ordered partitions; cut lineage with a reliable
-   checkpoint so both passes below see identical partitions;
-2. pass A (``mapInArrow``): one summary row per partition (first/last key,
-   their row counts and sums, first row's lead values) -- O(partitions) rows,
-   the only thing that reaches the driver;
-3. pass B (``mapInArrow``): local row numbers / leads / running sums per
-   partition, seeded with the carry-over of earlier partitions.
-
-Keyed calls whose largest group passes a size check take the plain window
-path (one shuffle, codegen'd); keyless calls always take the range path.
+may hold a large share of the rows (or there is no key at all) that does not
+scale.  One plan serves every size:
+
+1. range-partition on (key, order), so that a hot key is spread over several
+   consecutive partitions, and store the partition number as a column;
+2. window inside (stored partition, key): a group is never larger than one
+   range partition;
+3. write that to the reliable checkpoint, so that the stored numbers are fixed
+   whatever later regroups or recomputes the rows;
+4. a key that continues from an earlier partition gets the totals of its
+   earlier partitions added, and the last row of a key's share of a partition
+   gets the next share's first row as its lead.  At most one key per partition
+   continues and at most one goes on, so this correction has at most two rows
+   a partition and is broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from churnlens.session import cut_lineage
 
-METHOD_CONF = "churnlens.sequence.method"            # auto | window | range
-MAX_GROUP_CONF = "churnlens.sequence.maxGroupRows"   # auto threshold
-DEFAULT_MAX_GROUP_ROWS = 250_000
+PART, LOCAL = "_seq_part", "_seq_local"
 
 
 def _as_col(c) -> Column:
@@ -41,250 +37,52 @@ def _as_col(c) -> Column:
 
 def sequence_within(df: DataFrame, key_cols: Sequence[str], order_cols: Sequence,
                     seq_col: str | None = None, lead_cols: dict[str, str] | None = None,
-                    running_sums: dict[str, str] | None = None, method: str | None = None,
+                    running_sums: dict[str, str] | None = None,
                     num_partitions: int | None = None) -> DataFrame:
     """Add ``seq_col`` (1-based), ``lead_cols`` {src: dst} (next row's value
     within the key, else null) and ``running_sums`` {src: dst} (inclusive
-    running sum as double) in the order ``order_cols`` inside ``key_cols``.
-    ``order_cols`` must make the order total (end with a unique key)."""
-    lead_cols = dict(lead_cols or {})
-    running_sums = dict(running_sums or {})
-    spark = df.sparkSession
-    method = method or spark.conf.get(METHOD_CONF, "auto")
-    if method == "auto":
-        if not key_cols:
-            # a global order is never funnelled through one task
-            method = "range"
-        else:
-            limit = int(spark.conf.get(MAX_GROUP_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
-            method = "window" if _largest_group(df, key_cols) <= limit else "range"
-    if method == "window":
-        return _by_window(df, key_cols, order_cols, seq_col, lead_cols, running_sums)
-    if method == "range":
-        return _by_range(df, key_cols, order_cols, seq_col, lead_cols, running_sums, num_partitions)
-    raise ValueError(f"unknown sequencing method {method!r}")
-
-
-def _largest_group(df: DataFrame, key_cols: Sequence[str]) -> int:
-    """Size check that picks the strategy (an aggregate, never a collect of rows)."""
-    if not key_cols:
-        return df.count()
-    row = df.groupBy(*key_cols).count().agg(F.max("count").alias("m")).first()
-    return int(row["m"] or 0)
-
-
-def _by_window(df, key_cols, order_cols, seq_col, lead_cols, running_sums):
-    w = Window.orderBy(*[_as_col(c) for c in order_cols])
-    if key_cols:
-        w = Window.partitionBy(*key_cols).orderBy(*[_as_col(c) for c in order_cols])
-    out = df
-    if seq_col:
-        out = out.withColumn(seq_col, F.row_number().over(w).cast("long"))
-    for src, dst in lead_cols.items():
-        out = out.withColumn(dst, F.lead(src).over(w))
-    cum = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for src, dst in running_sums.items():
-        out = out.withColumn(dst, F.sum(F.col(src).cast("double")).over(cum))
-    return out
-
-
-# ---------------------------------------------------------------- range path
-
-def _same_as_prev(keys: list[np.ndarray], n: int) -> np.ndarray:
-    same = np.ones(max(n - 1, 0), dtype=bool)
-    for k in keys:
-        same &= (k[1:] == k[:-1])
-    return same
-
-
-def _key_arrays(batch: pa.RecordBatch, key_cols) -> list[np.ndarray]:
-    return [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in key_cols]
-
-
-def _key_at(keys, i):
-    return tuple(k[i] for k in keys)
-
-
-def _by_range(df, key_cols, order_cols, seq_col, lead_cols, running_sums, num_partitions):
-    spark = df.sparkSession
-    p = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sort = [F.col(k).asc() for k in key_cols] + [_as_col(c) for c in order_cols]
-    ordered = cut_lineage(df.repartitionByRange(p, *sort).sortWithinPartitions(*sort))
-    schema = ordered.schema
-    key_cols = list(key_cols)
-    lead_src = list(lead_cols)
-    sum_src = list(running_sums)
-
-    # ---- pass A: one summary row per non-empty partition
-    summ_fields = [T.StructField("pid", T.IntegerType()), T.StructField("n_total", T.LongType())]
-    for tag in ("first", "last"):
-        summ_fields += [T.StructField(f"{tag}_k{i}", schema[k].dataType) for i, k in enumerate(key_cols)]
-        summ_fields += [T.StructField(f"n_{tag}", T.LongType())]
-        summ_fields += [T.StructField(f"{tag}_s{i}", T.DoubleType()) for i, _ in enumerate(sum_src)]
-    summ_fields += [T.StructField(f"lead_v{i}", schema[c].dataType) for i, c in enumerate(lead_src)]
-    summ_schema = T.StructType(summ_fields)
-
-    def summarise(batches):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        first_key = first_lead = None
-        last_key, n_total, n_first, n_last = None, 0, 0, 0
-        s_first = np.zeros(len(sum_src))
-        s_last = np.zeros(len(sum_src))
-        first_done = False
-        for b in batches:
-            n = b.num_rows
-            if n == 0:
-                continue
-            keys = _key_arrays(b, key_cols)
-            vals = [np.nan_to_num(b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
-                                  .astype("float64")) for c in sum_src]
-            if first_key is None:
-                first_key = _key_at(keys, 0)
-                first_lead = [b.column(b.schema.get_field_index(c))[0].as_py() for c in lead_src]
-            same = _same_as_prev(keys, n)
-            # rows still belonging to the partition's first key
-            if not first_done:
-                run = n if same.all() else int(np.argmin(same)) + 1
-                if _key_at(keys, 0) != first_key:
-                    run = 0
-                n_first += run
-                for i, v in enumerate(vals):
-                    s_first[i] += v[:run].sum()
-                if run < n:
-                    first_done = True
-            # trailing run of the partition's last key
-            breaks = np.nonzero(~same)[0]
-            tail_start = int(breaks[-1]) + 1 if len(breaks) else 0
-            tail_key = _key_at(keys, n - 1)
-            if tail_start == 0 and last_key == tail_key:
-                n_last += n
-                for i, v in enumerate(vals):
-                    s_last[i] += v.sum()
-            else:
-                n_last = n - tail_start
-                for i, v in enumerate(vals):
-                    s_last[i] = v[tail_start:].sum()
-            last_key = tail_key
-            n_total += n
-        if first_key is None:
-            return
-        row = {"pid": [pid], "n_total": [n_total]}
-        for tag, key, cnt, sums in (("first", first_key, n_first, s_first), ("last", last_key, n_last, s_last)):
-            for i, v in enumerate(key):
-                row[f"{tag}_k{i}"] = [v.item() if hasattr(v, "item") else v]
-            row[f"n_{tag}"] = [cnt]
-            for i in range(len(sum_src)):
-                row[f"{tag}_s{i}"] = [float(sums[i])]
-        for i, v in enumerate(first_lead):
-            row[f"lead_v{i}"] = [v]
-        yield pa.RecordBatch.from_pydict(row, schema=_arrow_schema(summ_schema))
-
-    summaries = sorted(ordered.mapInArrow(summarise, summ_schema).collect(), key=lambda r: r["pid"])
-
-    # ---- carry-over per partition (O(partitions) work on the driver)
-    fixes = {}
-    chain = None  # (key, rows so far, sums so far) of the key open at the previous partition end
-    for i, r in enumerate(summaries):
-        fk = tuple(r[f"first_k{j}"] for j in range(len(key_cols)))
-        lk = tuple(r[f"last_k{j}"] for j in range(len(key_cols)))
-        fs = [r[f"first_s{j}"] for j in range(len(sum_src))]
-        ls = [r[f"last_s{j}"] for j in range(len(sum_src))]
-        if chain is not None and chain[0] == fk:
-            carry = (fk, chain[1], list(chain[2]))
-        else:
-            carry = None
-        if fk == lk and r["n_first"] == r["n_total"]:
-            base_n = carry[1] if carry else 0
-            base_s = carry[2] if carry else [0.0] * len(sum_src)
-            chain = (fk, base_n + r["n_total"], [a + b for a, b in zip(base_s, fs)])
-        else:
-            chain = (lk, r["n_last"], ls)
-        nxt = summaries[i + 1] if i + 1 < len(summaries) else None
-        lead = None
-        if nxt is not None:
-            nk = tuple(nxt[f"first_k{j}"] for j in range(len(key_cols)))
-            if nk == lk:
-                lead = (lk, [nxt[f"lead_v{j}"] for j in range(len(lead_src))])
-        fixes[r["pid"]] = (carry, lead)
-
-    # ---- pass B: local sequencing seeded with the carry-over
-    out_fields = list(schema.fields)
+    running sum as double; null while every value so far is null) in the order
+    ``order_cols`` inside ``key_cols``.  ``order_cols`` must make the order
+    total (end with a unique key).  Null keys form one group."""
+    lead_cols, running_sums, keys = dict(lead_cols or {}), dict(running_sums or {}), list(key_cols)
+    order = [_as_col(c) for c in order_cols]
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = Window.partitionBy(PART, *keys).orderBy(*order)
+    so_far = share.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = (df.repartitionByRange(n, *[F.col(k).asc() for k in keys], *order)
+             .withColumn(PART, F.spark_partition_id())
+             .select("*", F.row_number().over(share).cast("long").alias(LOCAL),
+                     F.count(F.lit(1)).over(Window.partitionBy(PART, *keys)).alias("_seq_size"),
+                     *[F.lead(s).over(share).alias(d) for s, d in lead_cols.items()],
+                     *[F.sum(F.col(s).cast("double")).over(so_far).alias(d) for s, d in running_sums.items()]))
+    local = cut_lineage(local)
+
+    # one row per (key, partition): its size and sums stand in its last row, its lead value in its first
+    ends = local.where(F.col(LOCAL) == F.col("_seq_size")).select(
+        PART, *keys, F.col("_seq_size").alias("_n"), *[F.col(d).alias(f"_s{i}") for i, d in enumerate(running_sums.values())])
+    firsts = local.where(F.col(LOCAL) == 1).select(
+        PART, *keys, *[F.col(s).alias(f"_f{i}") for i, s in enumerate(lead_cols)])
+    shares = ends.join(firsts, _same(ends, firsts, [PART, *keys])).select(
+        ends[PART], *[ends[k] for k in keys], "_n", *[f"_s{i}" for i in range(len(running_sums))],
+        *[f"_f{i}" for i in range(len(lead_cols))]) if lead_cols else ends
+    by_part = Window.partitionBy(*keys).orderBy(PART)
+    before = by_part.rowsBetween(Window.unboundedPreceding, -1)
+    fix = (shares.select(F.col(PART).alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                         F.sum("_n").over(before).alias("_n0"), F.lead(F.lit(True)).over(by_part).alias("_goes_on"),
+                         *[F.sum(f"_s{i}").over(before).alias(f"_s{i}") for i in range(len(running_sums))],
+                         *[F.lead(f"_f{i}").over(by_part).alias(f"_f{i}") for i in range(len(lead_cols))])
+           .where(F.col("_n0").isNotNull() | F.col("_goes_on")))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)],
+                F.col(PART) == F.col("_p"))
+    last = (F.col(LOCAL) == F.col("_seq_size")) & F.col("_goes_on")
+    out = [F.col(c) for c in df.columns]
     if seq_col:
-        out_fields.append(T.StructField(seq_col, T.LongType()))
-    for c in lead_src:
-        out_fields.append(T.StructField(lead_cols[c], schema[c].dataType))
-    for c in sum_src:
-        out_fields.append(T.StructField(running_sums[c], T.DoubleType()))
-    out_schema = T.StructType(out_fields)
-    arrow_out = _arrow_schema(out_schema)
-
-    def sequence(batches):
-        from pyspark import TaskContext
-        carry, lead_fix = fixes.get(TaskContext.get().partitionId(), (None, None))
-        state_key = carry[0] if carry else None
-        state_n = carry[1] if carry else 0
-        state_s = np.array(carry[2] if carry else [0.0] * len(sum_src), dtype="float64")
-        pending = None
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            if pending is not None:
-                nk = _key_at(_key_arrays(b, key_cols), 0)
-                nv = [b.column(b.schema.get_field_index(c))[0] for c in lead_src]
-                out, state_key, state_n, state_s = _emit(pending, (nk, nv), state_key, state_n, state_s)
-                yield out
-            pending = b
-        if pending is not None:
-            nxt = None
-            if lead_fix is not None:
-                nxt = (lead_fix[0], [pa.scalar(v, type=pending.schema.field(c).type)
-                                     for v, c in zip(lead_fix[1], lead_src)])
-            out, state_key, state_n, state_s = _emit(pending, nxt, state_key, state_n, state_s)
-            yield out
-
-    def _emit(b, nxt, state_key, state_n, state_s):
-        n = b.num_rows
-        keys = _key_arrays(b, key_cols)
-        same = _same_as_prev(keys, n)
-        cont0 = state_key is not None and _key_at(keys, 0) == state_key
-        starts = np.concatenate([[not cont0], ~same])
-        idx = np.arange(n)
-        run_start = np.maximum.accumulate(np.where(starts, idx, -1))
-        cont = run_start < 0
-        cols = list(b.columns)
-        if seq_col:
-            seq = np.where(cont, state_n + idx + 1, idx - run_start + 1).astype("int64")
-            cols.append(pa.array(seq, type=pa.int64()))
-        # next row in the same key?
-        next_same = np.zeros(n, dtype=bool)
-        next_same[:-1] = same
-        last_key = _key_at(keys, n - 1)
-        if nxt is not None and nxt[0] == last_key:
-            next_same[-1] = True
-        for j, c in enumerate(lead_src):
-            arr = b.column(b.schema.get_field_index(c))
-            tail = [nxt[1][j]] if (nxt is not None) else [pa.scalar(None, type=arr.type)]
-            shifted = pa.concat_arrays([arr.slice(1), pa.array([tail[0].as_py()], type=arr.type)])
-            mask = pa.array(next_same)
-            cols.append(pc.if_else(mask, shifted, pa.nulls(n, type=arr.type)))
-        new_s = state_s.copy()
-        for j, c in enumerate(sum_src):
-            v = np.nan_to_num(b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype("float64"))
-            cs = np.cumsum(v)
-            before = np.concatenate([[0.0], cs])[np.maximum(run_start, 0)]
-            run = np.where(cont, state_s[j] + cs, cs - before)
-            cols.append(pa.array(run, type=pa.float64()))
-            new_s[j] = run[-1]
-        # carry to the next batch: the last row's key and counters
-        last_run_start = run_start[-1]
-        new_n = (state_n + n) if last_run_start < 0 else (n - last_run_start)
-        out = pa.RecordBatch.from_arrays(cols, schema=arrow_out)
-        return out, last_key, new_n, new_s
-
-    return ordered.mapInArrow(sequence, out_schema)
+        out.append((F.col(LOCAL) + F.coalesce(F.col("_n0"), F.lit(0))).alias(seq_col))
+    out += [F.when(last, F.col(f"_f{i}")).otherwise(F.col(d)).alias(d) for i, d in enumerate(lead_cols.values())]
+    out += [F.coalesce(F.col(d) + F.col(f"_s{i}"), F.col(d), F.col(f"_s{i}")).alias(d)
+            for i, d in enumerate(running_sums.values())]
+    return local.join(F.broadcast(fix), on, "left").select(*out)
 
 
-def _arrow_schema(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    return to_arrow_schema(schema)
+def _same(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> Column:
+    return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in cols])

@@ -505,8 +505,8 @@ def q_upload_quarterly(spark, sf_dir):
 def q_pct_rank(spark, sf_dir):
     """K2: average percent rank of the upload's usage z-score"""
     f = quarterly_features(spark, sf_dir)
-    return mt.pct_rank(f.select("account_id", F.coalesce("usage_count_qoq_delta_z", F.lit(0.0)).alias("v")),
-                       "v", "pct_rank")
+    return mt.pct_ranks(f.select("account_id", F.coalesce("usage_count_qoq_delta_z", F.lit(0.0)).alias("v")),
+                        {"v": "pct_rank"}, "account_id")
 
 
 EXPLAIN_OUT = ["account_id", "_usage_flag", "_usage_txt", "_support_flag", "_support_txt", "_sat_flag", "_sat_txt",

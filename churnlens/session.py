@@ -2,12 +2,13 @@
 
 Production clusters name a shared checkpoint folder in ``spark.checkpoint.dir``;
 we read it from the session and only fall back to a scratch folder when it is
-unset (local tests).
+unset under a ``local[...]`` master (tests).
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -39,18 +40,20 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder, honouring the cluster setting."""
+    """Return the reliable checkpoint folder, honouring the cluster setting.
+
+    Only a ``local[...]`` master, whose tasks share the driver's disk, may fall
+    back to a scratch folder; anywhere else a missing setting is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir()
-    # Only reached when nothing is configured (local runs and tests).
-    local = tempfile.mkdtemp(prefix="churnlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(local)
+    if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="churnlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
