@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -61,3 +62,20 @@ def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint (never localCheckpoint): survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session, so that their
+    functions import from any working directory and on any cluster."""
+    sc = spark.sparkContext
+    if getattr(sc, "_churnlens_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="churnlens-code-"), "churnlens_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for top, _, names in os.walk(here):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(top, n), os.path.relpath(os.path.join(top, n), os.path.dirname(here)))
+    sc.addPyFile(path)
+    sc._churnlens_shipped = True
