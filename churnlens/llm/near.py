@@ -7,12 +7,13 @@ their whole contents; classes are the connected components of the links.
 * Buckets that hold one item never matter.  A first count leaves a fixed-size
   bitmap of the crowded buckets (``BITS`` bits, whatever the input; a full one
   only filters less), so that just their members are shuffled on.
-* No bucket is expanded into pairs.  A round compares every member of a bucket
-  with a few of its members (*hubs*): the first round with one, later rounds
-  with up to ``HUBS``, and only across components found so far.  Hubs have then
-  been compared with all and leave; rounds go on until the rest of every bucket
-  lies in one component.  So no link between components is lost, and a round
-  makes at most ``HUBS`` rows a member.
+* No large bucket is expanded into pairs.  First every member of a bucket is
+  compared with one of them, the *hub*, which puts near copies into one
+  component.  Buckets whose other members still lie in several components are
+  then compared across components: inside a task where a bucket has up to
+  ``SMALL`` members; larger ones with up to ``HUBS`` members a round, which then
+  leave, until the rest is in one component or small.  So no link between
+  components is lost, and a round makes at most ``HUBS`` rows a member.
 * Joins on keys that may be hot (bucket, hub, component) stand between two
   plain exchanges, which adaptive execution can split.
 """
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from churnlens.llm.common import map_arrow
 from churnlens.session import cut_lineage
 
-SHINGLE, SIMILARITY, BITS, HUBS = 5, 0.8, 23, 16
+SHINGLE, SIMILARITY, BITS, HUBS, SMALL = 5, 0.8, 23, 16, 256
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15  # fixed: splitmix64
 
 
@@ -168,19 +169,55 @@ def components(links: DataFrame) -> DataFrame:
     Each round takes the least label among the neighbours, then the label's own
     label, so that long chains halve; it ends when no label changes."""
     both = cut_lineage(links.union(links.select("b", "a")).distinct())
-    label = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("comp")))
+    label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("comp"))
     while True:
         far = label.select(F.col("key").alias("b"), F.col("comp").alias("near"))
-        near = cut_lineage(both.join(far, "b").groupBy("a").agg(F.min("near").alias("near")))
-        step = label.join(near, label["key"] == near["a"]).select("key", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
+        near = both.join(far, "b").groupBy(F.col("a").alias("key")).agg(F.min("near").alias("near"))
+        step = label.join(near, "key").select("key", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
         own = label.select(F.col("key").alias("mid"), F.col("comp").alias("up"))
-        new = cut_lineage(step.join(own, "mid", "left").select("key", "old", F.least("mid", F.coalesce("up", "mid")).alias("comp")))
+        new = cut_lineage(step.join(own, "mid").select("key", "old", F.least("mid", "up").alias("comp")))
         done = new.where(F.col("old") != F.col("comp")).isEmpty()
         label = new.select("key", "comp")
         if done:
             return label
 
 
+def _compared(rest: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links across components inside small buckets: every pair is compared
+    unless its components have met meanwhile."""
+    def run(table: pa.Table) -> pa.Table:
+        keys, comps = table.column("key").to_pylist(), table.column("comp").to_pylist()
+        texts = [t.split() for t in table.column("body").to_pylist()]
+        root = {c: c for c in comps}
+
+        def find(c):
+            while root[c] != c:
+                c = root[c]
+            return c
+        out = {"a": [], "b": []}
+        for i in range(len(keys)):
+            for j in range(i):
+                x, y = find(comps[i]), find(comps[j])
+                if x != y and jaccard(texts[i], texts[j]) >= similarity:
+                    root[x] = y
+                    out["a"].append(keys[i])
+                    out["b"].append(keys[j])
+        return pa.table(out, schema=LINKS)
+    full = rest.select("bucket", "key", "comp").join(texts, "key")
+    return full.groupBy("bucket").applyInArrow(run, "a binary, b binary").distinct()
+
+
+def _by_hubs(rest: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links of large buckets' members with up to HUBS members of other
+    components; and the members that are left to compare among themselves."""
+    hubs = cut_lineage(rest.groupBy("bucket", F.pmod(F.xxhash64("key"), F.lit(HUBS)).alias("s"))
+                       .agg(F.min(F.struct("key", "comp")).alias("h")).select("bucket", F.col("h.key").alias("hub"), F.col("h.comp").alias("hcomp")))
+    pairs = (rest.join(hubs, "bucket").where((F.col("comp") != F.col("hcomp")) & (F.col("key") != F.col("hub")))
+             .select(F.greatest("key", "hub").alias("a"), F.least("key", "hub").alias("b")).distinct())
+    gone = hubs.select("bucket", F.col("hub").alias("key"))
+    return _verified(pairs, texts, similarity), rest.select("bucket", "key").join(gone, ["bucket", "key"], "left_anti")
+
+
 def classes(items: DataFrame, fetch: Callable[[np.ndarray], DataFrame], similarity: float = SIMILARITY) -> DataFrame:
     """(key, comp) for the items with a near-duplicate.
 
@@ -197,20 +234,18 @@ def classes(items: DataFrame, fetch: Callable[[np.ndarray], DataFrame], similari
     links = _verified(pairs, texts, similarity)
     comp = components(links)
     rest = members.where(F.col("key") != F.col("hub")).select("bucket", "key")
-    while True:
+    while True:  # the hubs have been compared with all; what else may link two components?
         rest = rest.join(comp, "key", "left").select("bucket", "key", F.coalesce("comp", "key").alias("comp"))
         rest = cut_lineage(rest)
-        split = cut_lineage(rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket"))
-        if split.isEmpty():
+        open_ = cut_lineage(rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
+                            .where("lo != hi").select("bucket", "n"))
+        rest = cut_lineage(rest.join(open_, "bucket"))
+        if rest.isEmpty():
             return comp
-        rest = cut_lineage(rest.join(split, "bucket"))
-        hubs = cut_lineage(rest.groupBy("bucket", F.pmod(F.xxhash64("key"), F.lit(HUBS)).alias("s"))
-                           .agg(F.min(F.struct("key", "comp")).alias("h")).select("bucket", F.col("h.key").alias("hub"), F.col("h.comp").alias("hcomp")))
-        pairs = (rest.join(hubs, "bucket").where((F.col("comp") != F.col("hcomp")) & (F.col("key") != F.col("hub")))
-                 .select(F.greatest("key", "hub").alias("a"), F.least("key", "hub").alias("b")).distinct())
-        found = _verified(pairs, texts, similarity)
-        if not found.isEmpty():
-            links = links.union(found)
-            comp = components(links)
-        gone = hubs.select("bucket", F.col("hub").alias("key"))
-        rest = rest.select("bucket", "key").join(gone, ["bucket", "key"], "left_anti")
+        large = rest.where(F.col("n") > SMALL)
+        links = links.union(_compared(rest.where(F.col("n") <= SMALL), texts, similarity))
+        if large.isEmpty():
+            return components(links)
+        found, rest = _by_hubs(large, texts, similarity)
+        links = cut_lineage(links.union(found))
+        comp = components(links)
