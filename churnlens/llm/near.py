@@ -243,7 +243,7 @@ def classes(items: DataFrame, fetch: Callable[[np.ndarray], DataFrame], similari
         if rest.isEmpty():
             return comp
         large = rest.where(F.col("n") > SMALL)
-        links = links.union(_compared(rest.where(F.col("n") <= SMALL), texts, similarity))
+        links = cut_lineage(links.union(_compared(rest.where(F.col("n") <= SMALL), texts, similarity)))
         if large.isEmpty():
             return components(links)
         found, rest = _by_hubs(large, texts, similarity)
