@@ -58,10 +58,10 @@ class LinearSpec:
     def transformed(self, t: Term) -> Column:
         x = F.col(t.base)
         if t.kind == "num":
-            v = F.coalesce(x.cast("double"), F.lit(float(t.impute)))
+            v = F.coalesce(x.try_cast("double"), F.lit(float(t.impute)))
             return (v - F.lit(t.mean)) / F.lit(t.scale)
         if t.kind == "bin":
-            return F.coalesce(x.cast("double"), F.lit(float(t.impute)))
+            return F.coalesce(x.try_cast("double"), F.lit(float(t.impute)))
         v = F.coalesce(x.cast("string"), F.lit(str(t.impute)))
         return (v == F.lit(t.level)).cast("double")
 
@@ -224,7 +224,7 @@ def timeseries_cv(split_df: DataFrame, label_col: str = "churn_label_q1_rolling"
                   params: dict | None = None) -> DataFrame:
     """For each of the last ``folds`` labelled quarters, train on all
     earlier quarters and validate on that quarter; a fold is skipped when the
-    training part is empty or the validation part holds one class.  The fold
+    training or the validation part holds one class or none.  The fold
     loop is a handful of driver iterations, each a distributed fit."""
     from churnlens.operators.metrics import roc_auc
 
@@ -235,7 +235,8 @@ def timeseries_cv(split_df: DataFrame, label_col: str = "churn_label_q1_rolling"
         tr = split_df.where(F.col("_q_idx") < q)
         va = split_df.where(F.col("_q_idx") == q)
         classes = va.select(F.col(label_col).cast("int").alias("y")).distinct().count()
-        if tr.limit(1).count() == 0 or classes < 2:
+        taught = tr.select(F.col(label_col).cast("int").alias("y")).distinct().count()
+        if taught < 2 or classes < 2:
             skipped += 1
             continue
         spec = fit_logistic(tr, label_col, params)
@@ -244,9 +245,9 @@ def timeseries_cv(split_df: DataFrame, label_col: str = "churn_label_q1_rolling"
     p = dict(DEFAULT_PARAMS, **(params or {}))
     schema = ("ts_cv_folds int, ts_cv_skipped_folds int, auc double, best_c double, class_weight string, "
               "penalty string, l1_ratio double")
-    rows = [(len(aucs), skipped, float(a), float(p["C"]), str(p["class_weight"]), str(p["penalty"]),
-             float(p["l1_ratio"]) if p.get("l1_ratio") is not None else None) for a in aucs] or \
-        [(0, skipped, None, float(p["C"]), str(p["class_weight"]), str(p["penalty"]), None)]
+    l1 = float(p["l1_ratio"]) if p.get("l1_ratio") is not None else None
+    rows = [(len(aucs), skipped, float(a), float(p["C"]), str(p["class_weight"]), str(p["penalty"]), l1) for a in aucs] or \
+        [(0, skipped, None, float(p["C"]), str(p["class_weight"]), str(p["penalty"]), l1)]
     df = spark.createDataFrame(rows, schema)
     return df.groupBy("ts_cv_folds", "ts_cv_skipped_folds", "best_c", "class_weight", "penalty", "l1_ratio").agg(
         F.avg("auc").alias("ts_cv_auc_mean"), F.min("auc").alias("ts_cv_auc_min"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnlens.operators.explain import fmt
+
 TIERS = ["High", "Medium", "Low"]
 # Tier sort order and badge text.
 TIER_ORDER = {"High": 0, "Medium": 1, "Low": 2}
@@ -89,7 +91,7 @@ def display_columns(scored: DataFrame) -> DataFrame:
     first = F.trim(F.element_at(F.filter(F.split(F.coalesce(F.col("drivers"), F.lit("")), r"\|"),
                                          lambda t: F.trim(t) != ""), 1))
     return scored.select("*",
-                         F.format_string("%.1f%%", F.bround(F.col("risk_probability") * 100, 1))
+                         F.concat(fmt(F.col("risk_probability") * 100, 1), F.lit("%"))
                          .alias("risk_probability_pct"),
                          F.coalesce(first, F.lit("")).alias("primary_driver"),
                          F.col("recommendation").cast("string").alias("primary_reco"),

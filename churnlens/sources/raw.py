@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlens.sources.aliases import apply_aliases
+from churnlens.sources.aliases import apply_aliases, normalize_headers
 
 # Declared raw schemas (Spark DDL); dates/timestamps are read as text and
 # coerced so that unparseable values become null instead of failing the scan.
@@ -37,10 +37,20 @@ ID_COLS = ["account_id", "subscription_id"]
 
 
 def read_raw(spark: SparkSession, path: str, table: str, fmt: str = "csv") -> DataFrame:
-    """A1: scan one raw table with its declared schema (CSV with a header, or parquet)."""
-    if fmt == "csv":
-        return spark.read.schema(RAW_SCHEMAS[table]).option("header", True).csv(path)
-    return spark.read.parquet(path)
+    """A1: scan one raw table (CSV with a header, or parquet).
+
+    CSV columns are bound by header name and cast to the declared type, a bad
+    value to null; an absent column is null, others are left out."""
+    if fmt != "csv":
+        return spark.read.parquet(path)
+    return typed_by_name(spark.read.option("header", True).csv(path), table)
+
+
+def typed_by_name(text: DataFrame, table: str) -> DataFrame:
+    """The declared columns of ``table`` from text columns, by header name."""
+    named = normalize_headers(text)
+    declared = [c.strip().split(" ") for c in RAW_SCHEMAS[table].split(",")]
+    return named.select(*[(F.col(c).try_cast(t) if c in named.columns else F.lit(None).cast(t)).alias(c) for c, t in declared])
 
 
 def coerce_types(df: DataFrame, table: str) -> DataFrame:
@@ -60,9 +70,14 @@ def coerce_types(df: DataFrame, table: str) -> DataFrame:
 
 
 def read_upload(spark: SparkSession, path: str, with_order: bool = True) -> DataFrame:
-    """An uploaded CSV (header, all text), headers normalised and aliased;
-    ``_row_order`` keeps the ingest order for keep-last semantics."""
-    df = apply_aliases(spark.read.option("header", True).csv(path))
-    if with_order:
-        df = df.withColumn("_row_order", F.monotonically_increasing_id())
+    """An uploaded CSV (header, all text), headers normalised and aliased.
+
+    ``_row_order`` keeps the ingest order for keep-last semantics: files by
+    name, rows by their place in the file (a split's start, then the row's
+    number, which grows through a partition's splits)."""
+    raw = spark.read.option("header", True).csv(path)
+    if not with_order:
+        return apply_aliases(raw)
+    df = apply_aliases(raw.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+                                                F.monotonically_increasing_id().alias("n")).alias("_row_order")))
     return df

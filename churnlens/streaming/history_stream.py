@@ -2,14 +2,18 @@
 
 New quarterly uploads land as files in a folder; each micro-batch is merged
 into the keyed history (append + keep the last row per (account, quarter))
-and written as a new table version.  ``foreachBatch`` with the batch id as
-the version makes a replayed batch overwrite the same version, so the sink
-is idempotent; the stream's checkpoint location holds the source offsets.
-All paths must be on shared storage in a cluster.
+and written as a new table version.  The commit log holds, for each version,
+the stream (the id in its checkpoint's metadata) and the batch that made it: a
+replayed batch that is in the log is done, one that is not is written again over
+the next version.  A second stream, or one with a new checkpoint, goes on from
+the newest version.  Only a missing log means that there is no history yet; any
+other read error stops the stream.  All paths must be on shared storage in a
+cluster, and one stream at a time writes a table.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,12 +23,18 @@ from churnlens.operators.upload import renew_history
 LATEST = "_latest_version"
 
 
-def latest_version(spark: SparkSession, table_path: str) -> int | None:
+def _log(spark: SparkSession, table_path: str) -> DataFrame | None:
     try:
-        row = spark.read.json(f"{table_path}/{LATEST}").agg(F.max("v").alias("v")).first()
-    except Exception:  # noqa: BLE001 - no version written yet
-        return None
-    return None if row is None or row["v"] is None else int(row["v"])
+        return spark.read.schema("v long, stream string, batch long").json(f"{table_path}/{LATEST}")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def latest_version(spark: SparkSession, table_path: str) -> int | None:
+    log = _log(spark, table_path)
+    return None if log is None else log.agg(F.max("v").alias("v")).first()["v"]
 
 
 def read_history(spark: SparkSession, table_path: str) -> DataFrame | None:
@@ -34,22 +44,24 @@ def read_history(spark: SparkSession, table_path: str) -> DataFrame | None:
     return spark.read.parquet(f"{table_path}/v={v}")
 
 
-def upsert_batch(table_path: str):
+def upsert_batch(table_path: str, checkpoint: str):
     """foreachBatch function: merge the batch into the latest version."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         if batch.isEmpty():
             return
-        new = batch.withColumn("_row_order", F.monotonically_increasing_id() + F.lit(batch_id) * (1 << 40))
-        current = read_history(spark, table_path)
-        if current is not None and latest_version(spark, table_path) >= batch_id:
-            # replay of an already committed batch: rebuild from the version before it
-            prev = spark.read.json(f"{table_path}/{LATEST}").where(F.col("v") < batch_id) \
-                .agg(F.max("v").alias("v")).first()["v"]
-            current = spark.read.parquet(f"{table_path}/v={prev}") if prev is not None else None
-        renewed = renew_history(current, new)
-        renewed.write.mode("overwrite").parquet(f"{table_path}/v={batch_id}")
-        spark.createDataFrame([(batch_id,)], "v long").write.mode("append").json(f"{table_path}/{LATEST}")
+        stream = spark.read.text(f"{checkpoint}/metadata").first()[0]
+        log = _log(spark, table_path)
+        if log is not None and not log.where((F.col("stream") == stream) & (F.col("batch") == batch_id)).isEmpty():
+            return  # committed before a restart
+        v = latest_version(spark, table_path)
+        current = None if v is None else spark.read.parquet(f"{table_path}/v={v}")
+        v = 0 if v is None else v + 1
+        new = batch.withColumn("_row_order", F.monotonically_increasing_id())
+        renewed = renew_history(None if current is None else current.drop("_row_order"), new).drop("_row_order")
+        renewed.write.mode("overwrite").parquet(f"{table_path}/v={v}")
+        spark.createDataFrame([(v, stream, batch_id)], "v long, stream string, batch long").coalesce(1) \
+            .write.mode("append").json(f"{table_path}/{LATEST}")
     return run
 
 
@@ -58,6 +70,6 @@ def start(spark: SparkSession, source_dir: str, schema: T.StructType, table_path
     """Start the renewal stream; returns the StreamingQuery."""
     reader = spark.readStream.schema(schema)
     stream = reader.option("header", True).csv(source_dir) if fmt == "csv" else reader.parquet(source_dir)
-    w = stream.writeStream.foreachBatch(upsert_batch(table_path)).option("checkpointLocation", checkpoint)
+    w = stream.writeStream.foreachBatch(upsert_batch(table_path, checkpoint)).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()

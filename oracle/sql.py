@@ -769,7 +769,7 @@ feats2 as (select f.*, n.as_of_quarter, n.usage_count_total, n.ticket_count, n.a
 
 
 def _fmt(x: str, d: int) -> str:
-    return f"printf('%.{d}f', round_even(cast({x} as double), {d}))"
+    return f"printf('%.{d}f', cast({x} as double))"
 
 
 EXPLAIN_SELF = """
@@ -855,7 +855,7 @@ scored as (select account_id, cast(round_even(risk_probability * 100, 0) as int)
   usage_count_total, ticket_count, avg_csat, days_to_contract_end, auto_renew_flag, escalation_count,
   hist_usage_median, hist_tickets_median, hist_csat_median, plan_tier
   from sc0),
-disp as (select *, printf('%.1f%%', round_even(risk_probability * 100, 1)) risk_probability_pct,
+disp as (select *, printf('%.1f%%', risk_probability * 100) risk_probability_pct,
   coalesce(trim(list_filter(string_split(coalesce(drivers, ''), '|'), lambda x: trim(x) <> '')[1]), '') primary_driver,
   recommendation primary_reco,
   case risk_tier when 'High' then 0 when 'Medium' then 1 when 'Low' then 2 else 9 end _tier_order,

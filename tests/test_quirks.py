@@ -66,7 +66,7 @@ def test_label_masking_last_quarters(spark, tmp_dir):
 
 def test_pct_rank_average_ties(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 2.0), (4, 3.0), (5, None)], "id int, v double")
-    got = {r.id: r.r for r in metrics.pct_rank(df, "v", "r").collect()}
+    got = {r.id: r.r for r in metrics.pct_ranks(df, {"v": "r"}, "id").collect()}
     assert got == {1: 0.25, 2: 0.625, 3: 0.625, 4: 1.0, 5: None}
 
 
@@ -167,3 +167,11 @@ def test_find_column_exact_then_substring():
     assert find_column(cols, ["contractend"]) == "Contract-End"
     assert find_column(cols, ["csat"]) is None
     assert find_column(cols, ["csat"], substring=True) == "csat score"
+
+
+def test_number_text_rounds_the_exact_binary_value(spark):
+    from churnlens.operators.explain import fmt
+    rows = spark.createDataFrame([(x,) for x in (0.15, 2.45, 0.25, 0.35, 2.5, 3.0, 1234.05, 99.95, 0.0)], "x double")
+    got = {r.x: (r.a, r.b) for r in rows.select("x", fmt(F.col("x"), 1).alias("a"), fmt(F.col("x"), 0).alias("b")).collect()}
+    assert got == {x: (f"{x:.1f}", f"{x:.0f}") for x in got}
+    assert got[0.15][0] == "0.1" and got[2.45][0] == "2.5"

@@ -1,6 +1,7 @@
 """Quarterly history renewal as a stream: two uploads, last row wins."""
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from churnlens.streaming import history_stream
@@ -25,3 +26,32 @@ def test_history_stream_upsert(spark, tmp_dir):
     assert out.count() == n_keys
     assert out.where(F.col("ticket_count") == -1).count() > 0          # later upload overrides history rows
     assert out.where(F.col("ticket_count") >= 100).count() == new.count()
+
+
+def test_history_survives_a_new_checkpoint_and_a_replay(spark, tmp_dir):
+    import datetime as dt
+    q1, table, ddl = dt.date(2024, 1, 1), os.path.join(tmp_dir, "t"), "account_id string, as_of_quarter date, ticket_count long"
+    for k, account in enumerate(("a", "b")):
+        src, ck = os.path.join(tmp_dir, f"in{k}"), os.path.join(tmp_dir, f"ck{k}")
+        df = spark.createDataFrame([(account, q1, k)], ddl)
+        df.write.parquet(src)
+        history_stream.start(spark, src, df.schema, table, ck).awaitTermination()
+    assert {r.account_id for r in history_stream.read_history(spark, table).collect()} == {"a", "b"}
+    again = history_stream.upsert_batch(table, os.path.join(tmp_dir, "ck1"))
+    again(spark.createDataFrame([("b", q1, 9)], ddl), 0)  # batch 0 of that stream is committed
+    got = {(r.account_id, r.ticket_count) for r in history_stream.read_history(spark, table).collect()}
+    assert got == {("a", 0), ("b", 1)}
+    with open(os.path.join(table, history_stream.LATEST, "part-bad.json.gz"), "w") as f:
+        f.write("not gzip")
+    with pytest.raises(Exception):  # an unreadable log is not "no history"
+        again(spark.createDataFrame([("c", q1, 1)], ddl), 1)
+
+
+def test_empty_history_is_no_history(spark):
+    import datetime as dt
+    from churnlens.operators import upload
+    new = spark.createDataFrame([("a", dt.date(2024, 1, 1), 5, 10.0), ("b", dt.date(2024, 1, 1), 7, 30.0)],
+                                "account_id string, as_of_quarter date, seats int, arr_amount double")
+    day = dt.date(2024, 6, 30)
+    a, b = (sorted(map(str, upload.build_from_quarterly(h, new, day).collect())) for h in (None, new.limit(0)))
+    assert a == b
