@@ -135,30 +135,34 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
 
 
 def _settle(copied: DataFrame, goal: dict, cap: int, rounds: int = 12) -> DataFrame:
-    """Adds or takes one copy of the longest document that is no longer than
-    what its source lacks or has over, at most ``rounds`` times a source."""
+    """Adds or takes one copy of the document whose size is nearest to what its
+    source lacks or has over, as long as that brings the source nearer to its
+    target, at most ``rounds`` times a source."""
     keys = list(goal)
     spark = copied.sparkSession
     got = {r["source"]: int(r["t"]) for r in copied.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("t")).collect()}
     rest = {k: goal[k] - got.get(k, 0) for k in keys}
-    moved: list[tuple] = []
+    moved: dict[int, int] = {}
+
+    def changed() -> DataFrame:
+        if not moved:
+            return copied
+        change = F.broadcast(spark.createDataFrame(list(moved.items()), "doc_id long, change long"))  # rounds x sources rows at most
+        return copied.join(change, "doc_id", "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0))).drop("change")
+
     for _ in range(rounds):
         need = F.element_at(F.array(*[F.lit(float(rest[k])) for k in keys]), _group("source", keys) + 1)
         able = F.when(need > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
-        fit = copied.where((F.col("size") > 0) & (F.col("size") <= F.abs(need)) & able & F.col("doc_id").isNotNull())
-        if moved:  # at most a row per source and round
-            fit = fit.join(F.broadcast(spark.createDataFrame(moved, "doc_id long, change long").select("doc_id")), "doc_id", "left_anti")
-        best = fit.groupBy("source").agg(F.max(F.struct("size", F.xxhash64("doc_id").alias("h"), F.col("doc_id").cast("long").alias("doc_id"))).alias("m")).collect()
+        fit = changed().where((F.col("size") > 0) & (F.col("size") < 2 * F.abs(need)) & able & F.col("doc_id").isNotNull())
+        best = fit.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.abs(need)).alias("left"), F.xxhash64("doc_id").alias("h"),
+                                                        F.col("doc_id").cast("long").alias("doc_id"), "size")).alias("m")).collect()
         if not best:
             break
         for r in best:
             sign = 1 if rest[r["source"]] > 0 else -1
-            moved.append((r["m"]["doc_id"], sign))
+            moved[r["m"]["doc_id"]] = moved.get(r["m"]["doc_id"], 0) + sign
             rest[r["source"]] -= sign * r["m"]["size"]
-    if not moved:
-        return copied
-    change = F.broadcast(spark.createDataFrame(moved, "doc_id long, change long"))
-    return copied.join(change, "doc_id", "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0))).drop("change")
+    return changed()
 
 
 def repeat(docs: DataFrame, mixed: DataFrame) -> DataFrame:
