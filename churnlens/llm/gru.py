@@ -18,7 +18,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-HIDDEN, EMBED, WARM = 24, 16, 40  # WARM: steps until the full rate, so that little text changes little
+HIDDEN, EMBED = 24, 16
+WARM, FULL = 40, 2048  # steps until the full rate, tokens in a step of full rate: little text changes little
 
 
 @dataclass
@@ -192,7 +193,7 @@ def train(p: dict, shape: Shape, batches, end: int, window: int = 32, most: int
             backward(p, xs, ns, tape, dout.reshape(out.shape), grad)
             step += 1
             seen += len(on)
-            fix = rate * min(1.0, step / WARM) * np.sqrt(1 - 0.99 ** step) / (1 - 0.9 ** step)
+            fix = rate * min(1.0, step / WARM) * min(1.0, len(on) / FULL) * np.sqrt(1 - 0.99 ** step) / (1 - 0.9 ** step)
             for n, g in grad.items():
                 g /= len(on)
                 m[n] += 0.1 * (g - m[n])

@@ -95,7 +95,7 @@ class Vocabulary:
         self.shape = gru.Shape(self.words, PER_CLASS, TAILS)
         own = np.bincount(np.arange(self.words) // PER_CLASS, weights=c, minlength=self.shape.heads)
         self.word_bias = np.log(c / own[np.arange(self.words) // PER_CLASS])
-        mass = np.concatenate([own, left[:, 0] + 0.5])
+        mass = np.concatenate([own, left[:, 0] + 0.5 * (left[:, 1] + 1)])  # an untrained model is the base
         self.class_bias = np.log(mass / mass.sum())
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
