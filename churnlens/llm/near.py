@@ -7,13 +7,13 @@ their whole contents; classes are the connected components of the links.
 * Buckets that hold one item never matter.  A first count leaves a fixed-size
   bitmap of the crowded buckets (``BITS`` bits, whatever the input; a full one
   only filters less), so that just their members are shuffled on.
-* No large bucket is expanded into pairs.  First every member of a bucket is
-  compared with one of them, the *hub*, which puts near copies into one
-  component.  Buckets whose other members still lie in several components are
-  then compared across components: inside a task where a bucket has up to
-  ``SMALL`` members; larger ones with up to ``HUBS`` members a round, which then
-  leave, until the rest is in one component or small.  So no link between
-  components is lost, and a round makes at most ``HUBS`` rows a member.
+* No bucket is expanded into pairs.  First every member of a bucket is compared
+  with one of them, the *hub*, which puts near copies into one component.  Where
+  the other members still lie in several components, those outside the bucket's
+  largest one (the minor ones) are compared with all members of other components,
+  in tasks of about ``SMALL`` by ``SMALL`` members.  So no link between components
+  is lost, a task's memory has a bound, and a member makes a row for every
+  ``SMALL`` it may meet.
 * Joins on keys that may be hot (bucket, hub, component) stand between two
   plain exchanges, which adaptive execution can split.
 """
@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.llm.common import map_arrow
-from churnlens.session import cut_lineage
+from churnlens.session import cut_lineage, ship_package
 
-SHINGLE, SIMILARITY, BITS, HUBS, SMALL = 5, 0.8, 23, 16, 256
+SHINGLE, SIMILARITY, BITS, SMALL, FLUSH = 5, 0.8, 23, 256, 400_000
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15  # fixed: splitmix64
 
 
@@ -164,58 +164,104 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return cut_lineage(map_arrow(both, run, LINKS))
 
 
+def _contracted(links: DataFrame) -> DataFrame:
+    """``links`` with the same components and, a task, at most one link an item:
+    each to the least one it is known to be linked with.  A task's memory holds
+    ``FLUSH`` items at most."""
+    def run(batches):
+        root: dict[bytes, bytes] = {}
+
+        def find(x):
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        def out():
+            rows = [(x, r) for x in list(root) if (r := find(x)) != x]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.binary()), pa.array([r for _, r in rows], pa.binary())], schema=LINKS)
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x, y = find(x), find(y)
+                root[max(x, y)] = min(x, y)
+            if len(root) >= FLUSH:
+                yield from out()
+                root.clear()
+        yield from out()
+    ship_package(links.sparkSession)
+    return links.mapInArrow(run, "a binary, b binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(key, comp) for every key in ``links`` (a, b): the component's least key.
-    Each round takes the least label among the neighbours, then the label's own
-    label, so that long chains halve; it ends when no label changes."""
-    both = cut_lineage(links.union(links.select("b", "a")).distinct())
+    Tasks first contract their own links.  Each round then takes the least label
+    among the neighbours, and the label's own label, so that long chains halve;
+    it ends when no label changes."""
+    own = _contracted(links)
+    both = cut_lineage(own.union(own.select("b", "a")).distinct())
     label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("comp"))
     while True:
         far = label.select(F.col("key").alias("b"), F.col("comp").alias("near"))
         near = both.join(far, "b").groupBy(F.col("a").alias("key")).agg(F.min("near").alias("near"))
         step = label.join(near, "key").select("key", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
-        own = label.select(F.col("key").alias("mid"), F.col("comp").alias("up"))
-        new = cut_lineage(step.join(own, "mid").select("key", "old", F.least("mid", "up").alias("comp")))
+        up = label.select(F.col("key").alias("mid"), F.col("comp").alias("up"))
+        new = cut_lineage(step.join(up, "mid").select("key", "old", F.least("mid", "up").alias("comp")))
         done = new.where(F.col("old") != F.col("comp")).isEmpty()
         label = new.select("key", "comp")
         if done:
             return label
 
 
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``comp`` after linking components by ``links`` (a, b: labels, or items that
+    were alone)."""
+    top = components(links)
+    new = top.select(F.col("key").alias("comp"), F.col("comp").alias("now"))
+    moved = comp.join(new, "comp", "left").select("key", F.coalesce("now", "comp").alias("comp"))
+    return cut_lineage(moved.union(top.join(comp.select("key"), "key", "left_anti")))
+
+
 def _compared(rest: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links across components inside small buckets: every pair is compared
-    unless its components have met meanwhile."""
+    """Links between the components inside buckets (bucket, key, comp, major, n,
+    minor): a block of minor members meets a block of all members in a task, and
+    every pair is compared unless its components have met meanwhile."""
     def run(table: pa.Table) -> pa.Table:
-        keys, comps = table.column("key").to_pylist(), table.column("comp").to_pylist()
+        keys, comps, kinds = (table.column(c).to_pylist() for c in ("key", "comp", "kind"))
         texts = [t.split() for t in table.column("body").to_pylist()]
+        sets = [np.unique(shingles(t)) for t in texts]
         root = {c: c for c in comps}
 
         def find(c):
             while root[c] != c:
                 c = root[c]
             return c
+
+        def alike(i, j):
+            x, y = sets[i], sets[j]
+            if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+                return False
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            return both >= similarity * (len(x) + len(y) - both) - 1e-9 and jaccard(texts[i], texts[j]) >= similarity
         out = {"a": [], "b": []}
-        for i in range(len(keys)):
-            for j in range(i):
+        right = [j for j, k in enumerate(kinds) if k > 0]
+        for i in (i for i, k in enumerate(kinds) if k == 0):
+            for j in right:
+                if kinds[j] == 1 and keys[i] >= keys[j]:
+                    continue  # two minor members meet twice
                 x, y = find(comps[i]), find(comps[j])
-                if x != y and jaccard(texts[i], texts[j]) >= similarity:
+                if x != y and alike(i, j):
                     root[x] = y
-                    out["a"].append(keys[i])
-                    out["b"].append(keys[j])
+                    out["a"].append(comps[i])
+                    out["b"].append(comps[j])
         return pa.table(out, schema=LINKS)
-    full = rest.select("bucket", "key", "comp").join(texts, "key")
-    return full.groupBy("bucket").applyInArrow(run, "a binary, b binary").distinct()
-
-
-def _by_hubs(rest: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Links of large buckets' members with up to HUBS members of other
-    components; and the members that are left to compare among themselves."""
-    hubs = cut_lineage(rest.groupBy("bucket", F.pmod(F.xxhash64("key"), F.lit(HUBS)).alias("s"))
-                       .agg(F.min(F.struct("key", "comp")).alias("h")).select("bucket", F.col("h.key").alias("hub"), F.col("h.comp").alias("hcomp")))
-    pairs = (rest.join(hubs, "bucket").where((F.col("comp") != F.col("hcomp")) & (F.col("key") != F.col("hub")))
-             .select(F.greatest("key", "hub").alias("a"), F.least("key", "hub").alias("b")).distinct())
-    gone = hubs.select("bucket", F.col("hub").alias("key"))
-    return _verified(pairs, texts, similarity), rest.select("bucket", "key").join(gone, ["bucket", "key"], "left_anti")
+    minor, every = (F.ceil(F.col(c) / SMALL).cast("int") for c in ("minor", "n"))
+    own = F.col("comp") != F.col("major")
+    here = ["bucket", "key", "comp"]
+    left = rest.where(own).select(*here, F.lit(0).alias("kind"), F.pmod(F.xxhash64("key"), minor).cast("int").alias("i"),
+                                  F.explode(F.sequence(F.lit(0), every - 1)).alias("j"))
+    right = rest.select(*here, F.when(own, 1).otherwise(2).alias("kind"), F.explode(F.sequence(F.lit(0), minor - 1)).alias("i"),
+                        F.pmod(F.xxhash64("key", F.lit(1)), every).cast("int").alias("j"))
+    full = left.union(right).join(texts, "key")
+    return full.groupBy("bucket", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
 
 
 def classes(items: DataFrame, fetch: Callable[[np.ndarray], DataFrame], similarity: float = SIMILARITY) -> DataFrame:
@@ -231,21 +277,12 @@ def classes(items: DataFrame, fetch: Callable[[np.ndarray], DataFrame], similari
     bits = bitmap(members, "key")
     texts = cut_lineage(fetch(bits).groupBy("key").agg(F.first("body").alias("body")))
     pairs = members.where(F.col("key") != F.col("hub")).select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
-    links = _verified(pairs, texts, similarity)
-    comp = components(links)
+    comp = components(_verified(pairs, texts, similarity))
     rest = members.where(F.col("key") != F.col("hub")).select("bucket", "key")
-    while True:  # the hubs have been compared with all; what else may link two components?
-        rest = rest.join(comp, "key", "left").select("bucket", "key", F.coalesce("comp", "key").alias("comp"))
-        rest = cut_lineage(rest)
-        open_ = cut_lineage(rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
-                            .where("lo != hi").select("bucket", "n"))
-        rest = cut_lineage(rest.join(open_, "bucket"))
-        if rest.isEmpty():
-            return comp
-        large = rest.where(F.col("n") > SMALL)
-        links = cut_lineage(links.union(_compared(rest.where(F.col("n") <= SMALL), texts, similarity)))
-        if large.isEmpty():
-            return components(links)
-        found, rest = _by_hubs(large, texts, similarity)
-        links = cut_lineage(links.union(found))
-        comp = components(links)
+    rest = cut_lineage(rest.join(comp, "key", "left").select("bucket", "key", F.coalesce("comp", "key").alias("comp")))
+    # the hubs have been compared with all; what else may link two components?
+    parts = rest.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    open_ = (parts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps"))
+             .where("comps > 1").select("bucket", F.col("m.comp").alias("major"), "n", (F.col("n") - F.col("m.n")).alias("minor")))
+    rest = cut_lineage(rest.join(open_, "bucket"))
+    return merged(comp, cut_lineage(_compared(rest, texts, similarity)))
