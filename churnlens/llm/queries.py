@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from churnlens.llm import (lm_scoring, mixing, near_dedup, packing, paragraph_dedup, quality, quality_rules, search, toxicity,
+from churnlens.llm import (lm_scoring, mixing, near_dedup, packing, paragraph_dedup, passages, quality, quality_rules, search, toxicity,
                            url_filter)
 from churnlens.llm.common import table
+from churnlens.session import cut_lineage
 
 
 def op1_lm_scoring(spark, sf_dir):
@@ -41,8 +42,11 @@ def op6_mixing(spark, sf_dir):
 
 
 def op7_paragraph_dedup(spark, sf_dir):
-    """Every occurrence of a repeated paragraph, with its class."""
-    return paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
+    """Every occurrence of a repeated paragraph, and of a passage repeated
+    anywhere else, with its class."""
+    docs = table(spark, sf_dir, "documents")
+    lines = cut_lineage(paragraph_dedup.repeated_paragraphs(docs))
+    return lines.unionByName(passages.repeated_passages(docs, lines).drop("body"))
 
 
 def op8_packing(spark, sf_dir):

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import uuid
 
-from churnlens.llm import mixing, near_dedup, packing, paragraph_dedup, quality
+from churnlens.llm import mixing, near_dedup, packing, paragraph_dedup, passages, quality
 from churnlens.llm.common import table
-from churnlens.session import ensure_checkpoint_dir
+from churnlens.session import cut_lineage, ensure_checkpoint_dir
 
 
 def keep_quality(spark, docs, sf_dir):
@@ -24,8 +24,10 @@ def drop_near_duplicates(spark, docs, sf_dir):
 
 
 def drop_repeated_paragraphs(spark, docs, sf_dir):
-    """Texts without the later occurrences of repeated paragraphs."""
-    return paragraph_dedup.without_repeats(docs, paragraph_dedup.repeated_paragraphs(docs))
+    """Texts without the later occurrences of repeated paragraphs and passages."""
+    lines = cut_lineage(paragraph_dedup.repeated_paragraphs(docs))
+    cut = passages.without_passages(docs, passages.repeated_passages(docs, lines))
+    return paragraph_dedup.without_repeats(cut, lines)
 
 
 def mix_sources(spark, docs, sf_dir):

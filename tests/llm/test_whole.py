@@ -1,11 +1,11 @@
 """What the operators must not leave out."""
 import math
+import random
 from collections import Counter
 
-import pytest  # noqa: F401
 from pyspark.sql import functions as F
 
-from churnlens.llm import search
+from churnlens.llm import paragraph_dedup, passages, queries, search
 
 
 def test_op5_asks_all_words_of_the_text(spark):
@@ -20,3 +20,22 @@ def test_op5_asks_all_words_of_the_text(spark):
                     for w in bags[0] if w in b) for i, b in bags.items()}
     want = sorted((-round(s, 9), i) for i, s in score.items() if s > 0)[:20]
     assert len(want) == 20 and [(-round(r.score, 9), r.doc_id) for r in sorted(got.collect(), key=lambda r: r["rank"])] == want
+
+
+def test_op7_finds_a_passage_inside_lines_and_over_short_ones(spark, tmp_path):
+    rnd = random.Random(4)
+
+    def words(n):
+        return [f"é{rnd.randrange(10 ** 9)}" for _ in range(n)]
+    planted = words(50)
+    texts = {1: " ".join(words(60) + planted + words(40)), 2: "head line\n" + " ".join(words(9) + planted + words(90)),
+             3: "\n".join(" ".join(planted[i:i + 7]) for i in range(0, 50, 7)) + "\n" + " ".join(words(70)), 4: " ".join(words(200))}
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in texts.items()], "doc_id long, text string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op7_paragraph_dedup(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.removed, r.class_doc) for r in rows} == {(1, False, 1), (2, True, 1), (3, True, 1)}
+    assert all(texts[r.doc_id][r.start:r.start + r.length].split() == planted for r in rows) and len(rows) == 3
+    lines = paragraph_dedup.repeated_paragraphs(docs)
+    cut = {r.doc_id: r for r in passages.without_passages(docs, passages.repeated_passages(docs, lines)).collect()}
+    for i, t in texts.items():
+        assert cut[i].text.split() == [w for w in t.split() if i in (1, 4) or w not in planted] and cut[i].n_chars == len(cut[i].text)
