@@ -3,16 +3,16 @@
 Tokens are the words of a text (A-Z lowered) and one end.  Training documents
 are those outside the held-out fold; every token of theirs is counted.
 
-* The ``WORDS`` commonest tokens have a softmax within ``WORDS / PER_CLASS``
-  classes; all other words belong to one of ``TAILS`` tail classes by their last
+* One in ``SHARE`` of the counted words, the commonest, but at least ``WORDS`` and
+  at most those that fit a task, have a softmax within classes; all other words belong to one of ``TAILS`` tail classes by their last
   two bytes.  The network gives the class, and a tail class's word has its
   smoothed share of the class's counted tokens, an unknown word the class's
   unknown share.  So the model's vocabulary is the whole counted one.
 * The network is trained in ``ROUNDS`` rounds: each worker trains on its share
   of the round's documents from the same weights, and the weights are averaged
   by tokens, block by block, in Spark; the driver gets one set of weights.  A round
-  takes every ``1 / ROUND_SHARE``-th training document by a hash, whole, so the
-  training text grows with the corpus.
+  takes one hash class of the training documents, whole, and all rounds together
+  take each training document once.
 * Counts of the ``LOOKUP`` commonest words go to the tasks (a size bound);
   the other words of a document are joined with their counts by word.  Both the
   base and the model need only log10(count + 0.5) of them, once.
@@ -33,8 +33,8 @@ from churnlens.llm import gru
 from churnlens.llm.common import fold, map_arrow, text_bytes
 from churnlens.session import cut_lineage, ship_package
 
-WORDS, PER_CLASS, TAILS, LOOKUP = 1024, 32, 16, 1 << 17
-FOLDS, HELD_OUT, ROUNDS, ROUND_SHARE, PARTS_PER_WORKER, BLOCK = 5, 1, 2, 1 / 16, 4, 4096
+WORDS, SHARE, PER_CLASS, TAILS, LOOKUP = 1024, 16, 32, 16, 1 << 17
+FOLDS, HELD_OUT, ROUNDS, PARTS_PER_WORKER, BLOCK = 5, 1, 16, 4, 4096
 END = b" "  # no word has a blank
 FLUSH = 400_000
 COUNTS = pa.schema([("word", pa.binary()), ("tail", pa.int32()), ("c", pa.int64())])
@@ -80,7 +80,8 @@ class Vocabulary:
         """``common``: commonest words with counts, in order; ``tails``: (TAILS,
         2) tokens and words of the tail classes over all words."""
         self.total, self.distinct = total, distinct
-        head = common[:WORDS]
+        head = common[:max(WORDS, distinct // SHARE)]
+        per = max(PER_CLASS, int(np.ceil(np.sqrt(len(head)))))
         self.words, self.end = max(len(head), 1), 0
         left = tails.astype(float).copy()
         for w, c in head:
@@ -88,13 +89,13 @@ class Vocabulary:
         self.tail_base = np.log10(left[:, 0] + 0.5 * (left[:, 1] + 1))
         self.base = float(np.log10(total + 0.5 * (distinct + 1)))
         self.rank = {w: i for i, (w, _) in enumerate(common)}
-        self.id_of = np.array([i if i < WORDS else self.words + tail_of(w) for i, (w, _) in enumerate(common)], dtype=np.int32)
+        self.id_of = np.array([i if i < self.words else self.words + tail_of(w) for i, (w, _) in enumerate(common)], dtype=np.int32)
         self.log_of = np.log10(np.array([c for _, c in common], dtype=float) + 0.5)
         self.end = self.rank.get(END, 0)
         c = np.array([c for _, c in head] or [1], dtype=float) + 0.5
-        self.shape = gru.Shape(self.words, PER_CLASS, TAILS)
-        own = np.bincount(np.arange(self.words) // PER_CLASS, weights=c, minlength=self.shape.heads)
-        self.word_bias = np.log(c / own[np.arange(self.words) // PER_CLASS])
+        self.shape = gru.Shape(self.words, per, TAILS)
+        own = np.bincount(np.arange(self.words) // per, weights=c, minlength=self.shape.heads)
+        self.word_bias = np.log(c / own[np.arange(self.words) // per])
         mass = np.concatenate([own, left[:, 0] + 0.5 * (left[:, 1] + 1)])  # an untrained model is the base
         self.class_bias = np.log(mass / mass.sum())
 
@@ -146,7 +147,7 @@ def train(texts: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
     p = gru.start(vocab.shape, vocab.class_bias, vocab.word_bias)
     shared = sc.broadcast(vocab)
     for k in range(ROUNDS):
-        own = texts.where(F.pmod("part", F.lit(round(1 / ROUND_SHARE))) == k).select("text")
+        own = texts.where(F.pmod("part", F.lit(ROUNDS)) == k).select("text")
         own = own.coalesce(max(1, texts.rdd.getNumPartitions() // PARTS_PER_WORKER))
         now = sc.broadcast(p)
 

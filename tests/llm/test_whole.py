@@ -3,9 +3,10 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from churnlens.llm import paragraph_dedup, passages, queries, search
+from churnlens.llm import gru, lm_scoring, paragraph_dedup, passages, queries, search
 
 
 def test_op5_asks_all_words_of_the_text(spark):
@@ -39,3 +40,23 @@ def test_op7_finds_a_passage_inside_lines_and_over_short_ones(spark, tmp_path):
     cut = {r.doc_id: r for r in passages.without_passages(docs, passages.repeated_passages(docs, lines)).collect()}
     for i, t in texts.items():
         assert cut[i].text.split() == [w for w in t.split() if i in (1, 4) or w not in planted] and cut[i].n_chars == len(cut[i].text)
+
+
+def test_op1_trains_on_every_class_and_its_softmax_grows(spark):
+    texts = spark.createDataFrame([(b"a b c d " * 20, 9)] * 4, "text binary, part long")
+    vocab = lm_scoring.vocabulary(lm_scoring.count_tokens(texts.select("text")).cache())
+    first = gru.start(vocab.shape, vocab.class_bias, vocab.word_bias)
+    got = lm_scoring.train(texts, vocab)
+    assert not np.allclose(got["cb"], first["cb"]) or not np.allclose(got["V"], first["V"])
+    words = [(b"w%d" % i, 2) for i in range(64_000)]
+    large = lm_scoring.Vocabulary(words, 128_000, 64_000, lm_tails(words))
+    assert large.words == 4000 and large.shape.heads <= 64
+    ids, _ = large.encode([b"w3999", b"w4000"])
+    assert ids[0] == 3999 and ids[1] == 4000 + lm_scoring.tail_of(b"w4000")
+
+
+def lm_tails(words):
+    out = np.zeros((lm_scoring.TAILS, 2), np.int64)
+    for w, c in words:
+        out[lm_scoring.tail_of(w)] += (c, 1)
+    return out
