@@ -48,8 +48,8 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-#: Trained and iterative stages are not SQL; tests/llm/test_pipeline.py compares
-#: them with a brute-force version.
+#: Trained and iterative stages are not SQL.  No test runs the pipeline as a whole;
+#: tests/llm tests the operators of its stages.
 ORACLE_SQL = None
 
 
