@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from churnlens.llm import (lm_scoring, mixing, near_dedup, packing, paragraph_dedup, passages, quality, quality_rules, search, toxicity,
-                           url_filter)
+from churnlens.llm import (chat, lm_scoring, merkle, mixing, near_dedup, packing, paragraph_dedup, passages, quality, quality_rules, search,
+                           toxicity, url_filter, variants)
 from churnlens.llm.common import table
+from churnlens.llm.oracle import OP11, OP12, OP13
 from churnlens.session import cut_lineage
 
 
@@ -65,10 +66,29 @@ def op10_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    """Words of the corpus that one edit tells apart, with form and root."""
+    return variants.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    """Leaf, proof and root of every document, and what a tampered leaf folds to."""
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered()).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_chat_formatting(spark, sf_dir):
+    """Every conversation, and one that quotes control strings, formatted and read back."""
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    quoting = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", quoting), (-7, 1, "assistant", quoting)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_chats(own.unionByName(extra)))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_lm_scoring, op2_quality_rules, op3_url_filter, op4_quality_classifier, op5_top_k_search, op6_mixing, op7_paragraph_dedup,
-    op8_packing, op9_toxicity, op10_near_dedup)}
+    op8_packing, op9_toxicity, op10_near_dedup, op11_spelling_variants, op12_merkle_manifest, op13_chat_formatting)}
 
-#: None of the ten can be said in SQL with equal results (trained models, other
+#: The first ten cannot be said in SQL with equal results (trained models, other
 #: engines' hashes, tokenizers); tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_spelling_variants": OP11, "op12_merkle_manifest": OP12, "op13_chat_formatting": OP13}
