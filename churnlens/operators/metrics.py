@@ -48,6 +48,17 @@ def roc_auc(scored: DataFrame, label_col: str = "label", score_col: str = "p") -
                     .alias("validation_auc"))
 
 
+def grouped_auc(scored: DataFrame, by: str, label_col: str = "label", score_col: str = "p") -> DataFrame:
+    """H12 for every value of ``by`` in one pass: (by, n_pos, n_neg, auc)."""
+    g = scored.groupBy(by, F.col(score_col).alias("s")).agg(
+        F.sum(F.col(label_col).cast("long")).alias("pos"), F.sum((1 - F.col(label_col)).cast("long")).alias("neg"))
+    seq = sequence_within(g, key_cols=[by], order_cols=[F.col("s").asc()], running_sums={"neg": "cum_neg"})
+    t = seq.groupBy(by).agg(F.sum(F.col("pos") * (F.col("cum_neg") - 0.5 * F.col("neg"))).alias("u"),
+                            F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    return t.select(by, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0),
+                                                 F.col("u") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
+
+
 def threshold_metrics(scored: DataFrame, label_col: str = "label", score_col: str = "p",
                       threshold: float = 0.5) -> DataFrame:
     """Precision / recall at a threshold (0 when undefined)."""
@@ -59,6 +70,18 @@ def threshold_metrics(scored: DataFrame, label_col: str = "label", score_col: st
         F.when(F.col("ap") > 0, F.col("tp") / F.col("ap")).otherwise(0.0).alias("validation_recall_at_0_5"))
 
 
+def threshold_curve(scored: DataFrame, thresholds: list[float], label_col: str = "label", score_col: str = "p") -> DataFrame:
+    """H13 at several thresholds in one aggregate: a row per threshold."""
+    y = F.col(label_col) == 1
+    a = scored.agg(F.count_if(y).alias("ap"), *[x for i, t in enumerate(thresholds) for x in (
+        F.count_if((F.col(score_col) >= t) & y).alias(f"tp{i}"), F.count_if(F.col(score_col) >= t).alias(f"pp{i}"))])
+    rows = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"tp{i}").alias("tp"), F.col(f"pp{i}").alias("pp"), F.col("ap"))
+                               for i, t in enumerate(thresholds)])).alias("r")
+    r = a.select(rows).select("r.*")
+    return r.select("threshold", F.when(F.col("pp") > 0, F.col("tp") / F.col("pp")).otherwise(0.0).alias("precision"),
+                    F.when(F.col("ap") > 0, F.col("tp") / F.col("ap")).otherwise(0.0).alias("recall"), F.col("pp").alias("n_flagged"))
+
+
 def rank_metrics(scored: DataFrame, label_col: str = "label", score_col: str = "p",
                  tie_cols: list[str] | None = None) -> DataFrame:
     """precision/recall at the top 5/10/20 % (k = ceil), lift at

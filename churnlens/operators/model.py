@@ -78,11 +78,13 @@ class LinearSpec:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-self.margin()))
 
     def coefficient_table(self, spark) -> DataFrame:
-        """Coefficient, abs, base name (text after the first ``__``)."""
-        rows = [(t.name, float(t.coef)) for t in self.terms]
-        df = spark.createDataFrame(rows, "feature string, coefficient double")
-        return df.select("feature", "coefficient", F.abs("coefficient").alias("abs_coefficient"),
-                         F.regexp_extract("feature", r"^[^_]*?__(.*)$", 1).alias("base_feature"))
+        """Coefficient, abs, base name (text after the first ``__``), the
+        strongest first (ties by name), with that order in ``position``."""
+        terms = sorted(self.terms, key=lambda t: (-round(abs(t.coef), 9), t.name))
+        rows = [(i, t.name, float(t.coef)) for i, t in enumerate(terms, 1)]
+        df = spark.createDataFrame(rows, "position int, feature string, coefficient double")
+        return df.select("position", "feature", "coefficient", F.abs("coefficient").alias("abs_coefficient"),
+                         F.regexp_extract("feature", r"^[^_]*?__(.*)$", 1).alias("base_feature")).orderBy("position")
 
 
 # --------------------------------------------------------------- fixed scorer
@@ -220,35 +222,52 @@ __all__ = ["FEATURES", "LinearSpec", "Term", "fixed_scorer", "fit_logistic", "fi
            "class_weight_table", "parse_class_weight", "pick_params", "save_spec", "load_spec"]
 
 
-def timeseries_cv(split_df: DataFrame, label_col: str = "churn_label_q1_rolling", folds: int = 5,
-                  params: dict | None = None) -> DataFrame:
-    """For each of the last ``folds`` labelled quarters, train on all
-    earlier quarters and validate on that quarter; a fold is skipped when the
-    training or the validation part holds one class or none.  The fold
-    loop is a handful of driver iterations, each a distributed fit."""
-    from churnlens.operators.metrics import roc_auc
-
+def fold_conditions(split_df: DataFrame, label_col: str, folds: int) -> list[dict]:
+    """Expanding-window folds: each of the last ``folds`` labelled quarters is
+    validated by all quarters before it.  Counts come from one row per quarter."""
+    rows = split_df.groupBy("_q_idx").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label_col).cast("long")).alias("pos")).collect()
+    quarters = sorted((r["_q_idx"], r["n"], r["pos"]) for r in rows)
+    out = []
+    for at in range(max(0, len(quarters) - folds), len(quarters)):
+        q, n, pos = quarters[at]
+        n_train, pos_train = sum(x[1] for x in quarters[:at]), sum(x[2] for x in quarters[:at])
+        out.append({"q": q, "n_train": n_train, "pos_train": pos_train, "n_valid": n, "pos_valid": pos,
+                    "skipped": not (0 < pos_train < n_train and 0 < pos < n)})
+    return out
+
+
+def timeseries_folds(split_df: DataFrame, label_col: str = "churn_label_q1_rolling", folds: int = 5,
+                     params: dict | None = None, spec: LinearSpec | None = None) -> DataFrame:
+    """H19, a row per fold: its quarter, rows and positives on both sides,
+    whether it is skipped (one class only) and its AUC.  All folds are fitted
+    side by side and scored in one pass; ``spec`` scores every fold instead."""
+    from churnlens.functions.periods import period_label
+    from churnlens.operators.fit import fit_side_by_side
+    from churnlens.operators.metrics import grouped_auc
+
+    plan = fold_conditions(split_df, label_col, folds)
+    live = [f["q"] for f in plan if not f["skipped"]]
+    schema = "q int, n_train long, pos_train long, n_valid long, pos_valid long, skipped boolean"
     spark = split_df.sparkSession
-    quarters = [r["_q_idx"] for r in split_df.select("_q_idx").distinct().orderBy("_q_idx").collect()]
-    aucs, skipped = [], 0
-    for q in quarters[-folds:]:
-        tr = split_df.where(F.col("_q_idx") < q)
-        va = split_df.where(F.col("_q_idx") == q)
-        classes = va.select(F.col(label_col).cast("int").alias("y")).distinct().count()
-        taught = tr.select(F.col(label_col).cast("int").alias("y")).distinct().count()
-        if taught < 2 or classes < 2:
-            skipped += 1
-            continue
-        spec = fit_logistic(tr, label_col, params)
-        v = va.select(F.col(label_col).cast("int").alias("label"), spec.probability().alias("p"))
-        aucs.append(roc_auc(v).first()["validation_auc"])
+    table = spark.createDataFrame([tuple(f.values()) for f in plan], schema).withColumn("fold_quarter", period_label("q"))
+    if not live:
+        return table.select("fold_quarter", *[c for c in table.columns if c not in ("q", "fold_quarter")], F.lit(None).cast("double").alias("auc"))
+    specs = ({str(q): spec for q in live} if spec is not None else
+             fit_side_by_side(split_df, {str(q): F.col("_q_idx") < q for q in live}, label_col, params))
+    p = F.coalesce(*[F.when(F.col("_q_idx") == int(q), s.probability()) for q, s in specs.items()])
+    scored = split_df.where(F.col("_q_idx").isin(live)).select(F.col("_q_idx").alias("q"), F.col(label_col).cast("int").alias("label"), p.alias("p"))
+    auc = grouped_auc(scored, "q").select("q", "auc")
+    return table.join(F.broadcast(auc), "q", "left").select(
+        "fold_quarter", "n_train", "pos_train", "n_valid", "pos_valid", "skipped", "auc")
+
+
+def cv_summary(folds: DataFrame, params: dict | None = None) -> DataFrame:
+    """The folds in one row, with the settings they were fitted by."""
     p = dict(DEFAULT_PARAMS, **(params or {}))
-    schema = ("ts_cv_folds int, ts_cv_skipped_folds int, auc double, best_c double, class_weight string, "
-              "penalty string, l1_ratio double")
     l1 = float(p["l1_ratio"]) if p.get("l1_ratio") is not None else None
-    rows = [(len(aucs), skipped, float(a), float(p["C"]), str(p["class_weight"]), str(p["penalty"]), l1) for a in aucs] or \
-        [(0, skipped, None, float(p["C"]), str(p["class_weight"]), str(p["penalty"]), l1)]
-    df = spark.createDataFrame(rows, schema)
-    return df.groupBy("ts_cv_folds", "ts_cv_skipped_folds", "best_c", "class_weight", "penalty", "l1_ratio").agg(
-        F.avg("auc").alias("ts_cv_auc_mean"), F.min("auc").alias("ts_cv_auc_min"),
-        F.max("auc").alias("ts_cv_auc_max"), F.stddev_pop("auc").alias("ts_cv_auc_std"))
+    return folds.agg(F.count_if(~F.col("skipped")).cast("int").alias("ts_cv_folds"), F.count_if("skipped").cast("int").alias("ts_cv_skipped_folds"),
+                     F.avg("auc").alias("ts_cv_auc_mean"), F.min("auc").alias("ts_cv_auc_min"), F.max("auc").alias("ts_cv_auc_max"),
+                     F.stddev_pop("auc").alias("ts_cv_auc_std")).select(
+        "ts_cv_folds", "ts_cv_skipped_folds", F.lit(float(p["C"])).alias("best_c"), F.lit(str(p["class_weight"])).alias("class_weight"),
+        F.lit(str(p["penalty"])).alias("penalty"), F.lit(l1).cast("double").alias("l1_ratio"),
+        "ts_cv_auc_mean", "ts_cv_auc_min", "ts_cv_auc_max", "ts_cv_auc_std")

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from churnlens.functions.columns import flag
 from churnlens.functions.periods import period_end, period_index, period_label, period_start, within_period_cut
 from churnlens.operators.calendar import account_spine, bounds_literals, date_range, period_bounds
+from churnlens.operators.horizon import Horizons
 
 DURATION_CANDIDATES = ["usage_duration_secs", "usage_duration_seconds", "usage_duration_sec"]
 BASE_DELTA_COLS = ["usage_count", "usage_hours", "active_days", "errors", "features_used",
@@ -159,24 +160,28 @@ def asof_subscription(sub_fact: DataFrame, bounds: DataFrame, grain: str = "quar
 
 def build_panel(accounts: DataFrame, sub_fact: DataFrame, usage: DataFrame, tickets: DataFrame,
                 churn: DataFrame, grain: str = "quarter", last_day_full: bool = False,
-                observed_until_idx: int | None = None, carry_end_date: bool = False) -> DataFrame:
+                observed_until_idx: int | None = None, carry_end_date: bool = False,
+                subscriptions: DataFrame | None = None, horizons: Horizons | None = None) -> DataFrame:
     """The account x month / account x quarter panel.
 
     ``usage`` may be the usage fact or raw usage (then pre-aggregated before
     the subscription map).  ``observed_until_idx`` replaces the panel's last
-    period as the right-censoring horizon (default: parity with the panel max).
+    period as the right-censoring horizon (default: parity with the panel max);
+    ``horizons`` does so by source.  ``subscriptions``: the raw table, which
+    spares the sequenced fact where neither numbers nor inferred ends are used.
     """
     n = names(grain)
-    rng = date_range(accounts, sub_fact, usage, tickets, churn)
+    raw_subs = sub_fact if subscriptions is None else subscriptions
+    rng = date_range(accounts, raw_subs, usage, tickets, churn)
     bounds = bounds_literals(period_bounds(rng, grain))
 
     spine = account_spine(accounts, bounds, grain).withColumn("_spine", F.lit(1))
     parts = [spine,
-             usage_by_period(usage, sub_fact, grain),
+             usage_by_period(usage, raw_subs, grain),
              tickets_by_period(tickets, grain, last_day_full),
              churn_by_period(churn, grain),
              asof_subscription(sub_fact, bounds, grain, ("end_date",) if carry_end_date else ())]
-    ends = subscription_ends_by_period(sub_fact, grain)
+    ends = subscription_ends_by_period(raw_subs, grain)
     if ends is not None:
         parts.append(ends)
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -188,10 +193,10 @@ def build_panel(accounts: DataFrame, sub_fact: DataFrame, usage: DataFrame, tick
                  .agg(*[F.max(c).alias(c) for c in value_cols])
                  .where(F.col("_spine") == 1))
     p = collapsed.crossJoin(F.broadcast(bounds.select("max_idx")))
-    return _finish_panel(p, n, grain, observed_until_idx)
+    return _finish_panel(p, n, grain, observed_until_idx, horizons)
 
 
-def _finish_panel(p: DataFrame, n: dict, grain: str, observed_until_idx) -> DataFrame:
+def _finish_panel(p: DataFrame, n: dict, grain: str, observed_until_idx, horizons: Horizons | None) -> DataFrame:
     cols = set(p.columns)
     sub = lambda f: F.col("asof").getField(f)
     asof_fields = [f.name for f in p.schema["asof"].dataType.fields]
@@ -248,10 +253,10 @@ def _finish_panel(p: DataFrame, n: dict, grain: str, observed_until_idx) -> Data
                                                F.datediff(F.col("end_date_inferred"), F.col(n["end"]))))
     out = out.withColumn("satisfaction_missing_flag",
                          flag((F.col("tickets_opened") > 0) & F.col("avg_satisfaction").isNull()))
-    return _own_history(out, n, grain, observed_until_idx)
+    return _own_history(out, n, grain, observed_until_idx, horizons)
 
 
-def _own_history(p: DataFrame, n: dict, grain: str, observed_until_idx) -> DataFrame:
+def _own_history(p: DataFrame, n: dict, grain: str, observed_until_idx, horizons: Horizons | None) -> DataFrame:
     k = n["window"]
     w = Window.partitionBy("account_id").orderBy("p_idx")
     roll = w.rowsBetween(-(k - 1), Window.currentRow)
@@ -284,6 +289,8 @@ def _own_history(p: DataFrame, n: dict, grain: str, observed_until_idx) -> DataF
         horizon = F.lit(observed_until_idx) if observed_until_idx is not None else F.col("max_idx")
         a1 = (F.col("p_idx") + 1) <= horizon
         a2 = (F.col("p_idx") + 2) <= horizon
+        if horizons is not None:
+            a1, a2 = horizons.label_known(F.col("p_idx"), 1), horizons.label_known(F.col("p_idx"), 2)
         h = (h.withColumn("label_available_q1", a1).withColumn("label_available_q2", a2)
              .withColumn(n["c_next"], F.when(a1, F.col(n["c_next"])))
              .withColumn("churn_label_q1_rolling", F.when(a1, F.col("churn_label_q1_rolling")))

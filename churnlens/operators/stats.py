@@ -1,68 +1,99 @@
 """Global statistics that stay distributed.
 
-* ``exact_quantiles`` -- pandas/numpy ``linear`` quantiles, exact, without
-  holding every distinct value in one task: values are counted per distinct
-  value, the counts are prefix-summed in value order with the range-based
-  ``sequence_within`` (a hot feature is split over partitions), and only the
-  rows that straddle the wanted ranks survive.
+* ``exact_quantiles`` -- pandas/numpy ``linear`` quantiles, exact, by selection:
+  each pass counts the values of the open intervals in ``BUCKETS`` buckets and
+  keeps the buckets that hold a wanted rank, until such a bucket holds one
+  value.  A pass is one map-side combined aggregate of bounded size: no sort,
+  no range exchange, no task that holds the distinct values.
 * ``moments`` -- one aggregate row (mean / population or sample std) that is
   joined back as a 1-row broadcast (a proven size bound).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from churnlens.operators.ordered import sequence_within
+from churnlens.session import cut_lineage
 
+BUCKETS = 4096
 
-def unpivot_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(feature, v) for every non-null value of the given numeric columns."""
+
+def unpivot_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(*by, feature, v) for every non-null value of the given numeric columns."""
     arr = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in cols])
-    return df.select(F.explode(arr).alias("x")).select("x.feature", "x.v").where(F.col("v").isNotNull())
+    return df.select(*by, F.explode(arr).alias("x")).select(*by, "x.feature", "x.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    names: Sequence[str] | None = None) -> DataFrame:
-    """One row per feature: ``feature`` plus one column per probability."""
+                    names: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """One row per feature (and group of ``by``, which must be few): ``feature``
+    plus one column per probability.  Values are finite or missing (null, NaN)."""
     names = list(names or [f"q{i}" for i in range(len(probs))])
-    counts = unpivot_values(df, cols).groupBy("feature", "v").agg(F.count(F.lit(1)).alias("c"))
-    totals = counts.groupBy("feature").agg(F.sum("c").alias("n"))
-    seq = sequence_within(counts, key_cols=["feature"], order_cols=[F.col("v").asc()],
-                          running_sums={"c": "cum"})
-    ranks = []
-    for i, p in enumerate(probs):
-        h = (F.col("n") - 1) * F.lit(float(p))
-        ranks += [F.floor(h).cast("long").alias(f"lo{i}"), F.ceil(h).cast("long").alias(f"hi{i}"),
-                  (h - F.floor(h)).alias(f"fr{i}")]
-    tot = totals.select("feature", "n", *ranks)
-    j = seq.join(F.broadcast(tot), "feature")
-    # a row covers 0-based ranks [cum - c, cum)
-    aggs = []
-    for i in range(len(probs)):
-        for side in ("lo", "hi"):
-            r = F.col(f"{side}{i}")
-            hit = (F.col("cum") - F.col("c") <= r) & (r < F.col("cum"))
-            aggs.append(F.max(F.when(hit, F.col("v"))).alias(f"v_{side}{i}"))
-        aggs.append(F.first(f"fr{i}").alias(f"fr{i}"))
-    picked = j.where(_any_hit(len(probs))).groupBy("feature").agg(*aggs)
-    out = [F.col("feature")]
-    for i, nm in enumerate(names):
-        lo, hi, fr = F.col(f"v_lo{i}"), F.col(f"v_hi{i}"), F.col(f"fr{i}")
-        out.append((lo + fr * (hi - lo)).alias(nm))
-    return picked.select(*out)
-
-
-def _any_hit(k: int):
-    cond = F.lit(False)
-    for i in range(k):
-        for side in ("lo", "hi"):
-            r = F.col(f"{side}{i}")
-            cond = cond | ((F.col("cum") - F.col("c") <= r) & (r < F.col("cum")))
-    return cond
+    spark, keys = df.sparkSession, [*by, "feature"]
+    long = unpivot_values(cut_lineage(df.select(*by, *cols)), cols, by)
+    ends = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    wanted, found, open_ = {}, {}, []
+    for r in ends:  # a row per feature and group
+        key = tuple(r[k] for k in keys)
+        places = [(r["n"] - 1) * float(p) for p in probs]
+        wanted[key] = [(math.floor(h), math.ceil(h), h - math.floor(h)) for h in places]
+        ranks = sorted({k for lo, hi, _ in wanted[key] for k in (lo, hi)})
+        open_.append((key, r["lo"], r["hi"], ranks))
+    first = True
+    while open_:
+        for key, lo, hi, ranks in open_:
+            if lo == hi:
+                found.update({(key, k): lo for k, _ in _local(ranks)})
+        open_ = [o for o in open_ if o[1] < o[2]]
+        if open_:
+            open_ = _refine(spark, long, keys, df, open_, logarithmic=first)
+        first = False
+    rows = []
+    for key, places in wanted.items():
+        values = [(found[key, lo], found[key, hi], part) for lo, hi, part in places]
+        rows.append((*key, *[a + part * (b - a) for a, b, part in values]))
+    fields = [df.schema[k] for k in by] + [T.StructField("feature", T.StringType())] + [T.StructField(n, T.DoubleType()) for n in names]
+    return spark.createDataFrame(rows, T.StructType(fields))
+
+
+def _local(ranks: list) -> list[tuple[int, int]]:
+    """(rank in the whole, rank in the interval); both are the same at first."""
+    return [(k, k) if isinstance(k, int) else k for k in ranks]
+
+
+def _refine(spark, long: DataFrame, keys: list[str], df: DataFrame, open_: list, logarithmic: bool) -> list:
+    """One pass: the buckets of the open intervals that hold a wanted rank, as
+    new intervals from their least to their greatest value."""
+    log = lambda x: math.copysign(math.log1p(abs(x)), x)
+    cuts, targets = [], []
+    for i, (key, lo, hi, ranks) in enumerate(open_):
+        use_log = logarithmic and log(lo) < log(hi)  # heavy tails: spread by magnitude first
+        cuts.append((*key, i, lo, hi, use_log))
+        targets += [(i, k, at) for k, at in _local(ranks)]
+    key_fields = [df.schema[k] if k in df.columns else T.StructField(k, T.StringType()) for k in keys]
+    cut = spark.createDataFrame(cuts, T.StructType(key_fields + [
+        T.StructField("i", T.IntegerType()), T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()),
+        T.StructField("log", T.BooleanType())]))
+    target = spark.createDataFrame(targets, "i int, rank long, at long")
+    scale = lambda c: F.when(F.col("log"), F.signum(c) * F.log1p(F.abs(c))).otherwise(F.col(c) / 2)  # noqa: E731  (halves: no overflow)
+    place = (scale("v") - scale("lo")) / (scale("hi") - scale("lo"))
+    inside = long.join(F.broadcast(cut), keys).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+    buckets = (inside.groupBy("i", F.least(F.floor(place * BUCKETS), F.lit(BUCKETS - 1)).alias("b"))
+               .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+    # at most BUCKETS rows an interval, and a few intervals a feature
+    so_far = Window.partitionBy("i").orderBy("b")
+    placed = buckets.select("*", (F.sum("c").over(so_far) - F.col("c")).alias("below"))
+    hit = (F.col("at") >= F.col("below")) & (F.col("at") < F.col("below") + F.col("c"))
+    rows = placed.join(F.broadcast(target), "i").where(hit).select("i", "b", "lo", "hi", "below", "rank", "at").collect()
+    out: dict = {}
+    for r in rows:  # a row per wanted rank
+        out.setdefault((r["i"], r["b"]), (open_[r["i"]][0], r["lo"], r["hi"], []))[3].append((r["rank"], r["at"] - r["below"]))
+    return list(out.values())
 
 
 def approx_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],

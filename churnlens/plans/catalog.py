@@ -45,7 +45,7 @@ def q_subscription_fact(spark, sf_dir):
 def q_usage_fact(spark, sf_dir):
     """C5"""
     f = load_facts(spark, sf_dir)
-    return fx.usage_fact(f.usage, f.sub_fact)
+    return fx.usage_fact(f.usage, f.subscriptions)
 
 
 @register("tickets_fact")
@@ -63,7 +63,7 @@ def q_churn_fact(spark, sf_dir):
 # ------------------------------------------------------------- calendar
 
 def _range(f):
-    return cal.date_range(f.accounts, f.sub_fact, f.usage, f.tickets_fact, f.churn_fact)
+    return cal.date_range(f.accounts, f.subscriptions, f.usage, f.tickets, f.churn)
 
 
 @register("date_range")
@@ -98,7 +98,7 @@ def q_account_spine(spark, sf_dir):
 def q_usage_by_quarter(spark, sf_dir):
     """D5"""
     f = load_facts(spark, sf_dir)
-    u = pn.usage_by_period(f.usage, f.sub_fact, "quarter")
+    u = pn.usage_by_period(f.usage, f.subscriptions, "quarter")
     return u.select("account_id", period_label("p_idx", "quarter").alias("quarter"),
                     "active_days", "usage_count", "usage_hours", "errors", "features_used")
 
@@ -125,7 +125,7 @@ def q_asof_subscription(spark, sf_dir):
 @register("churn_labels")
 def q_churn_labels(spark, sf_dir):
     """Churn events seen from each (account, quarter); non-empty rows"""
-    c = pn.churn_by_period(load_facts(spark, sf_dir).churn_fact, "quarter")
+    c = pn.churn_by_period(load_facts(spark, sf_dir).churn, "quarter")
     return c.select("account_id", period_label("p_idx", "quarter").alias("quarter"),
                     F.col("churn_in").alias("account_churn_event_count_in_quarter"),
                     F.col("churn_next").alias("account_churn_event_count_in_next_quarter"),
@@ -135,7 +135,7 @@ def q_churn_labels(spark, sf_dir):
 @register("subscription_end_labels")
 def q_subscription_end_labels(spark, sf_dir):
     """D11"""
-    e = pn.subscription_ends_by_period(load_facts(spark, sf_dir).sub_fact, "quarter")
+    e = pn.subscription_ends_by_period(load_facts(spark, sf_dir).subscriptions, "quarter")
     return e.select("account_id", period_label("p_idx", "quarter").alias("quarter"),
                     F.col("ends_in").alias("subscription_ends_in_quarter"),
                     F.col("ends_next").alias("subscription_ends_in_next_quarter"))
@@ -265,8 +265,9 @@ def q_label_backfill(spark, sf_dir):
 KEYS = ["account_id", "quarter", "quarter_end", "churn_label_q1_rolling"]
 
 
-def feature_frame(spark, sf_dir):
-    p = processed_panel_for(spark, sf_dir)
+def feature_frame(spark, sf_dir, observed=False):
+    """The feature table; ``observed``: labels only as far as their sources are observed."""
+    p = processed_panel_for(spark, sf_dir, observed=observed)
     p = fl.clean_label_binary(fl.ensure_label(p), "churn_label_q1_rolling")
     p = p.withColumn("churn_label_q1_rolling", F.col("churn_label_q1_rolling").cast("int"))
     return ft.build_feature_set(ft.add_tenure(p), keep=KEYS)
@@ -319,10 +320,10 @@ from churnlens.operators import risk as rk  # noqa: E402
 LABEL = "churn_label_q1_rolling"
 
 
-def validation_scored(spark, sf_dir, spec=None):
+def validation_scored(spark, sf_dir, spec=None, observed=False):
     """Validation rows (last two labelled quarters) scored by ``spec``."""
     spec = spec or md.fixed_scorer()
-    s = mt.time_split(feature_frame(spark, sf_dir), LABEL)
+    s = mt.time_split(feature_frame(spark, sf_dir, observed), LABEL)
     v = s.where(F.col("split") == "valid")
     return v.select("account_id", "quarter", F.col(LABEL).cast("int").alias("label"), spec.probability().alias("p"))
 
@@ -591,60 +592,145 @@ def q_risk_view(spark, sf_dir):
     return rp.risk_view(scored_quarterly(spark, sf_dir))
 
 
-# ------------------------------------------------------------- fitted model (rows-only checks)
+# ------------------------------------------------------------- observed labels (H2, H12-H15, H19, H20 on real folds)
+
+from churnlens.operators import fit as ff  # noqa: E402
+from churnlens.operators import horizon as hz  # noqa: E402
+
+
+@register("source_horizons")
+def q_source_horizons(spark, sf_dir):
+    """How far each source has been observed (contract ends are plans)"""
+    return hz.source_horizons(load_facts(spark, sf_dir).sources()).drop("observed_from_idx", "observed_until_idx")
+
+
+@register("observed_label_availability")
+def q_observed_label_availability(spark, sf_dir):
+    """D27/D28 with the sources' horizons: rows, availability and label sums per quarter"""
+    p = load_facts(spark, sf_dir).panel("quarter", observed=True)
+    return p.groupBy("quarter").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.bool_and("label_available_q1").alias("label_available_q1"),
+        F.bool_and("label_available_q2").alias("label_available_q2"),
+        F.count("churn_label_q1_rolling").alias("n_label_q1"),
+        F.sum("churn_label_q1_rolling").cast("long").alias("sum_label_q1"),
+        F.count("churn_label_q2_rolling").alias("n_label_q2"),
+        F.sum("churn_label_q2_rolling").cast("long").alias("sum_label_q2"))
+
 
 def train_split(spark, sf_dir):
-    s = mt.time_split(feature_frame(spark, sf_dir), LABEL)
-    return cut_lineage(s)
+    """Labelled rows with their split, written once for the passes of the fit."""
+    return cut_lineage(mt.time_split(feature_frame(spark, sf_dir, observed=True), LABEL))
+
+
+@register("observed_time_split")
+def q_observed_time_split(spark, sf_dir):
+    """H1/H2 on observed labels"""
+    s = mt.time_split(feature_frame(spark, sf_dir, observed=True), LABEL)
+    return s.groupBy("quarter", "split").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col(LABEL).cast("long")).alias("n_pos"))
+
+
+@register("observed_validation_report")
+def q_observed_validation_report(spark, sf_dir):
+    """H20 on observed labels"""
+    return mt.validation_report(mt.time_split(feature_frame(spark, sf_dir, observed=True), LABEL), LABEL)
+
+
+def metrics_row(v):
+    """H12-H15 in one row (each part is one row)."""
+    v = cut_lineage(v)
+    return mt.roc_auc(v).crossJoin(mt.threshold_metrics(v)).crossJoin(mt.rank_metrics(v, tie_cols=["account_id", "quarter"]))
+
+
+@register("observed_metrics")
+def q_observed_metrics(spark, sf_dir):
+    """H12-H15 on observed labels (fixed scorer)"""
+    return metrics_row(validation_scored(spark, sf_dir, observed=True))
+
+
+@register("observed_threshold_curve")
+def q_observed_threshold_curve(spark, sf_dir):
+    """H13 at several thresholds on observed labels (fixed scorer)"""
+    return mt.threshold_curve(validation_scored(spark, sf_dir, observed=True), [0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5])
+
+
+@register("observed_folds")
+def q_observed_folds(spark, sf_dir):
+    """H19's folds on observed labels (fixed scorer)"""
+    return md.timeseries_folds(train_split(spark, sf_dir), LABEL, 5, spec=md.fixed_scorer())
+
+
+# ------------------------------------------------------------- fitted model
+
+def fitted(split_df):
+    """Spark ML's fit of the training quarters, polished until only rounding is
+    left of the optimality conditions: the answer does not depend on partitions."""
+    train = split_df.where(F.col("split") == "train")
+    return ff.fit_side_by_side(train, {"all": F.lit(True)}, LABEL, start={"all": md.fit_logistic(train, LABEL)})["all"]
+
+
+def trained_validation(split_df, spec):
+    v = split_df.where(F.col("split") == "valid")
+    return v.select("account_id", "quarter", F.col(LABEL).cast("int").alias("label"), spec.probability().alias("p"))
+
+
+@register("preprocessor_table")
+def q_preprocessor_table(spark, sf_dir):
+    """H3-H7: what the training quarters say to impute, subtract and divide by"""
+    train = train_split(spark, sf_dir).where(F.col("split") == "train")
+    return ff.preprocessor_table(spark, ff.preprocessors(train, {"all": F.lit(True)})["all"])
 
 
 @register("trained_scores")
 def q_trained_scores(spark, sf_dir):
-    """Fit the elastic-net model on the training quarters, score
-    the validation quarters (rows-only check; optimality is unit-tested)"""
+    """The validation quarters scored by the model of the training quarters"""
     s = train_split(spark, sf_dir)
-    spec = md.fit_logistic(s.where(F.col("split") == "train"), LABEL)
-    v = s.where(F.col("split") == "valid")
-    return v.select("account_id", "quarter", F.col(LABEL).cast("int").alias("label"), spec.probability().alias("p"))
+    return trained_validation(s, fitted(s)).withColumn("p", F.round("p", 5))
+
+
+@register("fit_optimality")
+def q_fit_optimality(spark, sf_dir):
+    """H8: subgradient residual of every coefficient, by an aggregate of its own"""
+    s = train_split(spark, sf_dir)
+    t = ff.optimality(s.where(F.col("split") == "train"), fitted(s), LABEL)
+    return t.select("term", F.round("coefficient", 6).alias("coefficient"), F.round("residual", 6).alias("residual"), "optimal")
 
 
 @register("trained_metrics")
 def q_trained_metrics(spark, sf_dir):
     """The model metrics row for the fitted model"""
     s = train_split(spark, sf_dir)
-    spec = md.fit_logistic(s.where(F.col("split") == "train"), LABEL)
-    v = s.where(F.col("split") == "valid").select(
-        "account_id", "quarter", F.col(LABEL).cast("int").alias("label"), spec.probability().alias("p"))
-    v = cut_lineage(v)
     p = md.DEFAULT_PARAMS
     settings = spark.range(1).select(F.lit(float(p["C"])).alias("best_c"), F.lit(p["class_weight"]).alias("class_weight"),
                                      F.lit(p["penalty"]).alias("penalty"), F.lit(float(p["l1_ratio"])).alias("l1_ratio"))
-    return mt.roc_auc(v).crossJoin(mt.threshold_metrics(v)).crossJoin(settings) \
-        .crossJoin(mt.rank_metrics(v, tie_cols=["account_id", "quarter"]))
+    return metrics_row(trained_validation(s, fitted(s))).crossJoin(settings)
 
 
 @register("coefficient_table")
 def q_coefficient_table(spark, sf_dir):
-    """Coefficients, odds ratios, direction and base feature"""
+    """Coefficients, odds ratios, direction and base feature, strongest first"""
     s = train_split(spark, sf_dir)
-    spec = md.fit_logistic(s.where(F.col("split") == "train"), LABEL)
-    t = spec.coefficient_table(spark)
+    t = fitted(s).coefficient_table(spark)
     return t.select("*", F.exp("coefficient").alias("odds_ratio"),
                     F.when(F.col("coefficient") >= 0, "Increase churn risk").otherwise("Decrease churn risk")
                     .alias("interpretation"))
 
 
+@register("cv_folds")
+def q_cv_folds(spark, sf_dir):
+    """Expanding-window folds over the last observed quarters, fitted side by side"""
+    return md.timeseries_folds(train_split(spark, sf_dir), LABEL, 5)
+
+
 @register("cv_summary")
 def q_cv_summary(spark, sf_dir):
-    """Expanding-window time-series CV over the last labelled quarters"""
-    s = train_split(spark, sf_dir)
-    return md.timeseries_cv(s, LABEL, folds=5)
+    """The folds in one row"""
+    return md.cv_summary(md.timeseries_folds(train_split(spark, sf_dir), LABEL, 5))
 
 
 @register("driver_strength")
 def q_driver_strength(spark, sf_dir):
     """Global driver strength -- absolute coefficients summed per base feature"""
     s = train_split(spark, sf_dir)
-    spec = md.fit_logistic(s.where(F.col("split") == "train"), LABEL)
-    t = spec.coefficient_table(spark)
+    t = fitted(s).coefficient_table(spark)
     return t.groupBy("base_feature").agg(F.sum("abs_coefficient").alias("abs_coefficient"))

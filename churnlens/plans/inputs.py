@@ -1,12 +1,14 @@
 """Shared inputs for the registered queries: raw tables from the test
-adapter, facts, and the panel.  Nothing here collects rows; the only eager
-work is the sequencer's size check and an optional reliable checkpoint."""
+adapter, facts, and the panel.  Nothing here collects rows; the eager work is
+the sequencer's checkpoint, one row of bounds, a row per source of horizons and
+an optional reliable checkpoint."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from churnlens.operators import facts
+from churnlens.operators.horizon import Horizons
 from churnlens.operators.panel import build_panel
 from churnlens.sources.adapter import raw_tables
 from churnlens.session import cut_lineage
@@ -14,8 +16,8 @@ from churnlens.session import cut_lineage
 
 class Facts:
     """Raw tables and facts of one input folder.  The sequenced facts are
-    built on first use (building them runs a size check), so queries that do
-    not need them skip that job."""
+    built on first use (building them checkpoints the sequence), so queries
+    that do not need them skip that job."""
 
     def __init__(self, raw):
         self.accounts: DataFrame = raw.accounts
@@ -40,6 +42,21 @@ class Facts:
         return self._churn_fact
 
 
+    def sources(self) -> dict[str, DataFrame]:
+        """The raw tables by name, for the horizons."""
+        return {"accounts": self.accounts, "subscriptions": self.subscriptions, "feature_usage": self.usage,
+                "support_tickets": self.tickets, "churn_events": self.churn}
+
+    def panel(self, grain: str = "quarter", observed: bool = False, **kw) -> DataFrame:
+        """The account x period panel; ``observed``: labels are known as far as
+        their sources have been observed, not as far as the panel goes.  Raw
+        usage is pre-aggregated by the panel before the subscription map join;
+        only the as-of pick reads the sequenced subscriptions."""
+        horizons = Horizons.of(self.sources(), grain) if observed else None
+        return build_panel(self.accounts, self.sub_fact, self.usage, self.tickets_fact, self.churn, grain=grain,
+                           subscriptions=self.subscriptions, horizons=horizons, **kw)
+
+
 def load_facts(spark: SparkSession, sf_dir: str) -> Facts:
     return Facts(raw_tables(spark, sf_dir))
 
@@ -49,7 +66,5 @@ def panel(spark: SparkSession, sf_dir: str, grain: str = "quarter", f: Facts | N
     """The account x period panel.  ``materialise`` cuts lineage with a
     reliable checkpoint for consumers that read it several times (statistics
     passes, fixtures) -- the panel job's written table, in effect."""
-    f = f or load_facts(spark, sf_dir)
-    # raw usage: the panel pre-aggregates it before the subscription map join
-    p = build_panel(f.accounts, f.sub_fact, f.usage, f.tickets_fact, f.churn_fact, grain=grain)
+    p = (f or load_facts(spark, sf_dir)).panel(grain)
     return cut_lineage(p) if materialise else p

@@ -11,15 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from churnlens.operators.flags import add_contract_flags, add_missing_flags, backfill_labels
-from churnlens.operators.panel import build_panel
 from churnlens.operators.qoq import qoq_transform
 from churnlens.plans.inputs import Facts, load_facts
 from churnlens.session import cut_lineage
 
 
-def processed_quarter_panel(f: Facts, qoq_method: str = "exact", materialise: bool = True) -> DataFrame:
-    p = build_panel(f.accounts, f.sub_fact, f.usage, f.tickets_fact, f.churn_fact, grain="quarter",
-                    carry_end_date=True)
+def processed_quarter_panel(f: Facts, qoq_method: str = "exact", materialise: bool = True, observed: bool = False) -> DataFrame:
+    p = f.panel("quarter", observed, carry_end_date=True)
     if materialise:
         # the statistics passes and the final projection all read the panel:
         # compute it once (reliable checkpoint in the cluster's shared folder)

@@ -114,7 +114,20 @@ ROLL = ["usage_count", "usage_hours", "tickets_opened", "errors", "features_used
 DOUBLE_BASE = {"usage_hours", "seats", "mrr_amount", "arr_amount"}
 
 
-def panel_ctes(grain: str) -> list[tuple[str, str]]:
+HORIZONS = """
+select source, count(d) n_dates, min(d) first_date, max(d) last_date,
+       year(min(d)) * 4 + quarter(min(d)) - 1 from_idx,
+       year(max(d)) * 4 + quarter(max(d)) - 1
+         - case when date_diff('day', max(d), last_day(cast(date_trunc('quarter', max(d)) as date) + interval 2 month)) < 31
+                then 0 else 1 end until_idx
+from (select 'accounts' source, signup_date d from accounts
+      union all select 'subscriptions', start_date from subscriptions
+      union all select 'feature_usage', usage_date from feature_usage
+      union all select 'support_tickets', cast(submitted_at as date) from support_tickets
+      union all select 'churn_events', churn_date from churn_events) group by source"""
+
+
+def panel_ctes(grain: str, observed: bool = False) -> list[tuple[str, str]]:
     q = grain == "quarter"
     lab, st, en = ("quarter", "quarter_start", "quarter_end") if q else ("period", "period_start", "period_end")
     sub_id = "subscription_id_asof_qend" if q else "subscription_id_asof_period_end"
@@ -228,9 +241,15 @@ select * exclude (p, mx, account_churn_event_in_next_quarter, account_churn_even
   case when p + 2 <= mx then churn_label_q2_rolling end churn_label_q2_rolling,
   p + 1 <= mx label_available_q1, p + 2 <= mx label_available_q2
 from (select *, max(p) over () mx from ({flags}) f0) z"""
+        if observed:  # a label is known as far as its sources have been observed
+            until = lambda src: f"(select until_idx from horizons where source = '{src}')"
+            for k in (1, 2):
+                final = final.replace(f"p + {k} <= mx", f"(p + {k} <= {until('churn_events')} and p <= {until('feature_usage')} "
+                                                        f"and p <= {until('support_tickets')})")
     else:
         final = f"select * exclude (p) from ({flags}) fin"
-    return [cal, spine, usage, tickets, asof, churn, ends, assembled, history, ("panel_" + grain, final)]
+    first = [("horizons", HORIZONS)] if observed else []
+    return first + [cal, spine, usage, tickets, asof, churn, ends, assembled, history, ("panel_" + grain, final)]
 
 
 def panel_doubles(grain: str) -> list[str]:
@@ -336,7 +355,7 @@ from panel_quarter group by quarter""", []),
 QOQ = [c + "_qoq_delta" for c in BASE_DELTA]
 
 
-def processed_ctes() -> list[tuple[str, str]]:
+def processed_ctes(observed: bool = False) -> list[tuple[str, str]]:
     p1 = ", ".join(f"quantile_cont(cast({c} as double), 0.01) {c}__p1, "
                    f"quantile_cont(cast({c} as double), 0.99) {c}__p99" for c in QOQ)
     clip = ", ".join(f"case when {c} is null then null else least(greatest(cast({c} as double), {c}__p1), {c}__p99) end "
@@ -346,7 +365,7 @@ def processed_ctes() -> list[tuple[str, str]]:
                   f"else ({c}_clipped - {c}__mean) / {c}__std end {c}_z, "
                   f"cast(coalesce({c} < 0, false) as int) {c}_drop_flag" for c in QOQ)
     stat_cols = ", ".join(f"{c}__p1, {c}__p99, {c}__mean, {c}__std" for c in QOQ)
-    return panel_ctes("quarter") + [
+    return panel_ctes("quarter", observed) + [
         ("qstats", f"select {p1} from panel_quarter"),
         ("clipped", f"select p.*, qstats.*, {clip} from panel_quarter p cross join qstats"),
         ("mstats", f"select {mom} from clipped"),
@@ -484,6 +503,14 @@ def _scorer_terms():
     return fixed_scorer()
 
 
+def _transformed_sql(t) -> str:
+    if t.kind == "num":
+        return f"((coalesce(cast({t.base} as double), {float(t.impute)!r}) - {t.mean!r}) / {t.scale!r})"
+    if t.kind == "bin":
+        return f"coalesce(cast({t.base} as double), {float(t.impute)!r})"
+    return f"(case when coalesce({t.base}, '{t.impute}') = '{t.level}' then 1.0 else 0.0 end)"
+
+
 def _term_sql(t) -> str:
     if t.kind == "num":
         return f"((coalesce(cast({t.base} as double), {float(t.impute)!r}) - {t.mean!r}) / {t.scale!r}) * {t.coef!r}"
@@ -492,14 +519,14 @@ def _term_sql(t) -> str:
     return (f"(case when coalesce({t.base}, '{t.impute}') = '{t.level}' then 1.0 else 0.0 end) * {t.coef!r}")
 
 
-def _prob_sql() -> str:
-    s = _scorer_terms()
+def _prob_sql(spec=None) -> str:
+    s = spec or _scorer_terms()
     margin = " + ".join([repr(float(s.intercept))] + [_term_sql(t) for t in s.terms])
     return f"1.0 / (1.0 + exp(-({margin})))"
 
 
-def _contrib_sql(base: str) -> str:
-    s = _scorer_terms()
+def _contrib_sql(base: str, spec=None) -> str:
+    s = spec or _scorer_terms()
     parts = [_term_sql(t) for t in s.terms if t.base == base]
     return " + ".join(parts) if parts else "0.0"
 
@@ -511,20 +538,20 @@ validq as (select distinct qi from labelled order by qi desc limit 2),
 split as (select l.*, case when l.qi in (select qi from validq) then 'valid' else 'train' end split from labelled l)"""
 
 
-def _eval(body: str, doubles=()) -> str:
-    sql = (ctes(*processed_ctes()) + ",\n" + FEATURE_SQL + ",\n" + SPLIT_SQL + f""",
-vscored as (select account_id, quarter, cast(churn_label_q1_rolling as int) label, {_prob_sql()} p
+def _eval(body: str, doubles=(), observed: bool = False, spec=None) -> str:
+    sql = (ctes(*processed_ctes(observed)) + ",\n" + FEATURE_SQL + ",\n" + SPLIT_SQL + f""",
+vscored as (select account_id, quarter, cast(churn_label_q1_rolling as int) label, {_prob_sql(spec)} p
             from split where split = 'valid')
 """ + body)
     return rounded(sql, list(doubles))
 
 
-def _risk_body() -> str:
-    a = _contrib_sql("usage_count_qoq_delta_z")
-    b = _contrib_sql("tickets_opened_qoq_delta_z")
-    c = _contrib_sql("arr_amount_qoq_delta_z")
+def _risk_body(spec=None) -> str:
+    a = _contrib_sql("usage_count_qoq_delta_z", spec)
+    b = _contrib_sql("tickets_opened_qoq_delta_z", spec)
+    c = _contrib_sql("arr_amount_qoq_delta_z", spec)
     return f"""
-, latest as (select *, {_prob_sql()} p0, {a} ca, {b} cb, {c} cc from features
+, latest as (select *, {_prob_sql(spec)} p0, {a} ca, {b} cb, {c} cc from features
              qualify quarter_end = max(quarter_end) over (partition by account_id)),
 ranked as (select *,
   1 + cast(cb > ca as int) + cast(cc > ca as int) ra,
@@ -951,3 +978,172 @@ def oracle_queries() -> dict[str, str]:  # noqa: F811
     out = _hi_oracle()
     out.update(oracle_queries_jkl())
     return out
+
+
+# ------------------------------------------------------------------ observed labels and the fitted model
+
+STORED = "fitted_sf0.01.json"
+
+
+def stored_fits() -> tuple:
+    """(model of the training quarters, {fold quarter: model}) as fitted at
+    sf0.01, the scale of the correctness gate, by scripts/store_fits.py.  The
+    oracle of ``fit_optimality`` proves on DuckDB's own features that they are
+    the optimum; the other oracles then score with them."""
+    import json
+    import os
+
+    from churnlens.operators.model import LinearSpec
+    with open(os.path.join(os.path.dirname(os.path.abspath(__file__)), STORED), encoding="utf-8") as f:
+        d = json.load(f)
+    read = lambda x: LinearSpec.from_json(json.dumps(x))
+    return read(d["train"]), {q: read(x) for q, x in d["folds"].items()}
+
+
+METRIC_CTES = """
+, auc as (
+  select case when sum(pos) > 0 and sum(neg) > 0 then sum(pos * (cum_neg - 0.5 * neg)) / (sum(pos) * sum(neg)) end validation_auc
+  from (select p, sum(label) pos, sum(1 - label) neg,
+               sum(sum(1 - label)) over (order by p rows between unbounded preceding and current row) cum_neg
+        from vscored group by p)),
+at_half as (
+  select coalesce(count(*) filter (where p >= 0.5 and label = 1) / nullif(count(*) filter (where p >= 0.5), 0), 0.0) validation_precision_at_0_5,
+         coalesce(count(*) filter (where p >= 0.5 and label = 1) / nullif(count(*) filter (where label = 1), 0), 0.0) validation_recall_at_0_5
+  from vscored),
+ordered as (select row_number() over w k, sum(label) over (w rows between unbounded preceding and current row) tp
+            from vscored window w as (order by p desc, account_id, quarter)),
+tot as (select count(*) n, sum(label) pp from vscored),
+cuts as (select k, tp / k prec, case when pp > 0 then tp / pp else 0.0 end rec, n, pp from ordered, tot),
+ranked_metrics as (
+  select max(prec) filter (where k = ceil(n * 0.05)) precision_top5, max(rec) filter (where k = ceil(n * 0.05)) recall_top5,
+         max(prec) filter (where k = ceil(n * 0.10)) precision_top10, max(rec) filter (where k = ceil(n * 0.20)) recall_top20,
+         max(prec) filter (where k = ceil(n * 0.10)) / nullif(max(pp) / max(n), 0) lift_top10,
+         max(prec) best_precision_at_k, arg_max(k, (prec, -k)) best_precision_k,
+         max(rec) best_recall_at_k, arg_max(k, (rec, -k)) best_recall_k from cuts)
+"""
+METRIC_DOUBLES = ["validation_auc", "validation_precision_at_0_5", "validation_recall_at_0_5", "precision_top5", "recall_top5",
+                  "precision_top10", "recall_top20", "lift_top10", "best_precision_at_k", "best_recall_at_k"]
+
+
+def _folds_sql(scores: dict | None) -> str:
+    """Expanding-window folds of the last five labelled quarters; ``scores``:
+    model per fold quarter (None: the fixed scorer for all)."""
+    label = "cast(qi // 4 as varchar) || 'Q' || cast(qi % 4 + 1 as varchar)"
+    p = _prob_sql() if scores is None else "case " + " ".join(f"when {label} = '{q}' then {_prob_sql(s)}" for q, s in scores.items()) + " end"
+    return f"""
+, perq as (select qi, count(*) n, sum(churn_label_q1_rolling) pos from split group by qi),
+foldq as (select *, coalesce(sum(n) over before, 0) n_train, coalesce(sum(pos) over before, 0) pos_train from perq
+          window before as (order by qi rows between unbounded preceding and 1 preceding)
+          qualify row_number() over (order by qi desc) <= 5),
+fscored as (select qi, cast(churn_label_q1_rolling as int) label, {p} p from split where qi in (select qi from foldq)),
+fauc as (select qi, sum(pos * (cum_neg - 0.5 * neg)) / (sum(pos) * sum(neg)) auc
+         from (select qi, p, sum(label) pos, sum(1 - label) neg,
+                      sum(sum(1 - label)) over (partition by qi order by p rows between unbounded preceding and current row) cum_neg
+               from fscored group by qi, p) group by qi having sum(pos) > 0 and sum(neg) > 0),
+folds as (select {label} fold_quarter, cast(n_train as bigint) n_train, cast(pos_train as bigint) pos_train, n n_valid,
+                 cast(pos as bigint) pos_valid,
+                 not (pos_train > 0 and pos_train < n_train and pos > 0 and pos < n) skipped,
+                 case when pos_train > 0 and pos_train < n_train and pos > 0 and pos < n then auc end auc
+          from foldq left join fauc using (qi))
+"""
+
+
+def _preprocessor_sql() -> str:
+    from churnlens.operators.features import BINARY, CATEGORICAL, CONTINUOUS
+    rows = []
+    for i, c in enumerate(CONTINUOUS):
+        med = f"(select coalesce(median(cast({c} as double)), 0.0) from train)"
+        rows.append(f"select {i} position, 'num__{c}' term, '{c}' base_feature, 'num' kind, cast(null as varchar) impute_level, {med} impute_value, "
+                    f"avg(coalesce(cast({c} as double), {med})) mean, "
+                    f"case when stddev_pop(coalesce(cast({c} as double), {med})) > 0 then stddev_pop(coalesce(cast({c} as double), {med})) "
+                    f"else 1.0 end scale, cast(null as varchar) as \"level\" from train")
+    mode = lambda c: (f"(select cast({c} as varchar) from train where {c} is not null group by 1 "
+                      f"order by count(*) desc, 1 limit 1)")
+    for i, c in enumerate(BINARY, len(CONTINUOUS)):
+        rows.append(f"select {i}, 'bin__{c}', '{c}', 'bin', null, cast({mode(c)} as double), 0.0, 1.0, null")
+    c, n = CATEGORICAL[0], len(CONTINUOUS) + len(BINARY)
+    rows.append(f"select cast({n} + row_number() over (order by v) - 2 as int), 'cat__{c}_' || v, '{c}', 'cat', {mode(c)}, null, 0.0, 1.0, v "
+                f"from (select distinct {c} v from train) qualify row_number() over (order by v) > 1")
+    return ", train as (select * from split where split = 'train')\n" + "\nunion all ".join(rows)
+
+
+def _optimality_sql(spec) -> str:
+    """Residuals of the elastic-net optimality conditions at the stored
+    coefficients, each from its own sum over the training rows."""
+    c_, a = 0.05, 0.2  # the documented objective: C and the l1 share; weights {0: 1, 1: 2}
+    cols = ", ".join(f"{_transformed_sql(t)} x{i}" for i, t in enumerate(spec.terms))
+    rows = [f"select '(intercept)' term, {spec.intercept!r} b, sum(pull) / sum(w) g, sum(w) tw, true free from pulled"]
+    rows += [f"select '{t.name}', {t.coef!r}, sum(pull * x{i}) / sum(w), sum(w), false from pulled" for i, t in enumerate(spec.terms)]
+    return f"""
+, pulled as (select *, w * (p - y) pull from (
+    select cast(churn_label_q1_rolling as double) y, case when churn_label_q1_rolling = 1 then 2.0 else 1.0 end w, {_prob_sql(spec)} p, {cols}
+    from split where split = 'train')),
+sums as ({" union all ".join(rows)}),
+off as (select term, b, case when free then abs(g)
+               when b <> 0 then abs(g + (1 - {a}) * b / ({c_} * tw) + {a} * sign(b) / ({c_} * tw))
+               else greatest(abs(g) - {a} / ({c_} * tw), 0.0) end residual from sums)
+select term, b coefficient, residual, residual <= 1e-9 optimal from off"""
+
+
+def oracle_queries_fitted() -> dict[str, str]:
+    spec, folds = stored_fits()
+    thresholds = "[0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5]"
+    coefs = " union all ".join(f"select '{t.name}' feature, {t.coef!r} coefficient, '{t.base}' base" for t in spec.terms)
+    table = f"""select row_number() over (order by round(abs(coefficient), 9) desc, feature) as position, feature, coefficient,
+  abs(coefficient) abs_coefficient, regexp_extract(feature, '^[^_]*?__(.*)$', 1) base_feature, exp(coefficient) odds_ratio,
+  case when coefficient >= 0 then 'Increase churn risk' else 'Decrease churn risk' end interpretation from ({coefs})"""
+    return {
+        "source_horizons": _q("""select source, n_dates, first_date, last_date,
+       cast(from_idx // 4 as varchar) || 'Q' || cast(from_idx % 4 + 1 as varchar) observed_from,
+       cast(until_idx // 4 as varchar) || 'Q' || cast(until_idx % 4 + 1 as varchar) observed_until from horizons""",
+                              extra=[("horizons", HORIZONS)]),
+        "observed_label_availability": rounded(ctes(*panel_ctes("quarter", True)) + """
+select quarter, count(*) n_rows, bool_and(label_available_q1) label_available_q1,
+       bool_and(label_available_q2) label_available_q2,
+       count(churn_label_q1_rolling) n_label_q1, cast(sum(churn_label_q1_rolling) as bigint) sum_label_q1,
+       count(churn_label_q2_rolling) n_label_q2, cast(sum(churn_label_q2_rolling) as bigint) sum_label_q2
+from panel_quarter group by quarter""", []),
+        "observed_time_split": _eval("""
+select cast(qi // 4 as varchar) || 'Q' || cast(qi % 4 + 1 as varchar) as quarter, split, count(*) n_rows,
+       cast(sum(churn_label_q1_rolling) as bigint) n_pos from split group by all""", observed=True),
+        "observed_validation_report": _eval("""
+select count(*) filter (where split = 'valid') validation_sample_count,
+       avg(cast(churn_label_q1_rolling as double)) filter (where split = 'valid') validation_positive_rate,
+       avg(1 - cast(churn_label_q1_rolling as double)) filter (where split = 'valid') validation_negative_rate,
+       (select string_agg(q, ',' order by q) from (select distinct cast(qi // 4 as varchar) || 'Q' ||
+               cast(qi % 4 + 1 as varchar) q from split where split = 'train')) train_quarters,
+       (select string_agg(q, ',' order by q) from (select distinct cast(qi // 4 as varchar) || 'Q' ||
+               cast(qi % 4 + 1 as varchar) q from split where split = 'valid')) valid_quarters,
+       count(*) filter (where split = 'train') n_train, count(*) filter (where split = 'valid') n_valid
+from split""", ["validation_positive_rate", "validation_negative_rate"], observed=True),
+        "observed_metrics": _eval(METRIC_CTES + "select * from auc, at_half, ranked_metrics", METRIC_DOUBLES, observed=True),
+        "observed_threshold_curve": _eval(f"""
+select cast(t as double) threshold, coalesce(count(*) filter (where p >= t and label = 1) / nullif(count(*) filter (where p >= t), 0), 0.0) "precision",
+       coalesce(count(*) filter (where p >= t and label = 1) / nullif(count(*) filter (where label = 1), 0), 0.0) recall,
+       count(*) filter (where p >= t) n_flagged
+from vscored, (select unnest({thresholds}) t) group by t""", ["threshold", '"precision"', "recall"], observed=True),
+        "observed_folds": _eval(_folds_sql(None) + "select * from folds", ["auc"], observed=True),
+        "preprocessor_table": _eval(_preprocessor_sql(), ["impute_value", "mean", "scale"], observed=True),
+        "trained_scores": _eval("select account_id, quarter, label, round(p, 5) p from vscored", observed=True, spec=spec),
+        "fit_optimality": _eval(_optimality_sql(spec), ["coefficient", "residual"], observed=True),
+        "trained_metrics": _eval(METRIC_CTES + "select *, 0.05 best_c, '{0: 1, 1: 2}' class_weight, 'elasticnet' penalty, 0.2 l1_ratio "
+                                 "from auc, at_half, ranked_metrics", METRIC_DOUBLES + ["best_c", "l1_ratio"], observed=True, spec=spec),
+        "coefficient_table": rounded(table, ["coefficient", "abs_coefficient", "odds_ratio"]),
+        "driver_strength": rounded(f"select base_feature, sum(abs_coefficient) abs_coefficient from ({table}) group by 1", ["abs_coefficient"]),
+        "cv_folds": _eval(_folds_sql(folds) + "select * from folds", ["auc"], observed=True),
+        "cv_summary": _eval(_folds_sql(folds) + """
+select cast(count(*) filter (where not skipped) as int) ts_cv_folds, cast(count(*) filter (where skipped) as int) ts_cv_skipped_folds,
+       avg(auc) ts_cv_auc_mean, min(auc) ts_cv_auc_min, max(auc) ts_cv_auc_max, stddev_pop(auc) ts_cv_auc_std,
+       0.05 best_c, '{0: 1, 1: 2}' class_weight, 'elasticnet' penalty, 0.2 l1_ratio from folds""",
+                            ["ts_cv_auc_mean", "ts_cv_auc_min", "ts_cv_auc_max", "ts_cv_auc_std", "best_c", "l1_ratio"], observed=True),
+        "stored_model_risk": _eval(_risk_body(spec) + "select * from risk", RISK_DOUBLES, observed=True),
+    }
+
+
+_jkl_oracle = oracle_queries
+
+
+def oracle_queries() -> dict[str, str]:  # noqa: F811
+    out = _jkl_oracle()
+    out.update(oracle_queries_fitted())
+    return out
