@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.operators.explain import fmt
+from churnlens.operators.ordered import sequence_within
 
 TIERS = ["High", "Medium", "Low"]
 # Tier sort order and badge text.
@@ -115,6 +116,17 @@ def risk_view(scored: DataFrame, tiers=("High", "Medium"), min_prob: float = 0.0
                     "primary_driver", "primary_reco", "_tier_order", "risk_probability")
 
 
+def ranked_view(scored: DataFrame, **filters) -> DataFrame:
+    """The filtered table with its place in display order (tier, probability
+    desc; ties by account) as ``position``, numbered without a global sort."""
+    return sequence_within(risk_view(scored, **filters), [], ["_tier_order", F.col("risk_probability").desc(), "account_id"], seq_col="position")
+
+
+def view_head(ranked: DataFrame, k: int = 40) -> DataFrame:
+    """The first ``k`` rows in display order."""
+    return ranked.where(F.col("position") <= k)
+
+
 def driver_counts(scored: DataFrame, k: int = 12) -> DataFrame:
     """Driver phrases of High + Medium rows, split on '|', trimmed, counted; top k."""
     toks = scored.where(F.col("risk_tier").isin("High", "Medium") & F.col("drivers").isNotNull()) \

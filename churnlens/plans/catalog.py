@@ -192,11 +192,11 @@ def q_label_availability(spark, sf_dir):
 
 # ------------------------------------------------------------- QoQ, flags, features (E, F, G)
 
-from churnlens.operators import features as ft  # noqa: E402
 from churnlens.operators import flags as fl  # noqa: E402
 from churnlens.operators import quality as qa  # noqa: E402
 from churnlens.operators import qoq as qq  # noqa: E402
-from churnlens.plans.jobs import processed_panel_for  # noqa: E402
+from churnlens.plans import jobs  # noqa: E402
+from churnlens.plans.jobs import LABEL, labelled_features, metrics_row, processed_panel_for  # noqa: E402
 
 QOQ_BASE = ["usage_count", "usage_hours", "active_days", "errors", "features_used",
             "tickets_opened", "escalations", "seats", "mrr_amount", "arr_amount"]
@@ -262,15 +262,9 @@ def q_label_backfill(spark, sf_dir):
                     "churn_label_q2_rolling")
 
 
-KEYS = ["account_id", "quarter", "quarter_end", "churn_label_q1_rolling"]
-
-
 def feature_frame(spark, sf_dir, observed=False):
     """The feature table; ``observed``: labels only as far as their sources are observed."""
-    p = processed_panel_for(spark, sf_dir, observed=observed)
-    p = fl.clean_label_binary(fl.ensure_label(p), "churn_label_q1_rolling")
-    p = p.withColumn("churn_label_q1_rolling", F.col("churn_label_q1_rolling").cast("int"))
-    return ft.build_feature_set(ft.add_tenure(p), keep=KEYS)
+    return labelled_features(processed_panel_for(spark, sf_dir, observed=observed))
 
 
 @register("feature_set")
@@ -317,9 +311,6 @@ from churnlens.operators import metrics as mt  # noqa: E402
 from churnlens.operators import model as md  # noqa: E402
 from churnlens.operators import risk as rk  # noqa: E402
 
-LABEL = "churn_label_q1_rolling"
-
-
 def validation_scored(spark, sf_dir, spec=None, observed=False):
     """Validation rows (last two labelled quarters) scored by ``spec``."""
     spec = spec or md.fixed_scorer()
@@ -412,42 +403,34 @@ from churnlens.session import cut_lineage  # noqa: E402
 TODAY = _dt.date(2001, 6, 30)  # fixed "today" for the multi-table upload
 
 
-def observed_until(q):
-    """Last quarter with any usage (future contract ends stretch the panel
-    past the last observed activity)."""
-    return q.where(F.col("u") > 0).agg(F.max("as_of_quarter").alias("_mx"))
-
-
 def quarterly_fixture(spark, sf_dir):
-    """Quarterly upload shape from the panel; last observed quarter = new."""
+    """Quarterly upload shape of the whole panel: the last quarter with any usage
+    is the new upload, all others are history (contract ends stretch the panel
+    past it, so the history reaches beyond the upload)."""
     p = panel(spark, sf_dir, "quarter", materialise=True)
     q = p.select("account_id", F.col("quarter_start").alias("as_of_quarter"),
                  F.col("usage_count").alias("usage_count_total"), F.col("tickets_opened").alias("ticket_count"),
                  F.col("avg_satisfaction").alias("avg_csat"), F.col("escalations").alias("escalation_count"),
                  F.col("days_to_contract_end_asof_qend").alias("days_to_contract_end"),
                  "plan_tier", "seats", "arr_amount", "mrr_amount", "signup_date")
-    last = observed_until(q.select("as_of_quarter", F.col("usage_count_total").alias("u")))
-    j = q.crossJoin(F.broadcast(last))
-    return (j.where(F.col("as_of_quarter") < F.col("_mx")).drop("_mx"),
-            j.where(F.col("as_of_quarter") == F.col("_mx")).drop("_mx"))
+    last = q.where(F.col("usage_count_total") > 0).agg(F.max("as_of_quarter").alias("q")).first()["q"]  # one row
+    is_new = F.col("as_of_quarter") == F.lit(last)
+    return q.where(~is_new), q.where(is_new)
 
 
 def single_fixture(spark, sf_dir):
-    """Single wide shape: each account's latest quarter and the one before."""
+    """Single wide shape of the whole panel: each account-quarter and the one before."""
     p = panel(spark, sf_dir, "quarter", materialise=True)
     w = _W.partitionBy("account_id").orderBy("quarter_end")
     prev = {c: F.lag(c).over(w) for c in ("usage_count", "tickets_opened", "seats", "arr_amount")}
-    x = p.select("account_id", "plan_tier", "signup_date", F.col("quarter_end").alias("as_of_date"), "quarter_end",
-                 F.col("usage_count").alias("usage_count_current"), prev["usage_count"].alias("usage_count_prev"),
-                 F.col("tickets_opened").alias("tickets_opened_current"),
-                 prev["tickets_opened"].alias("tickets_opened_prev"),
-                 F.col("days_to_contract_end_asof_qend").alias("days_to_contract_end_current"),
-                 F.col("seats").alias("seats_current"), prev["seats"].alias("seats_prev"),
-                 F.col("arr_amount").alias("arr_current"), prev["arr_amount"].alias("arr_prev"),
-                 F.col("avg_satisfaction").alias("avg_satisfaction_current"))
-    last = observed_until(p.select(F.col("quarter_start").alias("as_of_quarter"), F.col("usage_count").alias("u")))
-    x = x.crossJoin(F.broadcast(last)).where(F.trunc("quarter_end", "quarter") <= F.col("_mx")).drop("_mx")
-    return rk.latest_rows(x).drop("quarter_end")
+    return p.select("account_id", "plan_tier", "signup_date", F.col("quarter_end").alias("as_of_date"),
+                    F.col("usage_count").alias("usage_count_current"), prev["usage_count"].alias("usage_count_prev"),
+                    F.col("tickets_opened").alias("tickets_opened_current"),
+                    prev["tickets_opened"].alias("tickets_opened_prev"),
+                    F.col("days_to_contract_end_asof_qend").alias("days_to_contract_end_current"),
+                    F.col("seats").alias("seats_current"), prev["seats"].alias("seats_prev"),
+                    F.col("arr_amount").alias("arr_current"), prev["arr_amount"].alias("arr_prev"),
+                    F.col("avg_satisfaction").alias("avg_satisfaction_current"))
 
 
 @register("standardised_ingest")
@@ -493,7 +476,7 @@ def q_history_medians(spark, sf_dir):
 def quarterly_features(spark, sf_dir, with_history=True):
     hist, new = quarterly_fixture(spark, sf_dir)
     # the upload is read by several statistics passes: compute it once
-    return cut_lineage(up.build_from_quarterly(hist if with_history else None, new, TODAY))
+    return cut_lineage(up.build_from_quarterly(hist if with_history else None, new, TODAY, strict_prior=True))
 
 
 @register("upload_quarterly")
@@ -588,8 +571,22 @@ def q_driver_counts(spark, sf_dir):
 
 @register("risk_view")
 def q_risk_view(spark, sf_dir):
-    """B13, L7, L9"""
-    return rp.risk_view(scored_quarterly(spark, sf_dir))
+    """The filtered table with its place in display order"""
+    return rp.ranked_view(scored_quarterly(spark, sf_dir))
+
+
+@register("risk_view_head")
+def q_risk_view_head(spark, sf_dir):
+    """The first 40 rows in display order (the limit is the feature)"""
+    return rp.view_head(rp.ranked_view(scored_quarterly(spark, sf_dir)))
+
+
+@register("upload_duplicate_keys")
+def q_upload_duplicate_keys(spark, sf_dir):
+    """M5 on data that has duplicates: the history with the new quarter and its revision, before keep-last"""
+    hist, new = quarterly_fixture(spark, sf_dir)
+    every = hist.unionByName(new).unionByName(new.withColumn("ticket_count", F.col("ticket_count") + 1))
+    return qa.duplicate_keys(every.withColumnRenamed("as_of_quarter", "quarter"))
 
 
 # ------------------------------------------------------------- observed labels (H2, H12-H15, H19, H20 on real folds)
@@ -636,12 +633,6 @@ def q_observed_validation_report(spark, sf_dir):
     return mt.validation_report(mt.time_split(feature_frame(spark, sf_dir, observed=True), LABEL), LABEL)
 
 
-def metrics_row(v):
-    """H12-H15 in one row (each part is one row)."""
-    v = cut_lineage(v)
-    return mt.roc_auc(v).crossJoin(mt.threshold_metrics(v)).crossJoin(mt.rank_metrics(v, tie_cols=["account_id", "quarter"]))
-
-
 @register("observed_metrics")
 def q_observed_metrics(spark, sf_dir):
     """H12-H15 on observed labels (fixed scorer)"""
@@ -662,18 +653,6 @@ def q_observed_folds(spark, sf_dir):
 
 # ------------------------------------------------------------- fitted model
 
-def fitted(split_df):
-    """Spark ML's fit of the training quarters, polished until only rounding is
-    left of the optimality conditions: the answer does not depend on partitions."""
-    train = split_df.where(F.col("split") == "train")
-    return ff.fit_side_by_side(train, {"all": F.lit(True)}, LABEL, start={"all": md.fit_logistic(train, LABEL)})["all"]
-
-
-def trained_validation(split_df, spec):
-    v = split_df.where(F.col("split") == "valid")
-    return v.select("account_id", "quarter", F.col(LABEL).cast("int").alias("label"), spec.probability().alias("p"))
-
-
 @register("preprocessor_table")
 def q_preprocessor_table(spark, sf_dir):
     """H3-H7: what the training quarters say to impute, subtract and divide by"""
@@ -685,14 +664,14 @@ def q_preprocessor_table(spark, sf_dir):
 def q_trained_scores(spark, sf_dir):
     """The validation quarters scored by the model of the training quarters"""
     s = train_split(spark, sf_dir)
-    return trained_validation(s, fitted(s)).withColumn("p", F.round("p", 5))
+    return jobs.validation_scores(s, jobs.fit_model(s)).withColumn("p", F.round("p", 5))
 
 
 @register("fit_optimality")
 def q_fit_optimality(spark, sf_dir):
     """H8: subgradient residual of every coefficient, by an aggregate of its own"""
     s = train_split(spark, sf_dir)
-    t = ff.optimality(s.where(F.col("split") == "train"), fitted(s), LABEL)
+    t = ff.optimality(s.where(F.col("split") == "train"), jobs.fit_model(s), LABEL)
     return t.select("term", F.round("coefficient", 6).alias("coefficient"), F.round("residual", 6).alias("residual"), "optimal")
 
 
@@ -700,20 +679,14 @@ def q_fit_optimality(spark, sf_dir):
 def q_trained_metrics(spark, sf_dir):
     """The model metrics row for the fitted model"""
     s = train_split(spark, sf_dir)
-    p = md.DEFAULT_PARAMS
-    settings = spark.range(1).select(F.lit(float(p["C"])).alias("best_c"), F.lit(p["class_weight"]).alias("class_weight"),
-                                     F.lit(p["penalty"]).alias("penalty"), F.lit(float(p["l1_ratio"])).alias("l1_ratio"))
-    return metrics_row(trained_validation(s, fitted(s))).crossJoin(settings)
+    return metrics_row(jobs.validation_scores(s, jobs.fit_model(s))).crossJoin(jobs.settings_row(spark))
 
 
 @register("coefficient_table")
 def q_coefficient_table(spark, sf_dir):
     """Coefficients, odds ratios, direction and base feature, strongest first"""
     s = train_split(spark, sf_dir)
-    t = fitted(s).coefficient_table(spark)
-    return t.select("*", F.exp("coefficient").alias("odds_ratio"),
-                    F.when(F.col("coefficient") >= 0, "Increase churn risk").otherwise("Decrease churn risk")
-                    .alias("interpretation"))
+    return jobs.coefficient_report(spark, jobs.fit_model(s))
 
 
 @register("cv_folds")
@@ -732,5 +705,79 @@ def q_cv_summary(spark, sf_dir):
 def q_driver_strength(spark, sf_dir):
     """Global driver strength -- absolute coefficients summed per base feature"""
     s = train_split(spark, sf_dir)
-    t = fitted(s).coefficient_table(spark)
+    t = jobs.fit_model(s).coefficient_table(spark)
     return t.groupBy("base_feature").agg(F.sum("abs_coefficient").alias("abs_coefficient"))
+
+
+# ------------------------------------------------------------- jobs (A1, A3, A7, A8): write, read in another run, score
+
+from churnlens.session import scratch_path  # noqa: E402
+from churnlens.sources import raw  # noqa: E402
+
+
+@register("stored_model_risk")
+def q_stored_model_risk(spark, sf_dir):
+    """Fit, store, load, and rank the latest quarter by the loaded model"""
+    table = cut_lineage(feature_frame(spark, sf_dir, observed=True))
+    path = scratch_path(spark, "model")
+    md.save_spec(spark, jobs.fit_model(cut_lineage(mt.time_split(table, LABEL))), path)
+    return rk.latest_risk_output(table, jobs.load_model(spark, [path + "-preferred", path]))
+
+
+def score_written(spark, mode, tables, **options):
+    """Write an upload as CSV and the fixed scorer as a stored model, then run the score job on the paths."""
+    base = scratch_path(spark, f"upload-{mode}")
+    for name, df in tables.items():
+        jobs.write_table(df, f"{base}/{name}", fmt="csv")
+    md.save_spec(spark, md.fixed_scorer(), f"{base}/model")
+    return jobs.score_job(spark, mode, {n: f"{base}/{n}" for n in tables}, [f"{base}/model"], TODAY, **options)
+
+
+@register("score_job_single")
+def q_score_job_single(spark, sf_dir):
+    """A8, J6, K: the score job in single mode, explained against peers"""
+    return score_written(spark, "single", {"single": single_fixture(spark, sf_dir)})["scored"]
+
+
+@register("score_job_multi")
+def q_score_job_multi(spark, sf_dir):
+    """A8, J13, K: the score job in multi-table mode"""
+    r = raw_tables(spark, sf_dir)
+    return score_written(spark, "multi", {"accounts": r.accounts, "subscriptions": r.subscriptions, "usage": r.feature_usage,
+                                          "tickets": r.support_tickets})["scored"]
+
+
+@register("score_job_quarterly")
+def q_score_job_quarterly(spark, sf_dir):
+    """A8, J19, K: the score job in quarterly mode, explained against the own history"""
+    hist, new = quarterly_fixture(spark, sf_dir)
+    return score_written(spark, "quarterly", {"history": hist, "new": new}, strict_prior=True)["scored"]
+
+
+def damaged_csv(spark, sf_dir):
+    """Subscriptions as a CSV with odd headers, unreadable dates and numbers and missing ids."""
+    s = raw_tables(spark, sf_dir).subscriptions
+    k = F.col("subscription_id").cast("long")
+    text = s.select(
+        F.when(k % 17 != 0, F.col("account_id")).alias(" account_id "), F.when(k % 19 != 0, F.col("subscription_id")).alias("subscription_id"),
+        F.when(k % 11 == 0, F.lit("2001-13-45")).otherwise(F.col("start_date").cast("string")).alias("start_date"),
+        F.when(k % 13 == 0, F.lit("soon")).otherwise(F.col("end_date").cast("string")).alias("end_date"), "plan_tier",
+        F.when(k % 7 == 0, F.lit("12 seats")).otherwise(F.col("seats").cast("string")).alias("seats"),
+        F.when(k % 23 == 0, F.lit("n/a")).otherwise(F.col("arr_amount").cast("string")).alias("arr_amount"),
+        F.when(k % 29 == 0, F.lit("maybe")).otherwise(F.col("auto_renew_flag").cast("string")).alias("auto_renew_flag"), F.lit("x").alias("unknown"))
+    path = scratch_path(spark, "raw-csv")
+    jobs.write_table(text, path, fmt="csv")
+    return raw.Ingest(spark.read.option("header", True).csv(path), "subscriptions")
+
+
+@register("ingest_rows")
+def q_ingest_rows(spark, sf_dir):
+    """A1, A3: a CSV read back with declared types"""
+    return damaged_csv(spark, sf_dir).rows.select("subscription_id", "account_id", "start_date", "end_date", "plan_tier", "seats",
+                                                  "arr_amount", "auto_renew_flag")
+
+
+@register("ingest_rejects")
+def q_ingest_rejects(spark, sf_dir):
+    """A3: unreadable values by column and rows without an id"""
+    return damaged_csv(spark, sf_dir).rejects

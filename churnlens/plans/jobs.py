@@ -1,4 +1,4 @@
-"""Batch jobs: raw tables -> processed panel; written tables cut lineage.
+"""Batch jobs: ingest, panel, train, score; written tables cut lineage.
 
 ``processed_quarter_panel`` is the reference's chain of four scripts
 (panel -> QoQ -> missing flags -> contract flags) as one lazy plan, with the
@@ -8,12 +8,20 @@ contract step needs no lookup join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime as dt
+from collections.abc import Sequence
 
-from churnlens.operators.flags import add_contract_flags, add_missing_flags, backfill_labels
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+from churnlens.operators import explain, features, fit, metrics, model, report, risk, upload
+from churnlens.operators.flags import add_contract_flags, add_missing_flags, backfill_labels, clean_label_binary, ensure_label
 from churnlens.operators.qoq import qoq_transform
 from churnlens.plans.inputs import Facts, load_facts
 from churnlens.session import cut_lineage
+from churnlens.sources import raw
+from churnlens.sources.aliases import apply_aliases
 
 
 def processed_quarter_panel(f: Facts, qoq_method: str = "exact", materialise: bool = True, observed: bool = False) -> DataFrame:
@@ -43,3 +51,166 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
         w.json(path)
     else:
         w.parquet(path)
+
+
+# ------------------------------------------------------------------ ingest job (A1, A3)
+
+def ingest_job(spark: SparkSession, paths: dict[str, str], out_dir: str) -> DataFrame:
+    """Read raw CSV tables, write them typed under ``out_dir`` and return the
+    reject counts, which the writes themselves observe (no second scan)."""
+    rejects = None
+    for table, path in paths.items():
+        own, seen = raw.Ingest(spark.read.option("header", True).csv(path), table), Observation(f"ingest {table}")
+        write_table(own.observed(seen), f"{out_dir}/{table}")
+        counts = raw.observed_rejects(spark, own, seen)
+        rejects = counts if rejects is None else rejects.unionByName(counts)
+    write_table(rejects, f"{out_dir}/rejects")
+    return rejects
+
+
+# ------------------------------------------------------------------ train job (H, I, A5-A7)
+
+LABEL = "churn_label_q1_rolling"
+KEYS = ["account_id", "quarter", "quarter_end", LABEL]
+
+
+def labelled_features(processed: DataFrame) -> DataFrame:
+    """The feature table of a processed panel, with keys and a clean label."""
+    p = clean_label_binary(ensure_label(processed), LABEL)
+    p = p.withColumn(LABEL, F.col(LABEL).cast("int"))
+    return features.build_feature_set(features.add_tenure(p), keep=KEYS)
+
+
+def fit_model(split_df: DataFrame, params: dict | None = None) -> model.LinearSpec:
+    """Spark ML's fit of the training quarters, polished until only rounding is
+    left of the optimality conditions: the answer does not depend on partitions."""
+    train = split_df.where(F.col("split") == "train")
+    start = model.fit_logistic(train, LABEL, params)
+    return fit.fit_side_by_side(train, {"all": F.lit(True)}, LABEL, params, start={"all": start})["all"]
+
+
+def validation_scores(split_df: DataFrame, spec: model.LinearSpec) -> DataFrame:
+    return split_df.where(F.col("split") == "valid").select(
+        "account_id", "quarter", F.col(LABEL).cast("int").alias("label"), spec.probability().alias("p"))
+
+
+def metrics_row(scored: DataFrame) -> DataFrame:
+    """H12-H15 in one row (each part is one row)."""
+    v = cut_lineage(scored)
+    return metrics.roc_auc(v).crossJoin(metrics.threshold_metrics(v)).crossJoin(
+        metrics.rank_metrics(v, tie_cols=["account_id", "quarter"]))
+
+
+def settings_row(spark: SparkSession, params: dict | None = None) -> DataFrame:
+    p = dict(model.DEFAULT_PARAMS, **(params or {}))
+    l1 = p.get("l1_ratio")
+    return spark.range(1).select(F.lit(float(p["C"])).alias("best_c"), F.lit(str(p["class_weight"])).alias("class_weight"),
+                                 F.lit(str(p["penalty"])).alias("penalty"),
+                                 F.lit(None if l1 is None else float(l1)).cast("double").alias("l1_ratio"))
+
+
+def coefficient_report(spark: SparkSession, spec: model.LinearSpec) -> DataFrame:
+    """Coefficients with odds ratio and direction, strongest first."""
+    return spec.coefficient_table(spark).select(
+        "*", F.exp("coefficient").alias("odds_ratio"),
+        F.when(F.col("coefficient") >= 0, "Increase churn risk").otherwise("Decrease churn risk").alias("interpretation"))
+
+
+def train_job(feature_table: DataFrame, out_dir: str, tuning: DataFrame | None = None, folds: int = 5) -> model.LinearSpec:
+    """Split by time, fit, evaluate, and write under ``out_dir``: the model, its
+    metrics, coefficients, preprocessing, optimality and folds (CSV with header),
+    and the latest risk and demo tables.  Returns the model that was written."""
+    spark = feature_table.sparkSession
+    params = model.pick_params(tuning)
+    table = cut_lineage(feature_table)
+    split = cut_lineage(metrics.time_split(table, LABEL))
+    spec = fit_model(split, params)
+    model.save_spec(spark, spec, f"{out_dir}/model")
+    cv = cut_lineage(model.timeseries_folds(split, LABEL, folds, params))
+    latest = risk.latest_risk_output(table, spec)
+    for name, df in {
+        "metrics": metrics_row(validation_scores(split, spec)).crossJoin(settings_row(spark, params)),
+        "validation_report": metrics.validation_report(split, LABEL),
+        "coefficients": coefficient_report(spark, spec),
+        "preprocessing": fit.preprocessor_table(spark, spec.terms),
+        "optimality": fit.optimality(split.where(F.col("split") == "train"), spec, LABEL, params),
+        "cv_folds": cv, "cv_summary": model.cv_summary(cv, params),
+        "latest_risk": latest, "demo_output": risk.demo_output(latest),
+    }.items():
+        write_table(df, f"{out_dir}/{name}", fmt="csv")
+    return spec
+
+
+def load_model(spark: SparkSession, paths: Sequence[str]) -> model.LinearSpec:
+    """The first of the given models that exists; other read errors are raised."""
+    for p in paths:
+        try:
+            return model.load_spec(spark, p)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    raise FileNotFoundError(f"there is no stored model at any of {list(paths)}")
+
+
+# ------------------------------------------------------------------ score job (A8, J, K, L)
+
+MODES = {"single": ["single"], "multi": ["accounts", "subscriptions"], "quarterly": ["new"]}
+OPTIONAL = {"single": [], "multi": ["usage", "tickets"], "quarterly": ["history"]}
+
+
+#: types of a quarterly upload's columns; the other modes' builders read what they use by themselves
+QUARTERLY_TYPES = {"as_of_quarter": "date", "signup_date": "date"} | dict.fromkeys(
+    ["usage_count_total", "ticket_count", "avg_csat", "avg_resolution_hours", "avg_first_response_minutes", "escalation_count",
+     "auto_renew_flag", "days_to_contract_end", "seats", "arr_amount", "mrr_amount"], "double")
+
+
+def read_uploads(spark: SparkSession, mode: str, paths: dict[str, str], fmt: str = "csv") -> dict[str, DataFrame]:
+    """The tables of an upload by mode; optional ones may be absent."""
+    if mode not in MODES:
+        raise ValueError(f"no such mode: {mode!r}; there are {sorted(MODES)}")
+    absent = [t for t in MODES[mode] if t not in paths]
+    unknown = [t for t in paths if t not in MODES[mode] + OPTIONAL[mode]]
+    if absent or unknown:
+        raise ValueError(f"mode {mode!r}: tables not given {absent}, tables it does not know {unknown}")
+    if fmt == "csv":
+        tables = {t: raw.read_upload(spark, p, with_order=mode == "quarterly") for t, p in paths.items()}
+    else:
+        tables = {t: apply_aliases(spark.read.parquet(p)) for t, p in paths.items()}
+    if mode == "quarterly":
+        tables = {t: df.withColumns({c: F.col(c).try_cast(k) for c, k in QUARTERLY_TYPES.items() if c in df.columns}) for t, df in tables.items()}
+    return tables
+
+
+def upload_features(mode: str, tables: dict[str, DataFrame], today: dt.date, strict_prior: bool = False) -> DataFrame:
+    if mode == "single":
+        return upload.build_from_single(tables["single"], today)
+    if mode == "multi":
+        return upload.build_from_multi(tables["accounts"], tables["subscriptions"], tables.get("usage"), tables.get("tickets"), today)
+    return upload.build_from_quarterly(tables.get("history"), tables["new"], today, strict_prior)
+
+
+def score_job(spark: SparkSession, mode: str, paths: dict[str, str], models: Sequence[str], today: dt.date, out_dir: str | None = None,
+              fmt: str = "csv", high: float = 0.50, medium: float = 0.35, row_level: bool = False, strict_prior: bool = False) -> dict[str, DataFrame]:
+    """Upload -> features -> stored model -> explained, tiered scores and the
+    report tables.  ``out_dir``: write each of them there as well (the scored
+    table without display columns, the renewed history in quarterly mode)."""
+    tables = read_uploads(spark, mode, paths, fmt)
+    spec = load_model(spark, models)
+    feats = cut_lineage(upload_features(mode, tables, today, strict_prior))
+    scored = cut_lineage(explain.score(feats, spec, high, medium, row_level))
+    out = {"scored": scored, "kpis": report.kpis(scored), "tier_counts": report.tier_counts(scored),
+           "prob_histogram": report.prob_histogram(scored, 18).unionByName(report.prob_histogram(scored, 24)),
+           "top_risk": report.top_risk(scored), "driver_counts": report.driver_counts(scored),
+           "score_health": report.score_health(scored, feats)}
+    if mode == "multi":
+        out["coverage"] = report.coverage(tables["accounts"], tables["subscriptions"], tables.get("usage"), tables.get("tickets"))
+    if out_dir is not None:
+        for name, df in out.items():
+            if name == "scored":
+                report.export_scored(df, f"{out_dir}/scored")
+            else:
+                write_table(df, f"{out_dir}/{name}", fmt="csv")
+        if mode == "quarterly":
+            renewed = upload.renew_history(tables.get("history"), tables["new"])
+            write_table(renewed.drop("_row_order"), f"{out_dir}/history")
+    return out

@@ -683,7 +683,7 @@ qfix as (select account_id, quarter_start as_of_quarter, usage_count usage_count
                 days_to_contract_end_asof_qend days_to_contract_end, plan_tier, seats, arr_amount, mrr_amount,
                 signup_date from panel_quarter),
 obs as (select max(as_of_quarter) mx from qfix where usage_count_total > 0),
-hist as (select * from qfix where as_of_quarter < (select mx from obs)),
+hist as (select * from qfix where as_of_quarter <> (select mx from obs)),
 newq as (select * from qfix where as_of_quarter = (select mx from obs)),
 sfix0 as (select account_id, plan_tier, signup_date, quarter_end as_of_date, quarter_start,
                  usage_count usage_count_current, lag(usage_count) over w usage_count_prev,
@@ -693,8 +693,7 @@ sfix0 as (select account_id, plan_tier, signup_date, quarter_end as_of_date, qua
                  arr_amount arr_current, lag(arr_amount) over w arr_prev,
                  avg_satisfaction avg_satisfaction_current
           from panel_quarter window w as (partition by account_id order by quarter_end)),
-sfix as (select * exclude (quarter_start) from sfix0 where quarter_start <= (select mx from obs)
-         qualify as_of_date = max(as_of_date) over (partition by account_id))"""
+sfix as (select * exclude (quarter_start) from sfix0)"""
 
 
 def single_builder(src: str, prefix: str) -> str:
@@ -775,6 +774,7 @@ multi_in as (select l.account_id, a.signup_date, (select as_of_date from anchor)
 QUARTERLY_CTES = f"""
 prevq as (select account_id, usage_count_total usage_count_total_prevq, ticket_count ticket_count_prevq,
                  avg_csat avg_csat_prevq, seats seats_prevq, arr_amount arr_amount_prevq from hist
+          where as_of_quarter < (select mx from obs)
           qualify as_of_quarter = max(as_of_quarter) over (partition by account_id)),
 q_in as (select n.account_id, n.plan_tier, coalesce(n.usage_count_total, 0) usage_count_current,
                 coalesce(p.usage_count_total_prevq, 0) usage_count_prev, coalesce(n.ticket_count, 0) tickets_opened_current,
@@ -855,7 +855,7 @@ peer_x as (select *,
 from peer1)"""
 
 
-def _scored_sql() -> str:
+def _scored_sql(src: str = "self_x", context: str | None = None) -> str:
     reco = ("case risk_type when 'Commercial' then 'Focus: Commercial | Confirm renewal timeline, decision makers, and "
             "success criteria. Align early on the renewal plan.' when 'Usage' then 'Focus: Usage | Identify which "
             "workflows/features dropped (by role/team). Run enablement and adoption recovery.' when 'Support' then "
@@ -863,6 +863,9 @@ def _scored_sql() -> str:
             "with the customer.' when 'Satisfaction' then 'Focus: Success | Confirm stakeholder sentiment and run a "
             "recovery plan. Identify top pain points.' else 'Focus: General | Validate health signals and request "
             "missing data fields if needed.' end")
+    context = context or """seats, as_of_date, signup_date, quarter_end, signup_date_inferred_flag, as_of_date_inferred_flag, as_of_quarter,
+  usage_count_total, ticket_count, avg_csat, days_to_contract_end, auto_renew_flag, escalation_count,
+  hist_usage_median, hist_tickets_median, hist_csat_median, plan_tier"""
     return f"""
 sc0 as (select *, {_prob_sql()} risk_probability,
   case when comm_flag then 'Commercial' when usage_flag then 'Usage' when support_flag then 'Support'
@@ -870,7 +873,7 @@ sc0 as (select *, {_prob_sql()} risk_probability,
   list_filter([case when comm_flag then comm_txt end, case when usage_flag then usage_txt end,
                case when support_flag then support_txt end, case when sat_flag then sat_txt end],
               lambda x: x is not null and trim(x) <> '') texts
-  from self_x),
+  from {src}),
 scored as (select account_id, cast(round_even(risk_probability * 100, 0) as int) risk_score, risk_probability,
   case when risk_probability >= 0.5 then 'High' when risk_probability >= 0.35 then 'Medium' else 'Low' end risk_tier,
   risk_type,
@@ -878,9 +881,7 @@ scored as (select account_id, cast(round_even(risk_probability * 100, 0) as int)
        when len(texts) > 0 then array_to_string(list_slice(texts, 1, 3), ' | ')
        else 'Signals detected, but insufficient detail for explanation.' end drivers,
   {reco} recommendation,
-  seats, as_of_date, signup_date, quarter_end, signup_date_inferred_flag, as_of_date_inferred_flag, as_of_quarter,
-  usage_count_total, ticket_count, avg_csat, days_to_contract_end, auto_renew_flag, escalation_count,
-  hist_usage_median, hist_tickets_median, hist_csat_median, plan_tier
+  {context}
   from sc0),
 disp as (select *, printf('%.1f%%', risk_probability * 100) risk_probability_pct,
   coalesce(trim(list_filter(string_split(coalesce(drivers, ''), '|'), lambda x: trim(x) <> '')[1]), '') primary_driver,
@@ -907,6 +908,10 @@ select {b} bins, cast(i as int) bin, i / {float(b)} lo, (i + 1) / {float(b)} hi,
        (select count(*) from scored where risk_probability between 0 and 1
           and least(floor(risk_probability * {b}), {b - 1}) = i) n
 from range({b}) t(i)""" for b in (18, 24))
+    view = """
+select account_id, risk_score, risk_probability_pct, risk_badge, risk_type, primary_driver, primary_reco,
+       _tier_order, risk_probability, row_number() over (order by _tier_order, risk_probability desc, account_id) as position
+from disp where risk_tier in ('High', 'Medium') and risk_probability >= 0.0"""
     return {
         "standardised_ingest": _q("select subscription_id, account_id, start_date, end_date, plan_tier, seats, "
                                   "arr_amount from subscriptions", ["arr_amount"]),
@@ -964,10 +969,12 @@ select driver, count(*) n from (
   select trim(unnest(string_split(drivers, '|'))) driver from scored
   where risk_tier in ('High', 'Medium') and drivers is not null) where driver <> ''
 group by driver order by n desc, driver limit 12"""),
-        "risk_view": _upload(q_all, """
-select account_id, risk_score, risk_probability_pct, risk_badge, risk_type, primary_driver, primary_reco,
-       _tier_order, risk_probability
-from disp where risk_tier in ('High', 'Medium') and risk_probability >= 0.0""", ["risk_probability"]),
+        "risk_view": _upload(q_all, view, ["risk_probability"]),
+        "risk_view_head": _upload(q_all, f"select * from ({view}) where position <= 40", ["risk_probability"]),
+        "upload_duplicate_keys": _upload("""
+every_row as (select account_id, as_of_quarter from hist union all select account_id, as_of_quarter from newq
+              union all select account_id, as_of_quarter from newq)""", """
+select cast(sum(n - 1) as bigint) duplicate_rows from (select count(*) n from every_row group by account_id, as_of_quarter)"""),
     }
 
 
@@ -1088,6 +1095,7 @@ select term, b coefficient, residual, residual <= 1e-9 optimal from off"""
 def oracle_queries_fitted() -> dict[str, str]:
     spec, folds = stored_fits()
     thresholds = "[0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5]"
+    peers = "plan_tier, seats, as_of_date, signup_date, quarter_end, signup_date_inferred_flag, as_of_date_inferred_flag"
     coefs = " union all ".join(f"select '{t.name}' feature, {t.coef!r} coefficient, '{t.base}' base" for t in spec.terms)
     table = f"""select row_number() over (order by round(abs(coefficient), 9) desc, feature) as position, feature, coefficient,
   abs(coefficient) abs_coefficient, regexp_extract(feature, '^[^_]*?__(.*)$', 1) base_feature, exp(coefficient) odds_ratio,
@@ -1136,6 +1144,24 @@ select cast(count(*) filter (where not skipped) as int) ts_cv_folds, cast(count(
        avg(auc) ts_cv_auc_mean, min(auc) ts_cv_auc_min, max(auc) ts_cv_auc_max, stddev_pop(auc) ts_cv_auc_std,
        0.05 best_c, '{0: 1, 1: 2}' class_weight, 'elasticnet' penalty, 0.2 l1_ratio from folds""",
                             ["ts_cv_auc_mean", "ts_cv_auc_min", "ts_cv_auc_max", "ts_cv_auc_std", "best_c", "l1_ratio"], observed=True),
+        "score_job_single": _upload(single_builder("sfix", "s_") + ",\n" + _peer_sql("s_f") + ",\n" + _scored_sql("peer_x", peers),
+                                    "select * from scored", ["risk_probability", "seats"]),
+        "score_job_multi": _upload(MULTI_CTES + ",\n" + _peer_sql("m_f") + ",\n" + _scored_sql("peer_x", peers),
+                                   "select * from scored", ["risk_probability", "seats"]),
+        "score_job_quarterly": rounded("select * replace (" + ", ".join(
+            f"cast({c} as double) as {c}" for c in ["usage_count_total", "ticket_count", "days_to_contract_end", "escalation_count"])
+            + ") from (" + oracle_queries_jkl()["scored"] + ") s0", []),
+        "ingest_rows": _q("""
+select subscription_id, account_id, case when k % 11 <> 0 then start_date end start_date, case when k % 13 <> 0 then end_date end end_date,
+       plan_tier, case when k % 7 <> 0 then seats end seats, case when k % 23 <> 0 then arr_amount end arr_amount,
+       case when k % 29 <> 0 then auto_renew_flag end auto_renew_flag
+from (select *, cast(subscription_id as bigint) k from subscriptions) where k % 17 <> 0 and k % 19 <> 0""", ["arr_amount"]),
+        "ingest_rejects": _q("""
+select 'subscriptions' as "table", c as "column", 'bad value' reason, (select count(*) from subscriptions where cast(subscription_id as bigint) % m = 0) n
+from (values ('start_date', 11), ('end_date', 13), ('seats', 7), ('arr_amount', 23), ('auto_renew_flag', 29)) t(c, m)
+union all
+select 'subscriptions', c, 'missing id', (select count(*) from subscriptions where cast(subscription_id as bigint) % m = 0)
+from (values ('account_id', 17), ('subscription_id', 19)) t(c, m)"""),
         "stored_model_risk": _eval(_risk_body(spec) + "select * from risk", RISK_DOUBLES, observed=True),
     }
 

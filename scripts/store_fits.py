@@ -17,7 +17,7 @@ sys.path.insert(0, ROOT)
 from pyspark.sql import functions as F  # noqa: E402
 
 from churnlens.operators import fit, model  # noqa: E402
-from churnlens.plans import catalog  # noqa: E402
+from churnlens.plans import catalog, jobs  # noqa: E402
 from churnlens.session import get_spark  # noqa: E402
 
 
@@ -26,7 +26,7 @@ def main(sf_dir: str = "/root/testdata/sf0.01") -> None:
     s = catalog.train_split(spark, sf_dir)
     live = [f["q"] for f in model.fold_conditions(s, catalog.LABEL, 5) if not f["skipped"]]
     folds = fit.fit_side_by_side(s, {str(q): F.col("_q_idx") < q for q in live}, catalog.LABEL)
-    out = {"train": json.loads(catalog.fitted(s).to_json()),
+    out = {"train": json.loads(jobs.fit_model(s).to_json()),
            "folds": {f"{int(q) // 4}Q{int(q) % 4 + 1}": json.loads(m.to_json()) for q, m in folds.items()}}
     with open(os.path.join(ROOT, "oracle", "fitted_sf0.01.json"), "w", encoding="utf-8") as f:
         json.dump(out, f, indent=0)
