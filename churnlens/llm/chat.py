@@ -22,20 +22,15 @@ is one string, so it must fit a row; its rows meet in one task for that reason.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from churnlens.llm.common import let
+
 HEAD, NEXT, END = "### ", "<next>", "</turn>\n"
 CHUNK = 512
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` worked out once, however often the body uses it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def escape(text: Column) -> Column:
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     out = F.regexp_replace(out, "#(?=##)", r"#\\")

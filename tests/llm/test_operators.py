@@ -106,6 +106,17 @@ def test_op2_base_rules_and_score(spark, docs, texts):
         assert math.isclose(r.score, score, abs_tol=1e-9) and r.base_failed == failed and r.kept == (not failed and score >= quality_rules.THRESHOLD)
 
 
+def test_op2_can_be_filtered_by_its_verdict(spark):
+    """A pushed filter must not work the arrays out again per element."""
+    long = " ".join(f"w{i % 977}x{i % 31}" for i in range(30000))
+    docs = spark.createDataFrame([(1, long), (2, "a b c " * 30), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    judged = quality_rules.judge(docs, labels)
+    kept = {r.doc_id: r.kept for r in judged.collect()}
+    assert {r.doc_id for r in judged.where("kept").collect()} == {i for i, k in kept.items() if k}
+    assert {r.doc_id for r in judged.where("not kept and n_repeat_words >= 0").collect()} == {i for i, k in kept.items() if not k}
+
+
 def test_op3_rules_and_models(spark):
     urls = ["https://A.example.NET/en/1", "http://x.net", "http://x.net/a?b", "http://notnet/a", "ftp://m.a.org/fr/9#top", "http://b.org/de/1",
             "https://example.com/de/x", None, "no scheme", "http://h?x://y/z", ""]
@@ -161,12 +172,18 @@ def test_op5_equals_full_scoring(docs, texts):
     n, mean = len(bags), sum(sum(b.values()) for b in bags.values()) / len(bags)
     idf = {w: math.log1p((n - c + .5) / (c + .5)) for w, c in df.items()}
     for q in [i for i in bags if i % 50 == 0]:
-        terms = sorted(sorted((w for w in bags[q] if df[w] > 1), key=lambda w: (-idf[w], w))[:search.QUERY_TERMS])
+        terms = sorted(bags[q])
         score = {i: sum(idf[w] * b[w] * 2.2 / (b[w] + 1.2 * (.25 + .75 * sum(b.values()) / mean)) for w in terms if w in b) for i, b in bags.items()}
         want = sorted((-round(s, 9), i) for i, s in score.items() if s > 0)[:5]
         assert [(-round(r.score, 9), r.doc_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
 
 
+def test_op5_finds_a_text_of_its_own_words(spark):
+    df = spark.createDataFrame([(0, "alone apart only"), (1, "other words"), (2, "other text")], "doc_id long, text string")
+    rows = search.top_k(df, F.col("doc_id") == 0).collect()
+    assert [(r.query_id, r["rank"], r.doc_id) for r in rows] == [(0, 1, 0)] and rows[0].score > 0
+
+
 def test_op5_wand_skips_and_is_exact():
     r = np.random.default_rng(5)
     for _ in range(30):
