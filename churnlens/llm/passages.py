@@ -89,16 +89,18 @@ def repeated_passages(docs: DataFrame, repeats: DataFrame) -> DataFrame:
     body) for the repeated passages of ``docs`` outside the lines that ``repeats``
     removes: ``paragraph`` is the line in which a passage begins, start and length
     count code points, the class is the place where its beginning first occurs,
-    and ``body`` is the hash of the row's text."""
-    gone = repeats.where("removed").groupBy("doc_id").agg(F.collect_set("paragraph").alias("gone")).withColumnRenamed("doc_id", "_id")
+    and ``body`` is the hash of the row's text.  Rows equal in doc_id and text
+    share their places, of which none is removed for the other's sake."""
+    gone = repeats.where("removed").groupBy(F.col("doc_id").alias("_id"), F.col("body").alias("_in")).agg(F.collect_set("paragraph").alias("gone"))
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
                       F.xxhash64("text").alias("body"), text_bytes())
-    own = cut_lineage(own.join(gone, own["doc_id"].eqNullSafe(gone["_id"]), "left").drop("_id"))
+    own = cut_lineage(own.join(gone, own["doc_id"].eqNullSafe(gone["_id"]) & (own["body"] == gone["_in"]), "left").drop("_id", "_in"))
     twice = map_arrow(own.select("text", "gone"), _seeds, SEEDS).groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1")
     found = cut_lineage(map_arrow(own, _windows(near.bitmap(twice, "seed")), WINDOWS))
-    here = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start", "row", "paragraph")
+    here = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start", "body", "paragraph")
     first = cut_lineage(found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("f")).where("n > 1").select("key", "f"))
-    both = found.join(first, "key").withColumn("removed", (F.col("row") != F.col("f.row")) | (F.col("start") != F.col("f.start")))
+    both = found.join(first, "key").withColumn("removed", ~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("body") == F.col("f.body"))
+                                                        & (F.col("start") == F.col("f.start"))))
     run = Window.partitionBy("row", "removed").orderBy("start")
     before = F.max("stop").over(run.rowsBetween(Window.unboundedPreceding, -1))
     both = both.withColumn("new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(run))

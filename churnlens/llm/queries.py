@@ -47,7 +47,7 @@ def op7_paragraph_dedup(spark, sf_dir):
     anywhere else, with its class."""
     docs = table(spark, sf_dir, "documents")
     lines = cut_lineage(paragraph_dedup.repeated_paragraphs(docs))
-    return lines.unionByName(passages.repeated_passages(docs, lines).drop("body"))
+    return lines.unionByName(passages.repeated_passages(docs, lines))
 
 
 def op8_packing(spark, sf_dir):

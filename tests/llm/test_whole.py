@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from churnlens.llm import gru, lm_scoring, paragraph_dedup, passages, queries, search
 
 
@@ -42,6 +43,16 @@ def test_op7_finds_a_passage_inside_lines_and_over_short_ones(spark, tmp_path):
         assert cut[i].text.split() == [w for w in t.split() if i in (1, 4) or w not in planted] and cut[i].n_chars == len(cut[i].text)
 
 
+def test_op7_loses_no_text_of_repeated_rows_or_clashing_ids(spark):
+    rnd = random.Random(8)
+    nine = ["\n".join(" ".join(f"p{rnd.randrange(10 ** 9)}" for _ in range(9)) for _ in range(7))][0]  # 63 words over short lines
+    line, other = (" ".join(f"{x}{i}" for i in range(12)) for x in "lu")
+    rows = [(1, nine), (1, nine), (5, line), (6, line), (6, other), (7, "head\n" + nine)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    out = [(r.doc_id, r.text.strip("\n")) for r in corpus_pipeline.drop_repeated_paragraphs(spark, docs, "").collect()]
+    assert sorted(out) == sorted([(1, nine), (1, nine), (5, line), (6, ""), (6, other), (7, "head")])
+
+
 def test_op1_trains_on_every_class_and_its_softmax_grows(spark):
     texts = spark.createDataFrame([(b"a b c d " * 20, 9)] * 4, "text binary, part long")
     vocab = lm_scoring.vocabulary(lm_scoring.count_tokens(texts.select("text")).cache())
