@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from churnlens.llm import mixing, near_dedup, packing, paragraph_dedup, passages, quality
 from churnlens.llm.common import table
 from churnlens.session import cut_lineage, ensure_checkpoint_dir
@@ -26,8 +28,9 @@ def drop_near_duplicates(spark, docs, sf_dir):
 def drop_repeated_paragraphs(spark, docs, sf_dir):
     """Texts without the later occurrences of repeated paragraphs and passages."""
     lines = cut_lineage(paragraph_dedup.repeated_paragraphs(docs))
-    cut = passages.without_passages(docs, passages.repeated_passages(docs, lines))
-    return paragraph_dedup.without_repeats(cut, lines)
+    body = "_body_before"
+    cut = passages.without_passages(docs.withColumn(body, F.xxhash64("text")), passages.repeated_passages(docs, lines))
+    return paragraph_dedup.without_repeats(cut, lines, F.col(body)).drop(body)
 
 
 def mix_sources(spark, docs, sf_dir):
