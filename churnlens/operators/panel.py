@@ -3,9 +3,10 @@ right-censoring-aware churn labels.
 
 Plan shape (one pass over each fact, no per-period rescans):
 
-* every input is pre-aggregated to (account_id, p_idx) with map-side partial
-  aggregation -- a hot account is spread over its periods and usage is
-  collapsed to (subscription, day, feature) *before* the subscription join;
+* every input is pre-aggregated with map-side partial aggregation, usage to
+  (subscription, period, feature) with its days as bits of two longs *before*
+  the subscription join, all others to (account_id, p_idx) -- a hot account is
+  spread over its periods;
 * the as-of subscription pick is an exact interval join expressed as an
   explode of each subscription over the periods it is active at period end,
   then ``max(struct(start_date, seq, ...))`` per (account, period);
@@ -30,6 +31,7 @@ from churnlens.operators.horizon import Horizons
 DURATION_CANDIDATES = ["usage_duration_secs", "usage_duration_seconds", "usage_duration_sec"]
 BASE_DELTA_COLS = ["usage_count", "usage_hours", "active_days", "errors", "features_used",
                    "tickets_opened", "escalations", "seats", "mrr_amount", "arr_amount"]
+DAY_BITS = 60  # days of a period per long; a quarter has 92 at most
 ROLL_COLS = ["usage_count", "usage_hours", "tickets_opened", "errors", "features_used", "mrr_amount", "seats"]
 COMMERCIAL_COLS = ["subscription_id", "plan_tier", "seats", "mrr_amount", "arr_amount",
                    "billing_frequency", "end_date_inferred"]
@@ -63,34 +65,58 @@ def names(grain: str) -> dict:
 
 # ------------------------------------------------------------------ pieces
 
+def usage_rows(usage: DataFrame, sub_fact: DataFrame | None = None, grain: str = "quarter") -> DataFrame:
+    """D5 before its last grouping: per (account_id, p_idx[, feature_name]) and
+    subscription the summed measures and the days in use, as bits of two longs.
+    Accepts a usage fact (with account_id) or raw usage plus the subscription
+    map; rows are collapsed to (subscription, period, feature) *before* they
+    meet the map, so the join sees no single days."""
+    sums = [c for c in ("usage_count", "error_count", *DURATION_CANDIDATES) if c in usage.columns]
+    owner = "account_id" if "account_id" in usage.columns else "subscription_id"
+    if owner == "subscription_id" and sub_fact is None:
+        raise ValueError("raw usage needs the subscription fact to find account_id")
+    p = period_index("usage_date", grain)
+    day = F.datediff("usage_date", period_start(p, grain))
+    bit = lambda lo: F.when((day >= lo) & (day < lo + DAY_BITS), F.call_function(
+        "shiftleft", F.lit(1).cast("long"), (day - lo).cast("int"))).otherwise(F.lit(0).cast("long"))
+    keys = [owner, "p_idx"] + (["feature_name"] if "feature_name" in usage.columns else [])
+    u = usage.where(F.col(owner).isNotNull() & F.col("usage_date").isNotNull())
+    pre = u.select("*", p.alias("p_idx"), bit(0).alias("_day0"), bit(DAY_BITS).alias("_day1")).groupBy(*keys).agg(
+        F.bit_or("_day0").alias("_day0"), F.bit_or("_day1").alias("_day1"), *[F.sum(c).alias(c) for c in sums])
+    if owner == "subscription_id":
+        pre = pre.join(sub_fact.select("subscription_id", "account_id").distinct(), "subscription_id").drop("subscription_id")
+    return pre.where(F.col("account_id").isNotNull())
+
+
+def usage_sums(rows: DataFrame) -> list[Column]:
+    """How ``usage_rows`` of one group add up; the names stay."""
+    kept = {"_day0", "_day1"}
+    return [(F.bit_or(c) if c in kept else F.sum(c)).alias(c)
+            for c in rows.columns if c in kept | {"usage_count", "error_count", *DURATION_CANDIDATES}]
+
+
+def usage_measures(cols: list[str]) -> dict[str, Column]:
+    """The measures of D5 from the added-up columns."""
+    dur = next((c for c in DURATION_CANDIDATES if c in cols), None)
+    out = {"active_days": (F.bit_count("_day0") + F.bit_count("_day1")).cast("long")}
+    if "usage_count" in cols:
+        out["usage_count"] = F.col("usage_count")
+    if dur:
+        out["usage_hours"] = F.col(dur) / 3600.0
+    if "error_count" in cols:
+        out["errors"] = F.col("error_count")
+    return out
+
+
 def usage_by_period(usage: DataFrame, sub_fact: DataFrame | None = None, grain: str = "quarter") -> DataFrame:
     """Per (account_id, p_idx): distinct usage days, usage count, hours,
-    errors, distinct features.  Accepts a usage fact (with account_id) or raw
-    usage plus the subscription fact; raw usage is pre-aggregated to
-    (subscription, day, feature) before it meets the subscription map."""
-    dur = next((c for c in DURATION_CANDIDATES if c in usage.columns), None)
-    sums = {c: c for c in ("usage_count", "error_count") if c in usage.columns}
-    if dur:
-        sums[dur] = dur
-    if "account_id" not in usage.columns:
-        if sub_fact is None:
-            raise ValueError("raw usage needs the subscription fact to find account_id")
-        keys = ["subscription_id", "usage_date"] + (["feature_name"] if "feature_name" in usage.columns else [])
-        pre = usage.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
-        mapping = sub_fact.select("subscription_id", "account_id").distinct()
-        usage = pre.join(mapping, "subscription_id", "left")
-    u = usage.where(F.col("account_id").isNotNull() & F.col("usage_date").isNotNull()) \
-        .withColumn("p_idx", period_index("usage_date", grain))
-    aggs = [F.countDistinct("usage_date").alias("active_days")]
-    if "usage_count" in sums:
-        aggs.append(F.sum("usage_count").alias("usage_count"))
-    if dur:
-        aggs.append((F.sum(dur) / 3600.0).alias("usage_hours"))
-    if "error_count" in sums:
-        aggs.append(F.sum("error_count").alias("errors"))
-    if "feature_name" in u.columns:
-        aggs.append(F.countDistinct("feature_name").alias("features_used"))
-    return u.groupBy("account_id", "p_idx").agg(*aggs)
+    errors, distinct features.  Days are bits, so only the features need a
+    distinct count, and no row is expanded."""
+    rows = usage_rows(usage, sub_fact, grain)
+    features = [F.countDistinct("feature_name").alias("features_used")] if "feature_name" in rows.columns else []
+    g = rows.groupBy("account_id", "p_idx").agg(*usage_sums(rows), *features)
+    return g.select("account_id", "p_idx", *[v.alias(c) for c, v in usage_measures(g.columns).items()],
+                    *(["features_used"] if features else []))
 
 
 def tickets_by_period(tickets: DataFrame, grain: str = "quarter", last_day_full: bool = False) -> DataFrame:
@@ -176,8 +202,8 @@ def build_panel(accounts: DataFrame, sub_fact: DataFrame, usage: DataFrame, tick
     bounds = bounds_literals(period_bounds(rng, grain))
 
     spine = account_spine(accounts, bounds, grain).withColumn("_spine", F.lit(1))
-    parts = [spine,
-             usage_by_period(usage, raw_subs, grain),
+    used = usage_rows(usage, raw_subs, grain)
+    parts = [spine, used,
              tickets_by_period(tickets, grain, last_day_full),
              churn_by_period(churn, grain),
              asof_subscription(sub_fact, bounds, grain, ("end_date",) if carry_end_date else ())]
@@ -186,12 +212,18 @@ def build_panel(accounts: DataFrame, sub_fact: DataFrame, usage: DataFrame, tick
         parts.append(ends)
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
-    # one hash partitioning by account serves both the collapse and the windows
-    value_cols = [c for c in stacked.columns if c not in ("account_id", "p_idx")]
-    collapsed = (stacked.repartition("account_id")
-                 .groupBy("account_id", "p_idx")
-                 .agg(*[F.max(c).alias(c) for c in value_cols])
-                 .where(F.col("_spine") == 1))
+    # one hash partitioning by account serves usage's last grouping (by feature, then without), the collapse and the windows
+    feature = ["feature_name"] if "feature_name" in used.columns else []
+    value_cols = [c for c in stacked.columns if c not in ("account_id", "p_idx", *used.columns)]
+    rest = [F.max(c).alias(c) for c in value_cols]
+    own = stacked.repartition("account_id")
+    if feature:
+        own = own.groupBy("account_id", "p_idx", *feature).agg(*usage_sums(used), *rest)
+    counted = [F.count("feature_name").cast("long").alias("features_used")] if feature else []
+    collapsed = own.groupBy("account_id", "p_idx").agg(*usage_sums(used), *counted, *rest).where(F.col("_spine") == 1)
+    measures = usage_measures(used.columns)
+    collapsed = collapsed.select("account_id", "p_idx", *value_cols, *[v.alias(c) for c, v in measures.items()],
+                                 *(["features_used"] if feature else []))
     p = collapsed.crossJoin(F.broadcast(bounds.select("max_idx")))
     return _finish_panel(p, n, grain, observed_until_idx, horizons)
 

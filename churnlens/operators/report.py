@@ -37,19 +37,22 @@ def coverage(accounts: DataFrame, subs: DataFrame, usage: DataFrame | None, tick
                       F.lit(",".join(missing)).alias("missing_optional"))
 
 
+def _spread(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, unique_values, std_dev).  Values are unpivoted and combined per
+    (column, value) on the map side, so no row is expanded once per distinct
+    count and a dominant value leaves a task once."""
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x")).select("x.*")
+    unique = cells.groupBy("column", "v").agg(F.lit(1).alias("one")).groupBy("column").agg(F.count("v").alias("unique_values"))
+    spread = cells.groupBy("column").agg(F.stddev_samp("v").alias("std_dev"))
+    return unique.join(F.broadcast(spread), "column")  # a row per column
+
+
 def score_health(scored: DataFrame, feats: DataFrame | None = None) -> DataFrame:
     """L2: distinct count and sample std per input (and the probability);
     ``degenerate`` when the probability has <= 3 values or std < 1e-4."""
-    rows = scored.agg(F.countDistinct("risk_probability").alias("u"),
-                      F.stddev_samp("risk_probability").alias("s")).select(
-        F.lit("risk_probability").alias("column"), F.col("u").alias("unique_values"), F.col("s").alias("std_dev"))
+    rows = _spread(scored, ["risk_probability"])
     if feats is not None:
-        present = [c for c in HEALTH_INPUTS if c in feats.columns]
-        agg = feats.agg(*[F.countDistinct(c).alias(f"{c}__u") for c in present],
-                        *[F.stddev_samp(F.col(c).cast("double")).alias(f"{c}__s") for c in present])
-        arr = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}__u").alias("unique_values"),
-                                 F.col(f"{c}__s").alias("std_dev")) for c in present])
-        rows = rows.unionByName(agg.select(F.explode(arr).alias("x")).select("x.*"))
+        rows = rows.unionByName(_spread(feats, [c for c in HEALTH_INPUTS if c in feats.columns]))
     p = rows.where(F.col("column") == "risk_probability").select(
         ((F.col("unique_values") <= 3) | (F.coalesce(F.col("std_dev"), F.lit(0.0)) < 1e-4)).alias("degenerate"))
     return rows.crossJoin(p)
