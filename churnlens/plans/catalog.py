@@ -781,3 +781,12 @@ def q_ingest_rows(spark, sf_dir):
 def q_ingest_rejects(spark, sf_dir):
     """A3: unreadable values by column and rows without an id"""
     return damaged_csv(spark, sf_dir).rejects
+
+
+@register("staged_latest_snapshot")
+def q_staged_latest_snapshot(spark, sf_dir):
+    """The panel stored as a stage; the snapshot's account window reads it without an exchange"""
+    path = scratch_path(spark, "stage")
+    stage = jobs.Stage(f"quarter_panel_{path[-32:]}", path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    stage.write(panel(spark, sf_dir, "quarter"))
+    return pn.latest_snapshot(stage.open(spark), "quarter_end")

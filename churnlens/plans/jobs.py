@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -53,6 +54,35 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
         w.parquet(path)
 
 
+# ------------------------------------------------------------------ stage tables between jobs (A2, A4)
+
+@dataclass(frozen=True)
+class Stage:
+    """A stored stage, bucketed by account and sorted inside a bucket, so that
+    the next job's account windows and joins read it without an exchange.  An
+    account's panel rows are no more than the periods, so no bucket is hot."""
+    name: str
+    path: str
+    buckets: int
+    keys: tuple[str, ...] = ("account_id",)
+    order: tuple[str, ...] = ("quarter_end",)
+
+    def write(self, df: DataFrame) -> None:
+        """One file a bucket: rows are dealt by the hash that names the bucket."""
+        df.sparkSession.sql(f"drop table if exists {self.name}")
+        (df.repartition(self.buckets, *self.keys).write.mode("overwrite").option("path", self.path)
+         .bucketBy(self.buckets, *self.keys).sortBy(*self.keys, *self.order).saveAsTable(self.name))
+
+    def open(self, spark: SparkSession) -> DataFrame:
+        """The stage, in whatever session or job: its files are entered in this
+        session's catalog if it does not know them."""
+        if not spark.catalog.tableExists(self.name):
+            ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(self.path).schema.fields)
+            spark.sql(f"create table {self.name} ({ddl}) using parquet clustered by ({', '.join(self.keys)}) "
+                      f"sorted by ({', '.join(self.keys + self.order)}) into {self.buckets} buckets location '{self.path}'")
+        return spark.table(self.name)
+
+
 # ------------------------------------------------------------------ ingest job (A1, A3)
 
 def ingest_job(spark: SparkSession, paths: dict[str, str], out_dir: str) -> DataFrame:

@@ -486,7 +486,7 @@ from (select account_id, quarter_end, count(*) n from panel_quarter group by all
     }
 
 
-_base_oracle = oracle_queries
+_base_oracle = oracle_queries_panel = oracle_queries
 
 
 def oracle_queries() -> dict[str, str]:  # noqa: F811
@@ -1148,6 +1148,7 @@ select cast(count(*) filter (where not skipped) as int) ts_cv_folds, cast(count(
                                     "select * from scored", ["risk_probability", "seats"]),
         "score_job_multi": _upload(MULTI_CTES + ",\n" + _peer_sql("m_f") + ",\n" + _scored_sql("peer_x", peers),
                                    "select * from scored", ["risk_probability", "seats"]),
+        "staged_latest_snapshot": oracle_queries_panel()["latest_snapshot_quarter"],
         "score_job_quarterly": rounded("select * replace (" + ", ".join(
             f"cast({c} as double) as {c}" for c in ["usage_count_total", "ticket_count", "days_to_contract_end", "escalation_count"])
             + ") from (" + oracle_queries_jkl()["scored"] + ") s0", []),

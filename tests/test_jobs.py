@@ -135,3 +135,18 @@ def test_export_drops_display_columns(spark, tmp_dir):
 def test_spec_survives_json(spark, tmp_dir):
     model.save_spec(spark, model.fixed_scorer(), f"{tmp_dir}/m")
     assert json.loads(jobs.load_model(spark, [f"{tmp_dir}/m"]).to_json()) == json.loads(model.fixed_scorer().to_json())
+
+
+def test_second_job_reads_a_stage_without_an_exchange(spark, tmp_dir):
+    from churnlens.operators.panel import latest_snapshot
+    from churnlens.plans.inputs import panel
+    p = panel(spark, "/root/testdata/sf0.001", "quarter").cache()
+    first = jobs.Stage("stage_under_test", f"{tmp_dir}/stage", 5)
+    first.write(p)
+    spark.sql("drop table stage_under_test")  # the second job's catalog does not know it; the files stay
+    snap = latest_snapshot(jobs.Stage("stage_under_test", f"{tmp_dir}/stage", 5).open(spark), "quarter_end")
+    plan = snap._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Exchange" in latest_snapshot(p, "quarter_end")._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, snap.collect())) == sorted(map(str, latest_snapshot(p, "quarter_end").collect()))
+    assert len([f for f in os.listdir(f"{tmp_dir}/stage") if f.endswith(".parquet")]) <= 5
+    spark.sql("drop table stage_under_test")
