@@ -30,11 +30,18 @@ from churnlens.session import cut_lineage
 CAP, WEIGHTS = 3, (1, 2, 3)
 
 
+def _document() -> list[Column]:
+    """What names a document: its id and source; without an id, its text too."""
+    return [F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"),
+            F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("body")]
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): rows that share a ``doc_id`` are one document
-    with all their words and their least source; null texts have 0 words."""
-    return (docs.select("doc_id", F.col("source").cast("string").alias("source"), F.size(words(F.col("text"))).cast("long").alias("size"))
-            .groupBy("doc_id").agg(F.min("source").alias("source"), F.sum("size").alias("size")))
+    """(doc_id, source, body, size): rows that share id and source are one
+    document with all their words; rows without an id are told apart by their
+    text's hash, ``body`` (null for others).  Null texts have 0 words."""
+    return (docs.select(*_document(), F.size(words(F.col("text"))).cast("long").alias("size"))
+            .groupBy("doc_id", "source", "body").agg(F.sum("size").alias("size")))
 
 
 def shares(totals: dict[str | None, int], weights=WEIGHTS, cap: float = CAP) -> dict[str | None, float]:
@@ -85,14 +92,14 @@ def balance(docs: DataFrame, targets: dict[str, dict], cap: float = CAP, steps:
         taken = rate(x)
         got, curve = np.zeros(len(goal)), np.zeros((len(goal), len(goal)))
         rows = docs.select("size", taken.alias("r"), *own).groupBy(*[f"g{m}" for m in range(len(margins))]).agg(
-            F.sum(F.col("size") * F.col("r")).alias("t"),
-            F.sum(F.when(F.col("r") < cap, F.col("size") * F.col("r")).otherwise(0.0)).alias("d")).collect()
-        for r in rows:  # a row per combination of groups
+            F.sum("size").alias("n"), F.max("r").alias("r")).collect()
+        # a row per combination of groups, whose documents have one rate: sums of sizes are exact and reruns agree
+        for r in sorted(rows, key=lambda r: [r[f"g{m}"] for m in range(len(margins))]):
             of = [r[f"g{m}"] for m in range(len(margins)) if r[f"g{m}"] >= at[m]]
             for a in of:
-                got[a] += r["t"]
+                got[a] += r["n"] * r["r"]
                 for b in of:
-                    curve[a, b] += r["d"]
+                    curve[a, b] += r["n"] * r["r"] if r["r"] < cap else 0.0
         gap = goal - got
         if np.abs(gap).max(initial=0) <= tol * max(1.0, goal.sum()):
             break
@@ -104,11 +111,12 @@ def balance(docs: DataFrame, targets: dict[str, dict], cap: float = CAP, steps:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
-    """(doc_id, source, size, source_size, target, rate, copies, taken) for
-    each document of ``docs`` (columns used: doc_id, text, source).
+    """(doc_id, source, body, size, source_size, target, rate, copies, taken)
+    for each document of ``docs`` (columns used: doc_id, text, source).
 
     Null sources are one source; documents without words get a rate like the
-    others and take nothing; rows that share a ``doc_id`` are one document; no
+    others and take nothing; rows that share a ``doc_id`` and a source are one
+    document, of those without an id the ones that share source and text; no
     rows give no rows.  Ties are broken by a hash of the id, then the id, so
     reruns agree.  The number of sources is taken to fit the driver."""
     own = cut_lineage(sizes(docs))
@@ -117,20 +125,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     keys = list(totals)
     if not keys:
         none = F.lit(None)
-        return own.select("doc_id", "source", "size", none.cast("long").alias("source_size"), none.cast("double").alias("target"),
+        return own.select("doc_id", "source", "body", "size", none.cast("long").alias("source_size"), none.cast("double").alias("target"),
                           none.cast("double").alias("rate"), none.cast("long").alias("copies"), none.cast("long").alias("taken"))
     rated = own.withColumn("rate", balance(own, {"source": goal}, cap))
-    run = sequence_within(rated, ["source"], [F.col("size").desc(), F.xxhash64("doc_id").asc(), F.col("doc_id").asc()],
+    run = sequence_within(rated, ["source"], [F.col("size").desc(), F.xxhash64("doc_id").asc(), F.col("doc_id").asc(), F.col("body").asc()],
                           running_sums={"rate": "_sum"})
     upto = F.floor(F.col("_sum") + 0.5 + 1e-9)
     before = F.floor(F.col("_sum") - F.col("rate") + 0.5 + 1e-9)
-    copied = cut_lineage(run.select("doc_id", "source", "size", "rate",
+    copied = cut_lineage(run.select("doc_id", "source", "body", "size", "rate",
                                     F.least(F.lit(cap), F.greatest(F.lit(0), upto - before)).cast("long").alias("copies")))
     fixed = _settle(copied, goal, cap)
     pick = _group("source", keys)
     source_size = F.element_at(F.array(*[F.lit(totals[k]).cast("long") for k in keys]), pick + 1)
     target = F.element_at(F.array(*[F.lit(goal[k]) for k in keys]), pick + 1)
-    return fixed.select("doc_id", "source", "size", source_size.alias("source_size"), target.alias("target"), "rate", "copies",
+    return fixed.select("doc_id", "source", "body", "size", source_size.alias("source_size"), target.alias("target"), "rate", "copies",
                         (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -142,13 +150,14 @@ def _settle(copied: DataFrame, goal: dict, cap: int, rounds: int = 12) -> DataFr
     spark = copied.sparkSession
     got = {r["source"]: int(r["t"]) for r in copied.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("t")).collect()}
     rest = {k: goal[k] - got.get(k, 0) for k in keys}
-    moved: dict[int, int] = {}
+    moved: dict[tuple, int] = {}  # (doc_id, source) -> copies more or fewer
 
     def changed() -> DataFrame:
         if not moved:
             return copied
-        change = F.broadcast(spark.createDataFrame(list(moved.items()), "doc_id long, change long"))  # rounds x sources rows at most
-        return copied.join(change, "doc_id", "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0))).drop("change")
+        change = F.broadcast(spark.createDataFrame([(*k, n) for k, n in moved.items()], "_id long, _source string, change long"))  # rounds x sources rows at most
+        on = (F.col("doc_id") == F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+        return copied.join(change, on, "left").drop("_id", "_source").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0))).drop("change")
 
     for _ in range(rounds):
         need = F.element_at(F.array(*[F.lit(float(rest[k])) for k in keys]), _group("source", keys) + 1)
@@ -160,13 +169,17 @@ def _settle(copied: DataFrame, goal: dict, cap: int, rounds: int = 12) -> DataFr
             break
         for r in best:
             sign = 1 if rest[r["source"]] > 0 else -1
-            moved[r["m"]["doc_id"]] = moved.get(r["m"]["doc_id"], 0) + sign
+            key = (r["m"]["doc_id"], r["source"])
+            moved[key] = moved.get(key, 0) + sign
             rest[r["source"]] -= sign * r["m"]["size"]
     return changed()
 
 
 def repeat(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """``docs`` with each row as often as its document's copies, columns kept."""
-    left, right = docs.alias("d"), mixed.where(F.col("copies") > 0).select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies")).alias("m")
-    out = left.join(right, F.col("d.doc_id").eqNullSafe(F.col("m._id")))
+    key = ["doc_id", "source", "body"]
+    left = docs.select("*", *[c.alias(f"_{k}") for c, k in zip(_document(), key, strict=True)]).alias("d")
+    right = mixed.where(F.col("copies") > 0).select(*key, F.col("copies").alias("_copies")).alias("m")
+    on = [F.col(f"d._{k}").eqNullSafe(F.col(f"m.{k}")) for k in key]
+    out = left.join(right, on[0] & on[1] & on[2])
     return out.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_nth")).drop("_nth")

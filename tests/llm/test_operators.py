@@ -210,6 +210,23 @@ def test_op6_targets(docs):
     assert mixing.shares({"a": 100, "b": 1, None: 100}) == {"b": 3.0, "a": 198 / 4, None: 198 * 3 / 4}
 
 
+def test_op6_counts_rows_without_an_id_and_ids_of_two_sources(spark):
+    rows = [(None, "a b", "s"), (None, "c d e f", "t"), (None, "g h", "t"), (3, "i j k", "s"), (3, "l", "t"), (4, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    assert sorted((r.doc_id or 0, r.source, r.size, r.source_size) for r in got) == [
+        (0, "s", 2, 5), (0, "t", 2, 7), (0, "t", 4, 7), (3, "s", 3, 5), (3, "t", 1, 7), (4, "s", 0, 5)]
+    assert math.isclose(sum({r.source: r.target for r in got}.values()), 12)
+    again = mixing.repeat(docs, mixing.mix(docs))
+    taken, copies = Counter(), Counter((r.doc_id, r.source, r.text) for r in again.collect())
+    for (_, source, text), n in copies.items():
+        taken[source] += n * len((text or "").split())
+    want = Counter()
+    for r in got:
+        want[r.source] += r.taken
+    assert +taken == +want
+
+
 def test_op7_and_op10_equal_brute_force(spark, docs, texts):
     base = [f"v{i}" for i in range(60)]
     extra = []
