@@ -13,8 +13,9 @@ quotation marks that open and close within the window of words around it or
 after a reporting word.  A document's evidence (sum, greatest hit, hits a word,
 unquoted and quoted counts) goes through a logistic curve fitted to the labels.
 
-Fitting uses at most about ``LABELLED`` labelled rows and ``TERMS`` terms
-(stated bounds); scoring maps over all whole texts without a shuffle.
+Fitting uses at most about ``LABELLED`` labelled rows (a stated bound), near
+copies of which count once; every significant word of theirs is a term.  Scoring
+maps over all whole texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -24,18 +25,21 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from churnlens.llm import near
 from churnlens.llm.common import fold, labelled_sample, logistic, map_arrow, text_bytes
 from churnlens.session import cut_lineage
 
-LABELLED, TERMS, FOLDS, HELD_OUT, WINDOW = 20_000, 1_000, 3, 1, 5
-SHARE, P, EDIT, QUOTED, CUT = 0.01, 0.05, 0.85, 0.2, 0.7
+LABELLED, FOLDS, HELD_OUT, WINDOW = 20_000, 3, 1, 5
+P, EDIT, QUOTED, CUT = 0.05, 0.85, 0.2, 0.7
+COPIES = 3  # least shingles, any of which two copies share
 EDGE = b".,!?;:\"'()[]{}<>*#$%&|"
 OPENING, CLOSING = ('"', "“", "«", "'", "‘"), ('"', "”", "»", "'", "’")
 REPORTING = {b"said", b"says", b"quoted", b"quote", b"wrote", b"called", b"word", b"term"}
 COUNTS = pa.schema([("word", pa.binary()), ("t", pa.int64()), ("c", pa.int64())])
+LEAST = pa.schema([("y", pa.int32()), ("text", pa.binary()), *[(f"m{i}", pa.int64()) for i in range(COPIES)]])
 EVIDENCE = pa.schema([("y", pa.int32()), ("x", pa.list_(pa.float64()))])
 SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
@@ -186,29 +190,46 @@ def quoted(w: list[bytes], i: int) -> bool:
     return inside or any(x.strip(EDGE) in REPORTING for x in w[max(0, i - WINDOW):i])
 
 
-def lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int, words: int) -> tuple[list[str], list[float]]:
-    """Terms and their weights (log-odds) from (word, toxic documents, clean
-    documents), the documents of either label and the number of words tried.
-
-    A term stands in toxic documents more often than not, in at least ``SHARE``
-    of them (so that copies of one document do not make its words terms), and
-    its likelihood ratio against chance is significant among all words tried."""
-    found, base = [], toxic / (toxic + clean)
-    for word, t, c in counts:
-        n = t + c
-        gain = 2 * (t * np.log(t / (n * base)) + (c * np.log(c / (n * (1 - base))) if c else 0.0))
-        if 2 * t > n and t >= SHARE * toxic and gain >= 2 * np.log(words / P) and len(word) >= 3:
-            odds = np.log((t + .5) / (toxic - t + .5)) - np.log((c + .5) / (clean - c + .5))
-            found.append((gain, word, min(float(odds), 6.0)))
-    found.sort(key=lambda x: (-x[0], x[1]))
-    return [w for _, w, _ in found[:TERMS]], [o for _, _, o in found[:TERMS]]
+def significant(toxic: int, clean: int, words: int) -> Column:
+    """Whether a word of ``t`` toxic and ``c`` clean documents stands in toxic
+    ones more often than not, and its likelihood ratio against chance is
+    significant among all words tried."""
+    t, c, base = F.col("t"), F.col("c"), toxic / (toxic + clean)
+    n = t + c
+    gain = 2 * (F.when(t > 0, t * F.log(t / (n * base))).otherwise(0.0) + F.when(c > 0, c * F.log(c / (n * (1 - base)))).otherwise(0.0))
+    return (2 * t > n) & (gain >= float(2 * np.log(max(words, 1) / P)))
+
+
+def lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> tuple[list[str], list[float]]:
+    """Terms and their weights (log-odds, 6 at most) from the (word, toxic
+    documents, clean documents) of significant words of three letters or more."""
+    odds = [(word, float(np.log((t + .5) / (toxic - t + .5)) - np.log((c + .5) / (clean - c + .5)))) for word, t, c in counts if len(word) >= 3]
+    odds.sort(key=lambda x: (-x[1], x[0]))
+    return [w for w, _ in odds], [min(o, 6.0) for _, o in odds]
+
+
+def independent(own: DataFrame) -> DataFrame:
+    """(y, text): of rows of one label that share one of ``COPIES`` least
+    shingles, so of near copies, the first by text.  The rows are few (bounded)."""
+    def least(b: pa.RecordBatch):
+        out = {"y": b.column(0), "text": b.column(1)} | {f"m{i}": [] for i in range(COPIES)}
+        for text in b.column(1).to_pylist():
+            w = text.lower().split()
+            x = near.shingles(w) if w else np.zeros(1, np.uint64)
+            for i in range(COPIES):
+                out[f"m{i}"].append(int(near.mixed(x ^ near.seed(i)).min().astype(np.int64)))
+        return out
+    own = cut_lineage(map_arrow(own, least, LEAST))
+    for i in range(COPIES):
+        own = own.withColumn("_k", F.row_number().over(Window.partitionBy("y", f"m{i}").orderBy("text"))).where("_k = 1").drop("_k")
+    return cut_lineage(own.select("y", "text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
     """From the labelled rows outside the held-out fold; without labels of both
     classes every score is the curve at no evidence."""
     own = labelled_sample(docs.sparkSession, docs.select("doc_id", text_bytes()), labels, "toxic", bound, FOLDS, HELD_OUT)
-    own = own.select(F.col("y").cast("int").alias("y"), "text").dropDuplicates(["text"])
+    own = independent(own.select(F.col("y").cast("int").alias("y"), "text"))
 
     def count(b: pa.RecordBatch):
         n = {0: Counter(), 1: Counter()}
@@ -221,9 +242,8 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
     if not toxic or not clean:
         return Model([], [], set(), np.array([0, 0, 0, 0, 0, 8.0 if toxic else -8.0]))
     words = cut_lineage(map_arrow(own, count, COUNTS).groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
-    # of the words of a bounded set of documents, those commoner in toxic ones
-    high = words.where(F.col("t") * clean > F.col("c") * toxic).where("t >= 3").collect()
-    terms, weight = lexicon([(bytes(r["word"]).decode("utf-8", "replace"), r["t"], r["c"]) for r in high], toxic, clean, words.count())
+    high = words.where(significant(toxic, clean, words.count())).collect()  # the lexicon, which every scoring task holds
+    terms, weight = lexicon([(bytes(r["word"]).decode("utf-8", "replace"), r["t"], r["c"]) for r in high], toxic, clean)
     automaton_terms = list(terms)
 
     def near(b: pa.RecordBatch):

@@ -142,6 +142,24 @@ def test_op4_and_op9_held_out(spark):
     assert not [r for r in t if r.predicted and not r.toxic]
 
 
+def test_op9_learns_rare_terms_and_no_copied_words(spark):
+    """A term of 4 % of the toxic texts counts; the words of one copied toxic text do not."""
+    rnd, rows = random.Random(5), []
+    copied = [f"copied{i}x" for i in range(40)]
+    for i in range(1500):
+        w = [f"w{rnd.randrange(400)}" for _ in range(30)]
+        toxic = i % 3 == 0
+        if toxic:
+            w[7] = "zorgface" if i % 75 else "blimpet"
+        rows.append((i, " ".join(w), int(toxic)))
+    rows += [(2000 + i, " ".join([*copied, f"end{i}"]), 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert set(model.terms) == {"zorgface", "blimpet"}
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
+    assert all(got[i] == y for i, _, y in rows if i < 2000)
+
+
 def test_op9_automaton_and_quotation():
     terms, rnd = ["idiot", "worthless", "scum", "ab"], random.Random(3)
     own = toxicity.Automaton(terms)
