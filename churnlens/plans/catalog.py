@@ -372,6 +372,7 @@ def q_demo_output(spark, sf_dir):
     return rk.demo_output(rk.latest_risk_output(feature_frame(spark, sf_dir), md.fixed_scorer()))
 
 
+# The columns of an example upload, features and context.
 EXAMPLE_FEATURES = ["usage_count_qoq_delta_z", "tickets_opened_qoq_delta_z", "usage_drop_flag",
                     "days_to_contract_end_capped", "arr_amount_qoq_delta_z", "seats_qoq_delta_z", "seats", "tenure",
                     "avg_satisfaction", "satisfaction_missing_flag", "contract_missing_flag",
