@@ -51,8 +51,7 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-#: Trained and iterative stages are not SQL.  No test runs the pipeline as a whole;
-#: tests/llm tests the operators of its stages.
+#: Trained and iterative stages are not SQL; tests/llm/test_pipeline.py holds each against plain Python.
 ORACLE_SQL = None
 
 
