@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlens.session import ship_package
+from churnlens.session import scratch_path, ship_package
 
 SPACES = r"[\x20\x09-\x0D]+"
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -50,6 +50,14 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string").cast("binary"), F.lit(b"")).alias("text")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table beside the checkpoints, read again: for wide
+    rows, which a checkpoint would hold uncompressed."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def per_batch(fn: Callable[[pa.RecordBatch], dict | None], schema: pa.Schema):
     """A ``mapInArrow`` function from one that turns a batch into columns."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.llm import near
-from churnlens.llm.common import map_arrow, text_bytes
+from churnlens.llm.common import map_arrow, text_bytes, written
 from churnlens.session import cut_lineage
 
 MIN_WORDS, RECALL = 10, 0.999
@@ -102,7 +102,7 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = near.SIMILARITY) ->
                         .select("key", F.coalesce("comp", "key").alias("comp")))
     bits = near.bitmap(twice, "key")
     places = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), text_bytes()), _places(bits), PLACES)
-    found = cut_lineage(places.join(twice, "key").drop("key"))
+    found = written(places.join(twice, "key").drop("key"), "places")
     here = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "paragraph", "body")
     first = cut_lineage(found.groupBy("comp").agg(F.min(here).alias("f")).select("comp", "f.doc_id", "f.paragraph", "f.body")
                         .toDF("comp", "class_doc", "class_paragraph", "class_body"))

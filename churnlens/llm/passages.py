@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens.llm import near
-from churnlens.llm.common import map_arrow, text_bytes
+from churnlens.llm.common import map_arrow, text_bytes, written
 from churnlens.session import cut_lineage
 
 PASSAGE, GRAM = 40, 20
@@ -94,9 +94,9 @@ def repeated_passages(docs: DataFrame, repeats: DataFrame) -> DataFrame:
     gone = repeats.where("removed").groupBy(F.col("doc_id").alias("_id"), F.col("body").alias("_in")).agg(F.collect_set("paragraph").alias("gone"))
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
                       F.xxhash64("text").alias("body"), text_bytes())
-    own = cut_lineage(own.join(gone, own["doc_id"].eqNullSafe(gone["_id"]) & (own["body"] == gone["_in"]), "left").drop("_id", "_in"))
+    own = written(own.join(gone, own["doc_id"].eqNullSafe(gone["_id"]) & (own["body"] == gone["_in"]), "left").drop("_id", "_in"), "texts")
     twice = map_arrow(own.select("text", "gone"), _seeds, SEEDS).groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1")
-    found = cut_lineage(map_arrow(own, _windows(near.bitmap(twice, "seed")), WINDOWS))
+    found = written(map_arrow(own, _windows(near.bitmap(twice, "seed")), WINDOWS), "windows")
     here = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start", "body", "paragraph")
     first = cut_lineage(found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("f")).where("n > 1").select("key", "f"))
     both = found.join(first, "key").withColumn("removed", ~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("body") == F.col("f.body"))
