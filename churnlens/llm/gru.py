@@ -9,6 +9,10 @@ log-likelihood is that of its complete text, while gradients stop at the window
 Outputs are factored: a class, then a word of the class.  The first classes
 split the vocabulary by rank; the others (tail classes) have no words here, the
 caller knows their words' probabilities.
+
+Training touches what a window touches: the embeddings of its inputs and the
+classes of its targets have their own sparse gradients and lazy moments (one
+second moment a row), so a step costs the window and not the vocabulary.
 """
 
 from __future__ import annotations
@@ -19,21 +23,27 @@ from dataclasses import dataclass
 import numpy as np
 
 HIDDEN, EMBED = 24, 16
-WARM, FULL = 40, 2048  # steps until the full rate, tokens in a step of full rate: little text changes little
+BLOCK = 65536  # logits worked on at once
+SEGMENT = 1024  # tokens; a longer training document is dealt to lanes in pieces
+WARM, FULL = 20, 2048  # steps until the full rate, tokens in a step of full rate: little text changes little
 
 
 @dataclass
 class Shape:
     words: int      # vocabulary with a softmax
-    per_class: int
+    per_class: int  # words of a class, unless ``starts`` says otherwise
     tails: int      # tail classes; input ids words .. words + tails - 1
+    starts: np.ndarray | None = None  # first word of each class
 
-    @property
-    def heads(self) -> int:
-        return -(-self.words // self.per_class)
+    def __post_init__(self):
+        if self.starts is None:
+            self.starts = np.arange(0, self.words, self.per_class)
+        self.heads = len(self.starts)
+        self.cuts = [*map(int, self.starts), self.words]
+        self.classes = np.concatenate([np.repeat(np.arange(self.heads), np.diff(self.cuts)), self.heads + np.arange(self.tails)]).astype(np.int32)
 
     def class_of(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids < self.words, ids // self.per_class, self.heads + ids - self.words)
+        return self.classes[ids]
 
 
 def start(shape: Shape, class_bias: np.ndarray, word_bias: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
@@ -96,113 +106,163 @@ def forward(p: dict, table: np.ndarray, x: np.ndarray, new: np.ndarray, h: np.nd
     return out, h, tape
 
 
-def _log_softmax(a: np.ndarray) -> np.ndarray:
-    a -= a.max(axis=1, keepdims=True)
-    return a - np.log(np.exp(a).sum(axis=1, keepdims=True))
+_space: list[np.ndarray] = [np.empty(0, np.float32)]
+
+
+def _room(rows: int, columns: int) -> np.ndarray:
+    """A matrix that every call shares: fresh memory costs more than the sums in it."""
+    if _space[0].size < rows * columns:
+        _space[0] = np.empty(rows * columns, np.float32)
+    return _space[0][:rows * columns].reshape(rows, columns)
 
 
-def _picked(a: np.ndarray, pick: tuple) -> np.ndarray:
-    """Log-softmax of ``a`` at ``pick`` only (``a`` is overwritten).  Logits are
-    biases of at most 0 plus products of bounded states and small weights, so
-    they need no shift; the clip is for safety."""
-    got = a[pick]
-    np.exp(np.minimum(a, 80, out=a), out=a)
-    return got - np.log(a @ np.ones(a.shape[1], a.dtype))
+def _softmax(h: np.ndarray, w: np.ndarray, bias: np.ndarray, pick: np.ndarray, up=None):
+    """Log-softmax of ``h @ w + bias`` at ``pick``, a block of rows at a time.
+    With ``up`` (``w`` transposed) also the gradients of its sum: of ``h``, ``w``
+    and ``bias``.  Logits are biases of at most 0 plus products of bounded states
+    and small weights, so they need no shift; the clip is for safety."""
+    ll, k = np.empty(len(h), np.float32), w.shape[1]
+    ones, dh, dw, db = np.ones(k, np.float32), np.empty_like(h) if up is not None else None, 0, 0
+    size = max(16, BLOCK // k)
+    for i in range(0, len(h), size):
+        part, own = h[i:i + size], pick[i:i + size]
+        rows, a = np.arange(len(part)), _room(len(part), k)
+        np.matmul(part, w, out=a)
+        a += bias
+        got = a[rows, own]
+        np.minimum(a, 80, out=a)
+        np.exp(a, out=a)
+        total = a @ ones
+        ll[i:i + size] = got - np.log(total)
+        if up is not None:
+            a *= (-1 / total)[:, None]
+            a[rows, own] += 1
+            np.matmul(a, up, out=dh[i:i + size])
+            dw, db = dw + part.T @ a, db + np.ones(len(part), np.float32) @ a
+    return (ll, dh, dw, db) if up is not None else ll
 
 
 def output(p: dict, shape: Shape, h: np.ndarray, y: np.ndarray, grad: dict | None = None):
     """Natural log-likelihood of targets ``y`` given states ``h`` (rows); with
-    ``grad`` adds the gradients of its sum and returns that of ``h`` too."""
+    ``grad`` sets the gradients of its sum (``V``: first word, last word + 1 and
+    the gradients of weights and biases, for each class met) and returns that of
+    ``h`` too."""
     c = shape.class_of(y)
     order = np.argsort(c, kind="stable")
     back = np.empty_like(order)
     back[order] = np.arange(len(order))
     h, y, c = h[order], y[order], c[order]  # a class's rows are a slice
-    cuts = np.searchsorted(c, np.arange(shape.heads + 1))
-    rows, a = np.arange(len(y)), h @ p["C"] + p["cb"]
+    cuts = np.searchsorted(c, np.arange(shape.heads + 1)).tolist()
     if grad is None:
-        ll = _picked(a, (rows, c))
+        ll = _softmax(h, p["C"], p["cb"], c)
     else:
-        d = _log_softmax(a)
-        ll = d[rows, c]
-        d = -np.exp(d)
-        d[rows, c] += 1
-        grad["C"] += h.T @ d
-        grad["cb"] += d.sum(axis=0)
-        dh = d @ p["C"].T
+        ll, dh, grad["C"], grad["cb"] = _softmax(h, p["C"], p["cb"], c, np.ascontiguousarray(p["C"].T))
+        grad["V"] = []
     for k in range(shape.heads):
         i, j = cuts[k], cuts[k + 1]
         if i == j:
             continue
-        lo, hi = k * shape.per_class, min(shape.words, (k + 1) * shape.per_class)
-        a, pick = h[i:j] @ p["V"][lo:hi].T + p["vb"][lo:hi], (np.arange(j - i), y[i:j] - lo)
+        lo, hi = shape.cuts[k:k + 2]
+        v = p["V"][lo:hi]
         if grad is None:
-            ll[i:j] += _picked(a, pick)
+            ll[i:j] += _softmax(h[i:j], v.T, p["vb"][lo:hi], y[i:j] - lo)
         else:
-            d = _log_softmax(a)
-            ll[i:j] += d[pick]
-            d = -np.exp(d)
-            d[pick] += 1
-            grad["V"][lo:hi] += d.T @ h[i:j]
-            grad["vb"][lo:hi] += d.sum(axis=0)
-            dh[i:j] += d @ p["V"][lo:hi]
+            own, d, dv, db = _softmax(h[i:j], v.T, p["vb"][lo:hi], y[i:j] - lo, v)
+            ll[i:j] += own
+            dh[i:j] += d
+            grad["V"].append((lo, hi, dv.T, db))
     return (ll[back], dh[back]) if grad is not None else ll[back]
 
 
-def backward(p: dict, x: np.ndarray, new: np.ndarray, tape: list, dout: np.ndarray, grad: dict) -> None:
-    """Adds the window's gradients of the recurrent weights and embeddings."""
+def backward(p: dict, rows: np.ndarray, x: np.ndarray, new: np.ndarray, tape: list, dout: np.ndarray, grad: dict) -> None:
+    """Sets the window's gradients of the recurrent weights and of the embeddings
+    ``rows``, which ``x`` counts."""
     k, dh = HIDDEN, np.zeros_like(dout[0])
     da = np.empty((*x.shape, 3 * k), np.float32)
-    gates, last = p["U"][:, :2 * k], p["U"][:, 2 * k:]
+    gates, last = np.ascontiguousarray(p["U"][:, :2 * k].T), np.ascontiguousarray(p["U"][:, 2 * k:].T)
+    live = ~new
     for t in range(len(x) - 1, -1, -1):
         h, z, r, n = tape[t]
         d = dout[t] + dh
-        dn = d * (1 - z) * (1 - n * n)
-        dz = d * (h - n) * z * (1 - z)
-        drh = dn @ last.T
-        dr = drh * h * r * (1 - r)
-        da[t, :, :k], da[t, :, k:2 * k], da[t, :, 2 * k:] = dz, dr, dn
-        grad["U"][:, :2 * k] += h.T @ da[t, :, :2 * k]
-        grad["U"][:, 2 * k:] += (r * h).T @ dn
-        dh = (d * z + drh * r + da[t, :, :2 * k] @ gates.T) * (~new[t])[:, None]
-    flat, ids = da.reshape(-1, 3 * k), x.reshape(-1)
-    grad["b"] += flat.sum(axis=0)
-    grad["W"] += p["E"][ids].T @ flat
-    np.add.at(grad["E"], ids, flat @ p["W"].T)
-
-
-def train(p: dict, shape: Shape, batches, end: int, window: int = 32, most: int = 256, rate: float = 0.02):
+        dz = d * z
+        dn = (d - dz) * (1 - n * n)
+        drh = dn @ last
+        a = da[t]
+        a[:, :k] = dz * (1 - z) * (h - n)
+        a[:, k:2 * k] = drh * h * r * (1 - r)
+        a[:, 2 * k:] = dn
+        dh = (dz + drh * r + a[:, :2 * k] @ gates) * live[t][:, None]
+    flat, h, rh = da.reshape(-1, 3 * k), np.concatenate([s[0] for s in tape]), np.concatenate([s[2] * s[0] for s in tape])
+    grad["U"] = np.hstack([h.T @ flat[:, :2 * k], rh.T @ flat[:, 2 * k:]])
+    ids = x.reshape(-1)
+    order = np.argsort(ids, kind="stable")
+    own = np.add.reduceat(flat[order], np.searchsorted(ids[order], np.arange(len(rows))))  # every row is met
+    grad["b"] = own.sum(axis=0)
+    grad["W"] = p["E"][rows].T @ own
+    grad["E"] = own @ p["W"].T
+
+
+def _adam(p: np.ndarray, m: np.ndarray, v: np.ndarray, g: np.ndarray, fix: float) -> None:
+    """A step in place; matrices whose ``v`` is a vector have one second moment a row."""
+    m += 0.1 * (g - m)
+    if v.ndim < g.ndim:
+        v += 0.01 * (np.einsum("ij,ij->i", g, g) / g.shape[1] - v)
+        p += m * (fix / (np.sqrt(v) + 1e-6))[:, None]
+    else:
+        v += 0.01 * (g * g - v)
+        p += fix * m / (np.sqrt(v) + 1e-6)
+
+
+def gradients(p: dict, shape: Shape, x: np.ndarray, y: np.ndarray, new: np.ndarray, h: np.ndarray):
+    """Of a window's log-likelihood: its sum, the number of targets, the
+    gradients (``E``: of the rows returned next), those rows and the last state."""
+    rows, place = np.unique(x, return_inverse=True)
+    place = place.reshape(x.shape)
+    out, h, tape = forward(p, p["E"][rows] @ p["W"] + p["b"], place, new, h, keep=True)
+    on, grad = np.flatnonzero(y.reshape(-1) >= 0), {}
+    if not len(on):
+        return 0.0, 0, grad, rows, h
+    ll, d = output(p, shape, out.reshape(-1, HIDDEN)[on], y.reshape(-1)[on], grad)
+    dout = np.zeros((out.shape[0] * out.shape[1], HIDDEN), np.float32)
+    dout[on] = d
+    backward(p, rows, place, new, tape, dout.reshape(out.shape), grad)
+    return float(ll.sum()), len(on), grad, rows, h
+
+
+def train(p: dict, shape: Shape, batches, end: int, window: int = 32, most: int = 384, rate: float = 0.02):
     """Adam on the log-likelihood of batches of documents (lists of target
-    arrays); returns the weights and the number of tokens seen."""
-    p = {n: v.copy() for n, v in p.items()}
-    m, v = ({n: np.zeros_like(a) for n, a in p.items()} for _ in range(2))
+    arrays); returns the weights and the number of tokens seen.  Every token is a
+    target once; the pieces of a document over ``SEGMENT`` tokens start without a
+    state, in training only."""
+    p = {n: a.copy() for n, a in p.items()}
+    m = {n: np.zeros_like(a) for n, a in p.items()}
+    v = {n: np.zeros(len(a) if n in ("E", "V") else a.shape, np.float32) for n, a in p.items()}
     seen = step = 0
     for docs in batches:
-        x, y, new, _ = lanes(docs, most, end)
+        x, y, new, _ = lanes([d[i:i + SEGMENT] for d in docs for i in range(0, len(d), SEGMENT)], most, end)
         h = np.zeros((x.shape[1], HIDDEN), np.float32)
         for t in range(0, len(x), window):
-            xs, ys, ns = x[t:t + window], y[t:t + window], new[t:t + window]
-            out, h, tape = forward(p, p["E"] @ p["W"] + p["b"], xs, ns, h, keep=True)
-            on = np.flatnonzero(ys.reshape(-1) >= 0)
-            if not len(on):
+            _, n, grad, rows, h = gradients(p, shape, x[t:t + window], y[t:t + window], new[t:t + window], h)
+            if not n:
                 continue
-            grad = {n: np.zeros_like(a) for n, a in p.items()}
-            _, d = output(p, shape, out.reshape(-1, HIDDEN)[on], ys.reshape(-1)[on], grad)
-            dout = np.zeros((out.shape[0] * out.shape[1], HIDDEN), np.float32)
-            dout[on] = d
-            backward(p, xs, ns, tape, dout.reshape(out.shape), grad)
             step += 1
-            seen += len(on)
-            fix = rate * min(1.0, step / WARM) * min(1.0, len(on) / FULL) * np.sqrt(1 - 0.99 ** step) / (1 - 0.9 ** step)
-            for n, g in grad.items():
-                g /= len(on)
-                m[n] += 0.1 * (g - m[n])
-                v[n] += 0.01 * (g * g - v[n])
-                p[n] += fix * m[n] / (np.sqrt(v[n]) + 1e-6)
+            seen += n
+            fix = rate * min(1.0, step / WARM) * min(1.0, n / FULL) * np.sqrt(1 - 0.99 ** step) / (1 - 0.9 ** step)
+            for name in ("W", "b", "U", "C", "cb"):
+                _adam(p[name], m[name], v[name], grad[name] / n, fix)
+            for lo, hi, g, gb in grad["V"]:
+                own = slice(lo, hi)
+                g /= n
+                _adam(p["V"][own], m["V"][own], v["V"][own], g, fix)
+                _adam(p["vb"][own], m["vb"][own], v["vb"][own], gb / n, fix)
+            part = [a["E"][rows] for a in (p, m, v)]
+            _adam(*part, grad["E"] / n, fix)
+            for a, b in zip((p, m, v), part, strict=True):
+                a["E"][rows] = b
     return p, seen
 
 
-def score(p: dict, shape: Shape, docs: list[np.ndarray], end: int, window: int = 32, most: int = 512) -> np.ndarray:
+def score(p: dict, shape: Shape, docs: list[np.ndarray], end: int, window: int = 96, most: int = 512) -> np.ndarray:
     """Natural log-likelihood of each whole document (tail words: their class)."""
     x, y, new, place = lanes(docs, most, end)
     table = p["E"] @ p["W"] + p["b"]

@@ -4,15 +4,16 @@ Tokens are the words of a text (A-Z lowered) and one end.  Training documents
 are those outside the held-out fold; every token of theirs is counted.
 
 * One in ``SHARE`` of the counted words, the commonest, but at least ``WORDS`` and
-  at most those that fit a task, have a softmax within classes; all other words belong to one of ``TAILS`` tail classes by their last
-  two bytes.  The network gives the class, and a tail class's word has its
+  at most those that fit a task, have a softmax within classes of about equal sums
+  of the square roots of counts; all other words belong to one of ``TAILS`` tail
+  classes by their last two bytes.  The network gives the class, and a tail class's word has its
   smoothed share of the class's counted tokens, an unknown word the class's
   unknown share.  So the model's vocabulary is the whole counted one.
 * The network is trained in ``ROUNDS`` rounds: each worker trains on its share
   of the round's documents from the same weights, and the weights are averaged
-  by tokens, block by block, in Spark; the driver gets one set of weights.  A round
-  takes one hash class of the training documents, whole, and all rounds together
-  take each training document once.
+  by tokens, block by block, in Spark; the driver gets one set of weights.  The
+  training documents are encoded once and stored by round, a hash class each; all
+  rounds together take each training document once, whole.
 * Counts of the ``LOOKUP`` commonest words go to the tasks (a size bound);
   the other words of a document are joined with their counts by word.  Both the
   base and the model need only log10(count + 0.5) of them, once.
@@ -31,15 +32,16 @@ from pyspark.sql import functions as F
 
 from churnlens.llm import gru
 from churnlens.llm.common import fold, map_arrow, text_bytes
-from churnlens.session import cut_lineage, ship_package
+from churnlens.session import cut_lineage, scratch_path, ship_package
 
-WORDS, SHARE, PER_CLASS, TAILS, LOOKUP = 1024, 16, 32, 16, 1 << 17
-FOLDS, HELD_OUT, ROUNDS, PARTS_PER_WORKER, BLOCK = 5, 1, 16, 4, 4096
+WORDS, SHARE, HEADS, TAILS, LOOKUP = 1024, 16, 0.6, 16, 1 << 17  # HEADS: classes, times the root of their words
+FOLDS, HELD_OUT, ROUNDS, BLOCK = 5, 1, 4, 65536
 END = b" "  # no word has a blank
 FLUSH = 400_000
 COUNTS = pa.schema([("word", pa.binary()), ("tail", pa.int32()), ("c", pa.int64())])
 PARTIAL = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("word", pa.binary()), ("times", pa.int64()), ("n_tokens", pa.int64()),
                      ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
+CODED = pa.schema([("round", pa.int32()), ("ids", pa.binary())])
 BLOCKS = pa.schema([("block", pa.int32()), ("seen", pa.float64()), ("part", pa.binary())])
 
 
@@ -73,6 +75,14 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, tail int, c long").groupBy("word", "tail").agg(F.sum("c").alias("c"))
 
 
+def class_starts(c: np.ndarray, heads: int) -> np.ndarray:
+    """First words of at most ``heads`` classes of words with counts ``c``: a
+    common word's class is small, so that most tokens need few products."""
+    root = np.sqrt(c)
+    end = np.cumsum(root)
+    return np.flatnonzero(np.diff(np.minimum((end - root / 2) / end[-1] * heads, heads - 1).astype(np.int64), prepend=-1))
+
+
 class Vocabulary:
     """Counts that fit a task, and the sums over all the others."""
 
@@ -81,7 +91,6 @@ class Vocabulary:
         2) tokens and words of the tail classes over all words."""
         self.total, self.distinct = total, distinct
         head = common[:max(WORDS, distinct // SHARE)]
-        per = max(PER_CLASS, int(np.ceil(np.sqrt(len(head)))))
         self.words, self.end = max(len(head), 1), 0
         left = tails.astype(float).copy()
         for w, c in head:
@@ -93,9 +102,9 @@ class Vocabulary:
         self.log_of = np.log10(np.array([c for _, c in common], dtype=float) + 0.5)
         self.end = self.rank.get(END, 0)
         c = np.array([c for _, c in head] or [1], dtype=float) + 0.5
-        self.shape = gru.Shape(self.words, per, TAILS)
-        own = np.bincount(np.arange(self.words) // per, weights=c, minlength=self.shape.heads)
-        self.word_bias = np.log(c / own[np.arange(self.words) // per])
+        self.shape = gru.Shape(self.words, 0, TAILS, class_starts(c, int(np.ceil(HEADS * np.sqrt(self.words)))))
+        own = np.add.reduceat(c, self.shape.starts)
+        self.word_bias = np.log(c / own[self.shape.classes[:self.words]])
         mass = np.concatenate([own, left[:, 0] + 0.5 * (left[:, 1] + 1)])  # an untrained model is the base
         self.class_bias = np.log(mass / mass.sum())
 
@@ -143,34 +152,39 @@ def _unpack(flat: np.ndarray, like: dict) -> dict:
 
 def train(texts: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
     """Weights from training texts (``text`` binary, ``part`` long hash)."""
-    sc = texts.sparkSession.sparkContext
+    spark, sc = texts.sparkSession, texts.sparkSession.sparkContext
     p = gru.start(vocab.shape, vocab.class_bias, vocab.word_bias)
     shared = sc.broadcast(vocab)
+
+    def encode(b: pa.RecordBatch):
+        ids = (shared.value.encode(tokens(t))[0] for t in b.column("text").to_pylist())
+        return {"round": b.column("round"), "ids": [i.astype("<i4").tobytes() for i in ids]}
+    coded = map_arrow(texts.select(F.pmod("part", F.lit(ROUNDS)).cast("int").alias("round"), "text"), encode, CODED)
+    path = scratch_path(spark, "encoded")
+    coded.write.partitionBy("round").parquet(path)
+    stored = spark.read.schema("ids binary, round int").parquet(path)
+
+    def add(table: pa.Table) -> pa.Table:
+        seen = table.column("seen").to_pylist()
+        total = sum(np.frombuffer(x, np.float32) * s for x, s in zip(table.column("part").to_pylist(), seen, strict=True)) / sum(seen)
+        return pa.table([table.column("block").slice(0, 1), [sum(seen)], [total.astype(np.float32).tobytes()]], schema=BLOCKS)
     for k in range(ROUNDS):
-        own = texts.where(F.pmod("part", F.lit(ROUNDS)) == k).select("text")
-        own = own.coalesce(max(1, texts.rdd.getNumPartitions() // PARTS_PER_WORKER))
         now = sc.broadcast(p)
 
         def work(batches, now=now):
-            def docs():
-                for b in batches:
-                    yield [shared.value.encode(tokens(t))[0] for t in b.column(0).to_pylist()]
-            got, seen = gru.train(now.value, shared.value.shape, (d for d in docs() if d), shared.value.end)
+            docs = ([np.frombuffer(x, "<i4") for x in b.column(0).to_pylist()] for b in batches)
+            got, seen = gru.train(now.value, shared.value.shape, (d for d in docs if d), shared.value.end)
             if seen:
-                flat = _pack(got).astype(np.float64) * seen
+                flat = _pack(got)
                 parts = [flat[i:i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([float(seen)] * len(parts)),
                                                   pa.array(parts, pa.binary())], schema=BLOCKS)
-
-        def add(table: pa.Table) -> pa.Table:
-            total = np.sum([np.frombuffer(x) for x in table.column("part").to_pylist()], axis=0)
-            return pa.table([table.column("block").slice(0, 1), [sum(table.column("seen").to_pylist())], [total.tobytes()]], schema=BLOCKS)
-        ship_package(texts.sparkSession)
         schema = "block int, seen double, part binary"
+        own = stored.where(F.col("round") == k).select("ids")
         rows = own.mapInArrow(work, schema).groupBy("block").applyInArrow(add, schema).collect()  # one set of weights
         if rows:
             rows.sort(key=lambda r: r["block"])
-            p = _unpack(np.concatenate([np.frombuffer(bytes(r["part"])) / r["seen"] for r in rows]), p)
+            p = _unpack(np.concatenate([np.frombuffer(bytes(r["part"]), np.float32) for r in rows]), p)
         now.unpersist()
     return p
 

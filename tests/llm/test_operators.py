@@ -59,10 +59,68 @@ def test_op1_base_and_model(docs, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_op1_gradients_and_window_invariance():
-    r, shape = np.random.default_rng(0), gru.Shape(10, 4, 3)
+def small_model(r):
+    shape = gru.Shape(10, 4, 3)
     p = gru.start(shape, np.zeros(6), np.zeros(10))
-    p = {k: a + r.standard_normal(a.shape).astype(np.float32) * .1 for k, a in p.items()}
+    return shape, {k: a + r.standard_normal(a.shape).astype(np.float32) * .1 for k, a in p.items()}
+
+
+def test_op1_gradients_equal_differences():
+    r = np.random.default_rng(1)
+    shape, p = small_model(r)
+    p = {k: a.astype(np.float64) for k, a in p.items()}
+    x, y, new, _ = gru.lanes([r.integers(0, 13, n).astype(np.int32) for n in (40, 70, 9, 1)], 3, 0)
+    h = np.zeros((x.shape[1], gru.HIDDEN))
+    _, n, grad, rows, _ = gru.gradients(p, shape, x, y, new, h)
+    full = {k: np.zeros_like(a) for k, a in p.items()} | {k: grad[k] for k in ("W", "b", "U", "C", "cb")}
+    full["E"][rows] = grad["E"]
+    for lo, hi, g, gb in grad["V"]:
+        full["V"][lo:hi], full["vb"][lo:hi] = g, gb
+    assert n == (y >= 0).sum() == 120
+
+    def value(k, at, step):
+        a = p[k].copy()
+        a[at] += step
+        return gru.gradients(p | {k: a}, shape, x, y, new, h)[0]
+    for k, g in full.items():
+        for at in zip(*(r.integers(0, n, 6) for n in g.shape), strict=True):
+            slope = (value(k, at, .05) - value(k, at, -.05)) / .1  # logits are single floats
+            assert abs(slope - g[at]) < .02 + .03 * abs(g[at]), (k, at, slope, g[at])
+
+
+def test_op1_training_changes_what_it_met_and_nothing_else():
+    r = np.random.default_rng(2)
+    shape, p = small_model(r)
+    docs = [r.choice([0, 1, 2, 3, 11], 50).astype(np.int32) for _ in range(5)]  # the first class and a tail class
+    got, seen = gru.train(p, shape, [docs], 0)
+    assert seen == 250
+    for k in ("W", "b", "U", "C", "cb"):
+        assert not np.allclose(got[k], p[k])
+    met = [0, 1, 2, 3, 11]
+    assert (np.abs(got["E"] - p["E"]).max(axis=1) > 0).nonzero()[0].tolist() == met
+    assert (np.abs(got["V"] - p["V"]).max(axis=1) > 0).nonzero()[0].tolist() == met[:4]
+    more, _ = gru.train(got, shape, [docs] * 20, 0)
+    assert gru.score(more, shape, docs, 0).sum() > gru.score(got, shape, docs, 0).sum() > gru.score(p, shape, docs, 0).sum()
+
+
+def test_op1_a_long_training_document_is_taken_whole():
+    r = np.random.default_rng(3)
+    shape, p = small_model(r)
+    size = 3 * gru.SEGMENT + 17
+    assert gru.train(p, shape, [[r.integers(0, 13, size).astype(np.int32), np.zeros(2, np.int32)]], 0)[1] == size + 2
+
+
+def test_op1_classes_are_uneven_and_cover_all_words():
+    c = 1e6 / np.arange(1, 5001)
+    starts = lm_scoring.class_starts(c, 43)
+    sizes = np.diff([*starts, 5000])
+    assert starts[0] == 0 and sizes.sum() == 5000 and (sizes > 0).all() and len(starts) <= 43 and sizes[0] < sizes[-1] / 10
+    assert lm_scoring.class_starts(np.ones(1), 1).tolist() == [0]
+
+
+def test_op1_state_goes_on_over_windows():
+    r = np.random.default_rng(0)
+    shape, p = small_model(r)
     own = [r.integers(0, 13, n).astype(np.int32) for n in (5, 90, 3, 7)]
     a = gru.score(p, shape, own, 0, window=4)
     b = np.array([gru.score(p, shape, [d], 0, window=1000)[0] for d in own])  # state carries over windows and not over documents

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -53,8 +54,9 @@ def test_op7_loses_no_text_of_repeated_rows_or_clashing_ids(spark):
     assert sorted(out) == sorted([(1, nine), (1, nine), (5, line), (6, ""), (6, other), (7, "head")])
 
 
-def test_op1_trains_on_every_class_and_its_softmax_grows(spark):
-    texts = spark.createDataFrame([(b"a b c d " * 20, 9)] * 4, "text binary, part long")
+@pytest.mark.parametrize("part", [0, 1, 2, 3, -5, 9])
+def test_op1_trains_on_every_round_and_its_softmax_grows(spark, part):
+    texts = spark.createDataFrame([(b"a b c d " * 20, part)] * 4, "text binary, part long")
     vocab = lm_scoring.vocabulary(lm_scoring.count_tokens(texts.select("text")).cache())
     first = gru.start(vocab.shape, vocab.class_bias, vocab.word_bias)
     got = lm_scoring.train(texts, vocab)
