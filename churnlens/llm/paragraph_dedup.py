@@ -23,6 +23,7 @@ from churnlens.llm.common import map_arrow, text_bytes, written
 from churnlens.session import cut_lineage
 
 MIN_WORDS, RECALL = 10, 0.999
+PENDING = 2000  # paragraphs whose words a task holds at once, besides a text's
 BANDS, ROWS = near.tune(near.SIMILARITY, RECALL, range(2, 4))
 ITEMS = pa.schema([("key", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
 TEXTS = pa.schema([("key", pa.binary()), ("body", pa.binary())])
@@ -42,36 +43,45 @@ def paragraphs(text: bytes):
 
 
 def minhash(items: list[list[bytes]], registers: int = BANDS * ROWS) -> np.ndarray:
-    parts = [near.shingles(w) for w in items]
-    at = np.cumsum([0, *map(len, parts)])[:-1]
-    flat = np.concatenate(parts)
+    flat, at = near.shingles_of(items)
     return np.stack([np.minimum.reduceat(near.mixed(flat ^ near.seed(i)), at) for i in range(registers)], axis=1)
 
 
 def _items(b: pa.RecordBatch):
-    seen: dict[bytes, list] = {}
-    for text in b.column(0).to_pylist():
-        for _, _, _, w in paragraphs(text):
-            own = seen.setdefault(near.key_of(w), [0, w])
-            own[0] += 1
-    if not seen:
-        return None
-    lists, bands, i = list(seen.values()), [], 0
-    for i in range(0, len(lists), 2000):
-        bands += list(near.banded(minhash([w for _, w in lists[i:i + 2000]]), BANDS, ROWS))
-    return {"key": list(seen), "n": [n for n, _ in lists], "bands": bands}
+    number, n, bands, fresh = {}, [], [], []
+
+    def done():
+        bands.append(near.banded(minhash(fresh), BANDS, ROWS))
+        fresh.clear()
+    for text in b.column(0):
+        for _, _, _, w in paragraphs(text.as_py()):
+            k = number.setdefault(near.key_of(w), len(n))
+            if k == len(n):
+                n.append(0)
+                fresh.append(w)
+            n[k] += 1
+        if len(fresh) >= PENDING:
+            done()
+    if fresh:
+        done()
+    return {"key": list(number), "n": n, "bands": list(np.concatenate(bands))} if n else None
 
 
 def _bodies(bits: np.ndarray):
     def run(b: pa.RecordBatch):
-        own = {}
-        for text in b.column(0).to_pylist():
-            for _, _, _, w in paragraphs(text):
-                own.setdefault(near.key_of(w), w)
-        keys = list(own)
-        hit = near.has_key(bits, keys)
-        return {"key": [k for k, y in zip(keys, hit, strict=True) if y],
-                "body": [b" ".join(own[k]) for k, y in zip(keys, hit, strict=True) if y]}
+        own, fresh = {}, {}
+
+        def done():
+            keys = [k for k in fresh if k not in own]
+            own.update((k, b" ".join(fresh[k])) for k, y in zip(keys, near.has_key(bits, keys), strict=True) if y)
+            fresh.clear()
+        for text in b.column(0):
+            for _, _, _, w in paragraphs(text.as_py()):
+                fresh.setdefault(near.key_of(w), w)
+            if len(fresh) >= PENDING:
+                done()
+        done()
+        return {"key": list(own), "body": list(own.values())}
     return run
 
 
