@@ -191,6 +191,17 @@ def train(texts: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
 
 # ------------------------------------------------------------- scoring
 
+def read(v: Vocabulary, text: bytes) -> tuple[np.ndarray, int, float, float, Counter]:
+    """Of a text: the model's ids, how many words are common, the sums of their
+    logs and of those in tail classes, and the rare words; its other words are
+    not kept, as those of a whole batch take many times its size."""
+    w = tokens(text)
+    ids, rank = v.encode(w)
+    on = rank >= 0
+    return (ids, int(on.sum()), float(v.log_of[rank[on]].sum()), v.log_of[rank[on & (ids >= v.words)]].sum(),
+            Counter([w[j] for j in np.flatnonzero(~on).tolist()]))
+
+
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)
     for every row of ``docs`` (columns used: doc_id, text); scores are log10.
@@ -210,21 +221,16 @@ def score(docs: DataFrame) -> DataFrame:
     def run(b: pa.RecordBatch):
         v, p = model.value
         out = {f.name: [] for f in PARTIAL}
-        split = [tokens(t) for t in b.column("text").to_pylist()]
-        coded = [v.encode(w) for w in split]
-        ll = gru.score(p, v.shape, [i for i, _ in coded], v.end) / np.log(10)
+        coded = [read(v, t.as_py()) for t in b.column("text")]
+        ll = gru.score(p, v.shape, [c[0] for c in coded], v.end) / np.log(10)
         for k, (row, doc) in enumerate(zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), strict=True)):
-            w, (ids, rank) = split[k], coded[k]
-            seldom = np.flatnonzero(rank < 0)
-            rare = Counter([w[j] for j in seldom.tolist()])
-            logs = v.log_of[rank[rank >= 0]]
+            ids, known, logs, in_tail, rare = coded[k]
             tail = np.bincount(ids[ids >= v.words] - v.words, minlength=TAILS)
-            in_tail = v.log_of[rank[(rank >= 0) & (ids >= v.words)]].sum()
-            base, own = float(logs.sum()) - len(w) * v.base, float(ll[k] + in_tail - tail @ v.tail_base)
+            base, own = logs - len(ids) * v.base, float(ll[k] + in_tail - tail @ v.tail_base)
             # the document's own row has a key that is no word, and another in each document
             out["word"] += [b" " + str(row).encode(), *rare]
             out["times"] += [0, *rare.values()]
-            for name, x, y in (("row", row, row), ("doc_id", doc, doc), ("n_tokens", len(w), 0), ("n_known", len(w) - len(seldom), 0),
+            for name, x, y in (("row", row, row), ("doc_id", doc, doc), ("n_tokens", len(ids), 0), ("n_known", known, 0),
                                ("base", base, 0.0), ("model", own, 0.0)):
                 out[name] += [x, *[y] * len(rare)]
         return out
