@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from churnlens.operators.features import BINARY, CATEGORICAL, CONTINUOUS
 from churnlens.operators.model import DEFAULT_PARAMS, LinearSpec, Term, parse_class_weight
 from churnlens.operators.stats import exact_quantiles
-from churnlens.session import cut_lineage, ship_package
+from churnlens.session import stored, ship_package
 
 TOLERANCE = 1e-12
 SUMS = "fit int, place int, value double"
@@ -104,7 +104,7 @@ def design(rows: DataFrame, fits: dict[str, Column], terms: dict[str, list[Term]
         cols.append(F.when(fits[f], w).otherwise(F.lit(0.0)).alias(f"w{k}"))
         spec = LinearSpec(0.0, ts)
         cols.append(F.array(F.lit(1.0), *[spec.transformed(t) for t in ts]).alias(f"x{k}"))
-    return cut_lineage(rows.select(*cols))
+    return stored(rows.select(*cols), "design")
 
 
 def one_pass(data: DataFrame, at: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
