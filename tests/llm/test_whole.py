@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from churnlens.llm import gru, lm_scoring, paragraph_dedup, passages, queries, search
+from churnlens.llm import gru, lm_scoring, paragraph_dedup, passages, quality_rules, queries, search
 
 
 def test_op5_asks_all_words_of_the_text(spark):
@@ -73,3 +73,12 @@ def lm_tails(words):
     for w, c in words:
         out[lm_scoring.tail_of(w)] += (c, 1)
     return out
+
+
+def test_op2_counts_every_trusted_document(spark, monkeypatch):
+    """24,000 documents labelled good, more than were once counted."""
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.format_string("w%d", F.col("id") % 1000).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    seen, real = [], quality_rules.weights
+    monkeypatch.setattr(quality_rules, "weights", lambda d, t: seen.append(t.count()) or real(d, t))
+    assert quality_rules.judge(docs, labels).count() == 24_000 and seen == [24_000]
