@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,23 @@ def test_op2_counts_every_trusted_document(spark, monkeypatch):
     seen, real = [], quality_rules.weights
     monkeypatch.setattr(quality_rules, "weights", lambda d, t: seen.append(t.count()) or real(d, t))
     assert quality_rules.judge(docs, labels).count() == 24_000 and seen == [24_000]
+
+
+def test_op5_answers_alike_in_blocks_and_keeps_k_best_over_a_tasks_shards(spark, monkeypatch):
+    rnd = random.Random(3)
+    rows = [(i, " ".join(f"w{int(rnd.paretovariate(.6))}" for _ in range(30))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = F.col("doc_id") % 20 == 0
+
+    def found(df):
+        return sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in search.top_k(df, asked, k=3).collect())
+    want = found(docs.coalesce(1))
+    monkeypatch.setattr(search, "QUERY_BLOCK", 6)
+    assert len(want) == 60 and found(docs.repartition(5)) == want
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    shards = search.postings(texts.repartition(5), 30.0, None).toArrow()
+    terms = [(q, t.encode(), 1.0) for q, text in rows[::20] for t in set(text.split())]
+    table = pa.table(list(zip(*terms, strict=True)), schema=pa.schema([("query_id", pa.int64()), ("term", pa.binary()), ("idf", pa.float64())]))
+    sent = type("Sent", (), {"value": search.Asked.of(table)})
+    out = pa.Table.from_batches(list(search._searching(sent, 3)(shards.to_batches())))
+    assert shards.num_rows == 5 and out.num_rows == 60  # three for each of 20 queries, not for each shard
